@@ -6,8 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from .common import table
+from pyspark.sql import functions as F
+
+from . import fertility, gam, simhash, toxicity
+from .common import fold, table
+
+
+def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.with_fertility(table(spark, sf_dir, "documents")).select("doc_id", "fertility.*")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> gam.Gam:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return gam.fit(docs, labels.where(fold("doc_id", 5) != 0), "quality")
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gam.with_score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    scored = toxicity.with_toxicity(docs, model, out="score")
+    return scored.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +43,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash_near_dedup,)}
+    named = (op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op7_simhash_near_dedup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,10 +54,13 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 3, out:
 
 
 def _plan(radius: int, segments: int) -> tuple[int, int, int]:
-    """Bits of a segment, segments with budget 0, and those with budget 1 at most."""
-    free = segments if radius == 0 else -(-segments // radius) - 1
-    one = segments if radius == 0 else min(segments, -(-2 * segments // radius) - 1)
-    return 64 // segments, free, one
+    """Bits of a segment, segments with budget 0, and those with budget 1 at most.
+
+    No more of them than a key has room for.
+    """
+    size = 64 // segments
+    free = min(-(-segments // radius) - 1, 40 // size)
+    return size, free, min(segments, -(-2 * segments // radius) - 1, free + 20 // size)
 
 
 def _keys(fp, radius: int, segments: int):

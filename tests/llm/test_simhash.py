@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from marlstone.llm import simhash
+from marlstone.llm.components import components
 
 WHITE = " \t\n\v\f\r"
 
@@ -75,9 +76,7 @@ def test_dense_fingerprints_lose_no_link(spark, monkeypatch):
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     for radius in (1, 3):
-        from marlstone.llm.components import components
-
         roots = {r.node: r.root for r in components(simhash.links(df, radius)).collect()}
         signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-        want = plain_components(signed, fps, radius)  # ids signed, bits unsigned
+        want = plain_components(signed, fps, radius)
         assert [roots.get(s, s) for s in signed] == want
