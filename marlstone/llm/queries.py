@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import fertility, gam, simhash, toxicity
+from . import fertility, gam, ppm, simhash, toxicity
 from .common import fold, table
 
 
@@ -42,8 +42,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = ppm.with_language(docs, ppm.fit(docs.where(fold("doc_id", 3) != 1)))
+    return told.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score", "language.bits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op7_simhash_near_dedup)
+    named = (op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op7_simhash_near_dedup, op9_ppm_language_id)
     return {f.__name__: f for f in named}
 
 
