@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import fertility, gam, ppm, simhash, toxicity
+from . import ctw, fertility, gam, ppm, simhash, toxicity
 from .common import fold, table
 
 
@@ -37,6 +37,10 @@ def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -49,7 +53,10 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op7_simhash_near_dedup, op9_ppm_language_id)
+    named = (
+        op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op6_context_tree_weighting,
+        op7_simhash_near_dedup, op9_ppm_language_id,
+    )
     return {f.__name__: f for f in named}
 
 
