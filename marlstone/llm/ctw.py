@@ -1,7 +1,8 @@
 """Scoring by context-tree weighting.
 
-Words are bytes led in by spaces and ended by one; every byte is eight binary
-decisions. A decision's contexts are the DEPTH bytes before it in its word.
+A text is the bytes of its words, each followed by one space, and an end;
+every byte is eight binary decisions. A decision's contexts are the up to DEPTH
+bytes before it.
 Krichevsky-Trofimov estimates of all depths are mixed by the weights of the
 tree, which stay frozen while texts are scored.
 
@@ -12,8 +13,9 @@ so no task ever holds the corpus's vocabulary or its tree.
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +25,28 @@ from pyspark.sql import functions as F
 
 from .common import Ids, small_batches, staged
 
-DEPTH = 4
-#: Bytes of text in a block, about.
-BLOCK = 24 << 20
+DEPTH = 5
+#: Bytes of text in a block, about; in what is worked on at once; rows handed over at once.
+BLOCK, SLICE, PART = 32 << 20, 2 << 20, 50_000
 #: The symbol that ends a text; no word holds it.
 END = 10
-END_KEY = int.from_bytes(b" " * DEPTH + bytes([END]))
 
 HALF = np.log(0.5)
 
 
-def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and the space after it: DEPTH bytes before and the byte, as a number; words' starts."""
-    raw = np.frombuffer(b"".join(b" " * DEPTH + w + b" " for w in words), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    at = np.arange(lengths.sum()) + np.repeat((np.arange(len(words)) + 1) * DEPTH, lengths)
-    key = np.zeros(len(at), np.int64)
-    for back in range(DEPTH, -1, -1):
-        key = key << 8 | raw[at - back]
+def positions(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text and its end: the DEPTH bytes before and the byte, as one number; texts' starts.
+
+    raws: words with single spaces between. A text is led in by spaces; its
+    last word is followed by a space and END.
+    """
+    full = [b" " * DEPTH + r + (b" " if r else b"") + bytes([END]) for r in raws]
+    stream = np.frombuffer(b"".join(full), np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, full), np.int64, len(full)) - DEPTH
+    at = np.arange(lengths.sum()) + np.repeat((np.arange(len(raws)) + 1) * DEPTH, lengths)
+    key = stream[at]
+    for back in range(1, DEPTH + 1):
+        key |= stream[at - back] << 8 * back
     return key, np.cumsum(lengths) - lengths
 
 
@@ -77,13 +83,13 @@ class Subtree:
         self.node = (1 << bit) | (symbol[:, None] >> (8 - bit))
         self.one = (symbol[:, None] >> (7 - bit)) & 1
         self.top, self.levels = top, {}
+        ones, noughts = (self.one * n[:, None]).ravel(), ((1 - self.one) * n[:, None]).ravel()
         lower = None
         for d in range(DEPTH, top - 1, -1):
             full = (context & ((1 << 8 * d) - 1))[:, None] << 8 | self.node
             own, place = np.unique(full, return_inverse=True)
             place = place.reshape(full.shape)
-            n1 = np.bincount(place.ravel(), (self.one * n[:, None]).ravel(), len(own))
-            n0 = np.bincount(place.ravel(), ((1 - self.one) * n[:, None]).ravel(), len(own))
+            n0, n1 = np.bincount(place.ravel(), noughts, len(own)), np.bincount(place.ravel(), ones, len(own))
             pe = kt_block(n0, n1)
             if lower is None:
                 pw = pe
@@ -106,86 +112,96 @@ class Subtree:
 
 
 def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
-    """Rows of three kinds for each block: its documents (0), its words (1), its contexts (2)."""
-    names = ["block", "kind", "id", "held_out", "words", "times", "idx", "word", "n", "key"]
-    kinds = [pa.int64(), pa.int8(), None, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    """Rows of three kinds for each block: its documents (0), its words (1), its contexts with symbols (2)."""
+    kinds = {
+        "block": pa.int64(), "kind": pa.int8(), "id": None, "held_out": pa.bool_(), "raw": pa.binary(),
+        "word": pa.binary(), "key": pa.int64(), "n": pa.int64(),
+    }
 
     def batch(rows: int, **columns) -> pa.RecordBatch:
-        arrays = [columns[c] if c in columns else pa.nulls(rows, kinds[i]) for i, c in enumerate(names)]
-        return pa.RecordBatch.from_arrays(arrays, names)
+        columns = {c: x if isinstance(x, pa.Array) else pa.array(x, kinds[c]) for c, x in columns.items()}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, k) for c, k in kinds.items()], list(kinds))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number = TaskContext.get().partitionId() << 32, 0
-        ids, seen, size, pending = Ids(), [], 0, 0
+        block = TaskContext.get().partitionId() << 32
+        words, keys, ids, size, pending = Tally(), Tally(), Ids(), 0, 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            block, words = first + number, list(ids)
-            train = np.zeros(len(words), np.int64)
-            for own, times in seen:
-                np.add.at(train, own, times)
-            for a in range(0, len(words), 20_000):
-                part = words[a : a + 20_000]
-                yield batch(
-                    len(part), block=pa.array([block] * len(part), pa.int64()), kind=pa.array([1] * len(part), pa.int8()),
-                    idx=pa.array(range(a, a + len(part)), pa.int32()), word=pa.array(part, pa.binary()), n=pa.array(train[a : a + len(part)]),
-                )
-            key = np.unique(np.append(positions(words)[0], END_KEY)) if words else np.array([END_KEY])
-            for a in range(0, len(key), 20_000):
-                part = key[a : a + 20_000]
-                yield batch(len(part), block=pa.array([block] * len(part), pa.int64()), kind=pa.array([2] * len(part), pa.int8()), key=pa.array(part))
+            names = list(ids)
+            own, n = words.total()
+            train = np.zeros(len(names), np.int64)
+            train[own] = n
+            for a in range(0, len(names), PART):
+                part = names[a : a + PART]
+                yield batch(len(part), block=[block] * len(part), kind=[1] * len(part), word=part, n=train[a : a + PART])
+            own, n = keys.total()
+            for a in range(0, len(own), PART):
+                part = own[a : a + PART]
+                yield batch(len(part), block=[block] * len(part), kind=[2] * len(part), key=part, n=n[a : a + PART])
 
         for got in batches:
-            kinds[2] = got.column(0).type
-            owns, times = [], []
-            for text, held in zip(got.column(1), got.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "replace").lower()
-                tally = Counter(raw.split())
-                own = np.fromiter(map(ids.__getitem__, tally), np.int32, len(tally))
-                n = np.fromiter(tally.values(), np.int32, len(tally))
-                owns.append(own)
-                times.append(n)
-                size += len(raw)
-                pending += 1
-                if not held:
-                    seen.append((own, n))
-            yield batch(
-                len(owns), block=pa.array([first + number] * len(owns), pa.int64()), kind=pa.array([0] * len(owns), pa.int8()),
-                id=got.column(0), held_out=got.column(2), words=pa.array(owns, pa.list_(pa.int32())), times=pa.array(times, pa.list_(pa.int32())),
-            )
-            if len(seen) > 1000:
-                own, place = np.unique(np.concatenate([o for o, _ in seen]), return_inverse=True)
-                seen = [(own, np.bincount(place, np.concatenate([n for _, n in seen])).astype(np.int64))]
+            kinds["id"] = got.column(0).type
+            held = got.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            cut = [(t.as_py() or "").encode("utf-8", "replace").lower().split() for t in got.column(1)]
+            lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+            at = np.fromiter(map(ids.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
+            words.add(at, np.repeat(~held, lengths))
+            raws = [b" ".join(w) for w in cut]
+            for a, b in slices(raws):
+                key, starts = positions(raws[a:b])
+                keys.add(key, np.repeat(~held[a:b], np.diff(np.append(starts, len(key)))))
+            yield batch(len(cut), block=[block] * len(cut), kind=[0] * len(cut), id=got.column(0), held_out=got.column(2), raw=raws)
+            size, pending = size + sum(map(len, raws)), pending + len(cut)
             if size > BLOCK:
                 yield from closed()
-                number, ids, seen, size, pending = number + 1, Ids(), [], 0, 0
+                block += 1
+                words, keys, ids, size, pending = Tally(), Tally(), Ids(), 0, 0
         if pending:
             yield from closed()
 
-    schema = f"block long, kind byte, id {id_type}, held_out boolean, words array<int>, times array<int>, idx int, word binary, n long, key long"
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(rows, f"block long, kind byte, id {id_type}, held_out boolean, raw binary, word binary, key long, n long")
+
+
+def slices(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of a few MB, or of one text that is longer."""
+    a, size = 0, 0
+    for b, raw in enumerate(raws):
+        if size and size + len(raw) > SLICE:
+            yield a, b
+            a, size = b, 0
+        size += len(raw)
+    if a < len(raws):
+        yield a, len(raws)
+
 
+class Tally:
+    """Sums weights by number, a heap of parts at a time."""
 
-def _leaves(words: DataFrame, ends: DataFrame) -> DataFrame:
-    """(key, n): training counts of contexts and symbols from distinct words."""
+    def __init__(self):
+        self.parts, self.size = [], 0
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, starts = positions(batch.column(0).to_pylist())
-            times = np.repeat(batch.column(1).to_numpy(), np.diff(np.append(starts, len(key))))
-            own, place = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, times).astype(np.int64))], ["key", "n"])
+    def add(self, number: np.ndarray, weight: np.ndarray) -> None:
+        own, place = np.unique(number, return_inverse=True)
+        self.parts.append((own, np.bincount(place, weight, len(own)).astype(np.int64)))
+        self.size += len(own)
+        if self.size > 4_000_000 and len(self.parts) > 8:
+            self.parts = [self.total()]
+            self.size = len(self.parts[0][0])
 
-    return words.mapInArrow(counted, "key long, n long").unionByName(ends).groupBy("key").agg(F.sum("n").alias("n"))
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own, place = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        return own, np.bincount(place, np.concatenate([p[1] for p in self.parts]), len(own)).astype(np.int64)
 
 
 def code_lengths(leaves: DataFrame) -> DataFrame:
     """(key, lp): log10 P of a symbol in its context, for each row (key, n) of leaves.
 
-    Two bytes of context name a subtree of at most 2 ** 16 contexts, whatever
-    the corpus; the two levels above have at most 2 ** 16 decisions, which the
-    driver mixes.
+    Each two bytes of context have a subtree of their own, of distinct contexts
+    and not of their occurrences: at most 2 ** 24, whatever the corpus, and in
+    text some thousands. The two levels above have at most 2 ** 16 decisions,
+    which the driver mixes.
     """
     group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("suffix")
 
@@ -232,60 +248,53 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     rows = staged(_blocks(docs, id_type), "blocks")
     by_word = Window.partitionBy("word")
     words = rows.where("kind = 1").select(
-        "block", "idx", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("copy")
+        "block", "word", F.sum("n").over(by_word).alias("n"), F.row_number().over(by_word.orderBy("block")).alias("copy")
     )
     words = staged(words, "words")
-    once = words.where("copy = 1").select("word", "c")
-    seen = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    train = rows.where("kind = 0 and not held_out")
-    n_ends = train.count()
+    once = F.when(F.col("copy") == 1, F.col("n"))
+    seen = words.agg(F.coalesce(F.sum(once), F.lit(0)), F.count(F.when(once > 0, 1))).first()
+    n_ends = rows.where("kind = 0 and not held_out").count()
     n_all, n_kinds = seen[0] + n_ends, seen[1] + (n_ends > 0)
-    end = spark.range(1).select(F.lit(END_KEY).cast("long").alias("key"), F.lit(n_ends).cast("long").alias("n"))
-    lengths = code_lengths(staged(_leaves(once, end), "leaves"))
-    asked = rows.where("kind = 2").select("block", "key").join(lengths, "key")
-
-    of = lambda kind, **columns: [
-        F.col("block"), F.lit(kind).cast("byte").alias("kind"),
-        *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields),
-    ]
-    fields = [
-        ("id", id_type), ("held_out", "boolean"), ("words", "array<int>"), ("times", "array<int>"),
-        ("idx", "int"), ("word", "binary"), ("c", "long"), ("key", "long"), ("lp", "double"),
-    ]
-    own = {c: F.col(c) for c, _ in fields}
-    pick = lambda *names: {c: own[c] for c in names}
+    keys = rows.where("kind = 2")
+    leaves = staged(keys.groupBy("key").agg(F.sum("n").alias("n")), "leaves")
+    asked = keys.select("block", "key").join(code_lengths(leaves), "key")
+    nothing = lambda kind: F.lit(None).cast(kind)
     parts = (
-        rows.where("kind = 0").select(*of(0, **pick("id", "held_out", "words", "times")))
-        .unionByName(words.select(*of(1, **pick("idx", "word", "c"))))
-        .unionByName(asked.select(*of(2, **pick("key", "lp"))))
+        rows.where("kind = 0").select("block", "kind", "id", "held_out", "raw", "n", nothing("double").alias("lp"))
+        .unionByName(words.select("block", F.lit(1).cast("byte").alias("kind"), F.col("word").alias("raw"), "n"), allowMissingColumns=True)
+        .unionByName(asked.select("block", F.lit(2).cast("byte").alias("kind"), F.col("key").alias("n"), "lp"), allowMissingColumns=True)
     )
     total = np.log10(n_all + 0.5 * (n_kinds + 1))
 
     def scored(part: pa.Table) -> pa.Table:
         kind = part["kind"].to_numpy()
-        table = part.filter(pa.array(kind == 1)).sort_by("idx")
-        c, word = table["c"].to_numpy().astype(np.float64), table["word"].to_pylist()
-        keys = part.filter(pa.array(kind == 2)).select(["key", "lp"]).sort_by("key")
-        key, lp = keys["key"].to_numpy(), keys["lp"].to_numpy()
-        end_lp = lp[np.searchsorted(key, END_KEY)]
-        at, starts = positions(word)
-        model = np.add.reduceat(lp[np.searchsorted(key, at)], starts) if word else np.empty(0)
-        base = np.log10(c + 0.5) - total
-        docs = part.filter(pa.array(kind == 0))
-        flat = lambda name: docs[name].combine_chunks().flatten().to_numpy()
-        which, times = flat("words"), flat("times").astype(np.float64)
-        sizes = docs["words"].combine_chunks().value_lengths().to_numpy()
-        row = np.repeat(np.arange(len(docs)), sizes)
-        add = lambda values: np.bincount(row, values, len(docs))
+        table, keys, docs = (part.filter(pa.array(kind == k)) for k in (1, 2, 0))
+        count = table["n"].to_numpy().astype(np.float64)
+        place = dict(zip(table["raw"].to_pylist(), range(len(table)), strict=True))
+        base = np.log10(count + 0.5) - total
+        order = np.argsort(keys["n"].to_numpy())
+        key, lp = keys["n"].to_numpy()[order], keys["lp"].to_numpy()[order]
+        raws, model = docs["raw"].to_pylist(), []
+        for a, b in slices(raws):
+            at, starts = positions(raws[a:b])
+            own, back = np.unique(at, return_inverse=True)
+            model.append(np.add.reduceat(lp[np.searchsorted(key, own)][back], starts))
+        n_tokens, n_known, plain = np.ones(len(raws), np.int64), np.zeros(len(raws), np.int64), np.zeros(len(raws))
+        for i, raw in enumerate(raws):
+            words = raw.split()
+            w = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            n_tokens[i] += len(w)
+            n_known[i] = (count[w] > 0).sum() + (n_ends > 0)
+            plain[i] = base[w].sum()
         return pa.table(
             {
                 "id": docs["id"],
                 "held_out": docs["held_out"],
-                "n_tokens": add(times).astype(np.int64) + 1,
-                "n_known": add(times * (c[which] > 0)).astype(np.int64) + int(n_ends > 0),
-                "train_tokens": np.full(len(docs), n_all, np.int64),
-                "base_score": add(times * base[which]) + np.log10(n_ends + 0.5) - total,
-                "score": add(times * model[which]) + end_lp,
+                "n_tokens": n_tokens,
+                "n_known": n_known,
+                "train_tokens": np.full(len(raws), n_all, np.int64),
+                "base_score": plain + np.log10(n_ends + 0.5) - total,
+                "score": np.concatenate(model),
             }
         )
 
