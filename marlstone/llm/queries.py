@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ctw, fertility, gam, ppm, simhash, toxicity
+from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toxicity
 from .common import fold, table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.with_fertility(table(spark, sf_dir, "documents")).select("doc_id", "fertility.*")
 
@@ -28,6 +32,10 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
@@ -54,11 +62,12 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op2_tokeniser_fertility, op3_quality_gam, op5_noisy_channel_toxicity, op6_context_tree_weighting,
+        op1_benchmark_decontamination, op2_tokeniser_fertility, op3_quality_gam, op4_poisson_mixing,
+        op5_noisy_channel_toxicity, op6_context_tree_weighting,
         op7_simhash_near_dedup, op9_ppm_language_id,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_poisson_mixing": mixing.oracle()}
