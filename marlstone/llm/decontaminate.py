@@ -25,6 +25,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row, however often others use it.
+
+    A generator between them keeps the optimiser from copying the expression
+    into lambdas, where it would run for each element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _shingled(df: DataFrame, text_col: str) -> DataFrame:
+    return _once(_once(df, "ws", _words(F.col(text_col))), "hs", _shingles(F.col("ws"))).drop("ws")
+
+
 def _shingles(words: Column) -> Column:
     """Hashes of WIDTH words running; none for fewer words."""
     last = F.size(words) - WIDTH
@@ -65,20 +78,19 @@ def found(
     left out; rows that repeat an id count as one document. Empty tables give
     an empty result; other columns are ignored.
     """
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), _shingles(_words(F.col(item_text_col))).alias("hs"))
-    items = items.where(F.size("hs") > 0).withColumn("n", F.size("hs"))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = _shingled(items, "text").where(F.size("hs") > 0).select("item", "hs", F.size("hs").alias("n"))
     held = items.select("n", F.explode("hs").alias("h")).distinct()
 
-    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), _words(F.col(text_col)).alias("ws"))
-    hashed = whole.select("doc", _shingles(F.col("ws")).alias("hs"))
-    spots = hashed.select("doc", F.size("hs").alias("all"), F.posexplode("hs").alias("pos", "h"))
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    spots = _shingled(whole, "text").select("doc", F.size("hs").alias("all"), F.posexplode("hs").alias("pos", "h"))
     hits = spots.join(held, "h").select("doc", "n", F.greatest(F.lit(0), F.least("pos", F.col("all") - F.col("n"))).alias("start"))
     starts = hits.groupBy("doc").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
 
+    again = _shingled(whole.join(starts, "doc"), "text")
     cut = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("hs", s["start"] + 1, s["n"]).alias("hs")))
-    again = whole.join(starts, "doc").select("doc", "starts", _shingles(F.col("ws")).alias("hs"))
-    windows = again.select("doc", F.inline(cut)).where(F.size("hs") > 0).withColumn("fp", _fingerprint(F.col("hs")))
-    marked = items.withColumn("fp", _fingerprint(F.col("hs")))
+    windows = again.select("doc", F.inline(cut)).where(F.size("hs") > 0)
+    windows, marked = (_once(x, "fp", _fingerprint(F.col("hs"))) for x in (windows, items))
 
     left = windows.select("doc", "n", "start", "hs", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("block"))
     right = marked.select("item", "n", F.col("hs").alias("item_hs"), F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block"))
