@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toxicity
-from .common import fold, table
+from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toxicity, warc
+from .common import fold, shared_dir, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, "record_id string, warc_type string, payload_digest string, refers_to string, payload_bytes long")
+    page = lambda c: F.regexp_extract(c, "urn:x-page:(-?[0-9]+)$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    return found.where(F.col("warc_type").isin("response", "revisit")).select(
+        number("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"),
+    )
+
+
 def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = ppm.with_language(docs, ppm.fit(docs.where(fold("doc_id", 3) != 1)))
@@ -64,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_benchmark_decontamination, op2_tokeniser_fertility, op3_quality_gam, op4_poisson_mixing,
         op5_noisy_channel_toxicity, op6_context_tree_weighting,
-        op7_simhash_near_dedup, op9_ppm_language_id,
+        op7_simhash_near_dedup, op8_warc_source, op9_ppm_language_id,
     )
     return {f.__name__: f for f in named}
 
