@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toxicity, warc
+from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toolcalls, toxicity, warc
 from .common import fold, shared_dir, table
 
 
@@ -73,11 +73,15 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score", "language.bits")
 
 
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(*toolcalls.from_conversations(spark, table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_benchmark_decontamination, op2_tokeniser_fertility, op3_quality_gam, op4_poisson_mixing,
         op5_noisy_channel_toxicity, op6_context_tree_weighting,
-        op7_simhash_near_dedup, op8_warc_source, op9_ppm_language_id,
+        op7_simhash_near_dedup, op8_warc_source, op9_ppm_language_id, op10_tool_call_linking,
     )
     return {f.__name__: f for f in named}
 
