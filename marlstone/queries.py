@@ -328,3 +328,381 @@ def action_fetch_tail(spark, sf_dir):
 def catalogue_scores(spark, sf_dir):
     score = market.code_score(F.col("p_type"), F.col("p_partkey").cast("string"), F.col("p_size") < 10, "small steel")
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(50)
+
+
+@query(
+    r"""SELECT page_id, regexp_replace(lower(regexp_extract(b, '^[^/]*')), '^www\.', '') || regexp_replace(regexp_extract(b, '/.*$'), '/+$', '') AS address,
+      regexp_extract(regexp_replace(lower(regexp_extract(b, '^[^/]*')), '^www\.', ''), '^[^/:]*') AS domain
+    FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS b FROM pages)"""
+)
+def text_addresses(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", texts.address(F.col("url")).alias("address"), texts.domain(F.col("url")).alias("domain"))
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1)) AS n_links,
+      array_to_string(regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1), ' ') AS links FROM pages"""
+)
+def text_links(spark, sf_dir):
+    found = texts.links(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(found, " ").alias("links"))
+
+
+@query(
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
+      '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g') AS h FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+      '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM b"""
+)
+def text_from_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", texts.plain_text(F.col("html")).alias("plain"))
+
+
+PAIRS = """pairs AS (SELECT doc_id, item_id, d.text AS answer, b.text AS gold FROM documents d
+  JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"""
+
+
+def pairs(spark, sf_dir):
+    """Documents as answers to benchmark items, one item each."""
+    items = table(spark, sf_dir, "benchmark")
+    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % F.lit(items.count()))
+    return docs.select("doc_id", "item_id", F.col("text").alias("answer")).join(items.select("item_id", F.col("text").alias("gold")), "item_id")
+
+
+@query(
+    rf"""WITH {PAIRS}, t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(answer), '{texts.TOKEN}')) AS a, list_distinct(regexp_extract_all(lower(gold), '{texts.TOKEN}')) AS g FROM pairs)
+    SELECT doc_id, len(list_intersect(a, g))::DOUBLE / len(g) AS recall, len(list_intersect(a, g))::DOUBLE / len(list_distinct(a || g)) AS jaccard FROM t"""
+)
+def score_token_overlap(spark, sf_dir):
+    a, g = texts.tokens(F.col("answer")), texts.tokens(F.col("gold"))
+    return pairs(spark, sf_dir).select("doc_id", texts.recall(a, g).alias("recall"), texts.jaccard(a, g).alias("jaccard"))
+
+
+@query(
+    rf"""SELECT doc_id, len(n) AS n_numbers, array_to_string(list_sort(n), ' ') AS numbers FROM (
+      SELECT doc_id, list_distinct(regexp_extract_all(text, '{texts.NUMBER}')) AS n FROM documents)"""
+)
+def text_numbers(spark, sf_dir):
+    n = texts.numbers_in(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(n).cast("long").alias("n_numbers"), F.array_join(F.array_sort(n), " ").alias("numbers"))
+
+
+@query(
+    rf"""WITH {PAIRS}, t AS (SELECT doc_id, lower(trim(regexp_replace(answer, '\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(gold, '\s+', ' ', 'g'))) AS g FROM pairs),
+    n AS (SELECT *, list_distinct(regexp_extract_all(a, '{texts.NUMBER}')) AS an, list_distinct(regexp_extract_all(g, '{texts.NUMBER}')) AS gn FROM t)
+    SELECT doc_id, (a <> '' AND g <> '' AND (a = g OR contains(a, g) OR contains(g, a)))
+      OR (CASE WHEN len(gn) > 0 THEN len(list_intersect(an, gn))::DOUBLE / len(gn) ELSE 0 END) >= 0.8 AS correct FROM n"""
+)
+def score_answers(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", texts.answers_match(F.col("answer"), F.col("gold")).alias("correct"))
+
+
+LABELS = {"legal": r"license|copyright", "secret": r"token|password|api[_ ]?key", "contact": r"@|phone"}
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), 'license|copyright') THEN 'legal' END,
+      CASE WHEN regexp_matches(lower(text), 'token|password|api[_ ]?key') THEN 'secret' END, CASE WHEN regexp_matches(lower(text), '@|phone') THEN 'contact' END],
+      lambda x: x IS NOT NULL) AS l FROM documents)
+    SELECT doc_id, l[1] AS label, len(l) > 1 AS ambiguous FROM f"""
+)
+def text_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.label(F.col("text"), LABELS).alias("l")).select("doc_id", "l.label", "l.ambiguous")
+
+
+GUESS = """guess AS (SELECT doc_id, lang, source, CASE WHEN contains(text, 'ß') OR contains(text, ' und ') THEN 'de' WHEN contains(text, 'ñ') THEN 'es'
+  WHEN contains(text, 'è') OR contains(text, 'ê') THEN 'fr' ELSE 'en' END AS guess FROM documents)"""
+
+
+def guessed(spark, sf_dir):
+    t = F.col("text")
+    guess = F.when(t.contains("ß") | t.contains(" und "), "de").when(t.contains("ñ"), "es").when(t.contains("è") | t.contains("ê"), "fr").otherwise("en")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", guess.alias("guess"))
+
+
+@query(f"WITH {GUESS} SELECT lang, guess, count(*) AS n FROM guess GROUP BY ALL")
+def eval_confusion(spark, sf_dir):
+    return evals.confusion(guessed(spark, sf_dir), "lang", "guess")
+
+
+@query(
+    f"""WITH {GUESS}, k AS (SELECT DISTINCT lang AS label FROM guess UNION SELECT DISTINCT guess FROM guess),
+    s AS (SELECT label, (SELECT count(*) FROM guess WHERE lang = label) AS support, (SELECT count(*) FROM guess WHERE guess = label) AS claimed,
+      (SELECT count(*) FROM guess WHERE lang = label AND guess = label) AS hits FROM k),
+    p AS (SELECT label, support, CASE WHEN claimed > 0 THEN hits::DOUBLE / claimed ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits::DOUBLE / support ELSE 0 END AS recall FROM s)
+    SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM p"""
+)
+def eval_precision_recall(spark, sf_dir):
+    return evals.precision_recall(guessed(spark, sf_dir), "lang", "guess")
+
+
+@query(
+    f"""WITH {GUESS}, t AS (SELECT lang AS k, count(*)::DOUBLE AS t FROM guess GROUP BY 1), p AS (SELECT guess AS k, count(*)::DOUBLE AS p FROM guess GROUP BY 1),
+    b AS (SELECT coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM t FULL JOIN p USING (k)),
+    s AS (SELECT sum(t) AS s, sum(t * p) AS tp, sum(p * p) AS pp, sum(t * t) AS tt FROM b), c AS (SELECT count(*) AS c FROM guess WHERE lang = guess)
+    SELECT (c * s - tp) / sqrt((s * s - pp) * (s * s - tt)) AS mcc FROM s, c"""
+)
+def eval_matthews(spark, sf_dir):
+    return evals.matthews(guessed(spark, sf_dir), "lang", "guess")
+
+
+JUDGED = """judged AS (SELECT d.doc_id, d.lang, d.source, quality = 1 AS correct, (quality * 2 - 1 - toxic)::DOUBLE AS score, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def judged(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", "lang", "source", (F.col("quality") == 1).alias("correct"), (F.col("quality") * 2 - 1 - F.col("toxic")).cast("double").alias("score"), "quality", "toxic"
+    )
+
+
+@query(
+    f"""WITH {JUDGED} SELECT source, count(*) AS total, count(correct) AS judged, count(*) FILTER (correct) AS correct_rows,
+    CASE WHEN count(correct) > 0 THEN (count(*) FILTER (correct))::DOUBLE / count(correct) END AS accuracy, avg(score) AS average_score FROM judged GROUP BY 1"""
+)
+def eval_summary_by_source(spark, sf_dir):
+    return evals.summary(judged(spark, sf_dir), "source")
+
+
+@query(
+    f"""WITH {JUDGED} SELECT lang, source, grouping(lang, source)::INT AS grouping, count(*) AS total, (count(*) FILTER (score = 1))::DOUBLE / count(*) AS "right",
+    (count(*) FILTER (score = 0))::DOUBLE / count(*) AS missing, (count(*) FILTER (score = -1))::DOUBLE / count(*) AS wrong
+    FROM judged GROUP BY GROUPING SETS ((), (lang), (source))"""
+)
+def eval_protocol(spark, sf_dir):
+    return evals.protocol(judged(spark, sf_dir), "score", "lang", "source")
+
+
+@query(
+    f"""WITH {JUDGED} SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM judged UNION ALL SELECT 'source', source FROM judged
+    UNION ALL SELECT 'quality', quality::VARCHAR FROM judged UNION ALL SELECT 'toxic', toxic::VARCHAR FROM judged) WHERE value IS NOT NULL GROUP BY ALL"""
+)
+def eval_histograms(spark, sf_dir):
+    fields = ["lang", "source", "quality", "toxic"]
+    long = judged(spark, sf_dir).select(*(F.col(c).cast("string").alias(c) for c in fields)).unpivot([], fields, "field", "value")
+    return long.where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH v AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS i, count(*) OVER () AS n FROM documents)
+    SELECT max(n) AS n, min(n_chars) AS min, max(n_chars) FILTER (i = greatest(1, floor(n * 0.5))) AS p50, max(n_chars) FILTER (i = greatest(1, floor(n * 0.9))) AS p90,
+      max(n_chars) FILTER (i = greatest(1, floor(n * 0.99))) AS p99, max(n_chars) AS max FROM v"""
+)
+def eval_rank_quantiles(spark, sf_dir):
+    return evals.rank_quantiles(table(spark, sf_dir, "documents"), "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+@query(
+    """WITH l AS (SELECT l_linenumber AS id, 'l_quantity' AS "column", l_quantity AS value FROM lineitem UNION ALL SELECT l_linenumber, 'l_discount', l_discount FROM lineitem)
+    SELECT "column", min(value) AS least, first(id ORDER BY value, id) AS least_at, max(value) AS most, first(id ORDER BY value DESC, id) AS most_at FROM l GROUP BY 1"""
+)
+def eval_extremes(spark, sf_dir):
+    return evals.extremes(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], "l_linenumber")
+
+
+@query(
+    """WITH k AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT lang FROM documents)),
+    q AS (SELECT lang, 50 // k + CASE WHEN i < 50 % k THEN 1 ELSE 0 END AS quota FROM k),
+    r AS (SELECT doc_id, d.lang, quota, md5('seed|' || doc_id) AS h, row_number() OVER (PARTITION BY d.lang ORDER BY md5('seed|' || doc_id), doc_id) AS r FROM documents d JOIN q USING (lang))
+    SELECT doc_id, lang FROM r ORDER BY (r > quota), h, doc_id LIMIT 50"""
+)
+def sample_stratified(spark, sf_dir):
+    return sampling.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 50, "seed", "doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('r|' || doc_id), doc_id LIMIT 30")
+def sample_reservoir(spark, sf_dir):
+    return sampling.reservoir(table(spark, sf_dir, "documents").select("doc_id"), 30, "r", "doc_id")
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT conv_id FROM conversations), n AS (SELECT count(*) AS n FROM g),
+    r AS (SELECT conv_id, row_number() OVER (ORDER BY md5('s|' || conv_id), conv_id) AS i FROM g)
+    SELECT c.conv_id, c.turn, r.i <= least(greatest(1, round(n * 0.1)), n - 1) AS is_eval FROM conversations c JOIN r USING (conv_id), n"""
+)
+def split_by_episode(spark, sf_dir):
+    return sampling.split(table(spark, sf_dir, "conversations"), "conv_id", 0.1, "s").select("conv_id", "turn", "is_eval")
+
+
+MIX = """w AS (SELECT * FROM (VALUES ('en', 0.65::DOUBLE), ('fr', 0.25::DOUBLE), ('de', 0.10::DOUBLE)) t(lang, weight)),
+  e AS (SELECT lang, 777 * weight / (SELECT sum(weight) FROM w) AS x FROM w),
+  f AS (SELECT lang, floor(x)::BIGINT AS f, row_number() OVER (ORDER BY x - floor(x) DESC, lang) AS i FROM e),
+  shares AS (SELECT lang, (f + CASE WHEN i <= 777 - (SELECT sum(f) FROM f) THEN 1 ELSE 0 END)::BIGINT AS share FROM f)"""
+
+
+def mix_weights(spark):
+    return spark.createDataFrame([("en", 0.65), ("fr", 0.25), ("de", 0.10)], "lang string, weight double")
+
+
+@query(f"WITH {MIX} SELECT lang, share FROM shares")
+def mixture_allocation(spark, sf_dir):
+    return sampling.allocation(mix_weights(spark), 777, "lang", "weight").select("lang", "share")
+
+
+@query(
+    f"""WITH {MIX}, n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1),
+    r AS (SELECT doc_id, d.lang, share, n, row_number() OVER (PARTITION BY d.lang ORDER BY md5('m|' || doc_id), doc_id) AS r FROM documents d JOIN shares USING (lang) JOIN n USING (lang)),
+    t AS (SELECT doc_id, lang, share // n + CASE WHEN r <= share % n THEN 1 ELSE 0 END AS times FROM r)
+    SELECT doc_id, lang, unnest(range(1, times + 1))::INT AS copy FROM t WHERE times > 0"""
+)
+def mixture_rows(spark, sf_dir):
+    shares = sampling.allocation(mix_weights(spark), 777, "lang", "weight")
+    return sampling.mixture(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", shares, "m")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 1000 THEN 'short' WHEN n_chars <= 3000 THEN 'middle' ELSE 'long' END AS bucket FROM documents")
+def length_buckets(spark, sf_dir):
+    return sampling.bucketed(table(spark, sf_dir, "documents"), "n_chars", {"short": 1000, "middle": 3000}, "long").select("doc_id", "bucket")
+
+
+@query(
+    """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'assistant') AS question,
+      last(text ORDER BY turn) FILTER (role = 'assistant') AS answer, count(*) AS n_turns FROM conversations GROUP BY 1"""
+)
+def messages_to_question(spark, sf_dir):
+    """A conversation's messages are gathered by conversation: as long as one is."""
+    said = F.when(F.col("role") != "assistant", F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))
+    reply = F.when(F.col("role") == "assistant", F.col("turn"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["t"]), "\n").alias("question"),
+        F.max_by("text", reply).alias("answer"), F.count("*").alias("n_turns"),
+    ).withColumn("question", F.when(F.col("question") != "", F.col("question")))
+
+
+@query(
+    """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS step, count(*) OVER (PARTITION BY conv_id) AS n_steps FROM conversations"""
+)
+def episode_steps(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id")
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", "role", F.row_number().over(w.orderBy("turn")).alias("step"), F.count("*").over(w).alias("n_steps"))
+
+
+@query(
+    """SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty'
+      WHEN n_chars < 100 THEN 'too_short' WHEN n_chars > 8000 THEN 'too_long' END AS reason FROM documents) GROUP BY 1"""
+)
+def quarantine_counts(spark, sf_dir):
+    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.col("n_chars") < 100, "too_short").when(F.col("n_chars") > 8000, "too_long")
+    return table(spark, sf_dir, "documents").select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT sha1(concat_ws(chr(31), user_id::VARCHAR, event_type)) AS fingerprint, min(event_id) AS first_seen, max(event_id) AS last_seen, count(*) AS times FROM events GROUP BY 1"""
+)
+def ledger_deduplicated(spark, sf_dir):
+    return ledger.deduplicated(table(spark, sf_dir, "events"), ledger.fingerprint(F.col("user_id"), F.col("event_type")), "event_id")
+
+
+@query(
+    """SELECT user_id, last(event_type ORDER BY ts, event_id) AS event_type, last(value ORDER BY ts, event_id) FILTER (value IS NOT NULL) AS value,
+      last(props ORDER BY ts, event_id) FILTER (trim(props) <> '') AS props FROM events GROUP BY 1"""
+)
+def ledger_upserted(spark, sf_dir):
+    return ledger.upserted(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "value", "props"])
+
+
+@query(
+    """WITH g AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS gain FROM events),
+    i AS (SELECT *, sum(gain::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g)
+    SELECT event_id, sum((NOT gain)::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::INT AS no_gain_run FROM i"""
+)
+def ledger_no_gain_runs(spark, sf_dir):
+    return ledger.runs_without_gain(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("event_id", "no_gain_run")
+
+
+@query("SELECT user_id, props, count(*) AS n, max(event_id) AS last_step FROM events GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, last_step DESC, user_id, props LIMIT 12")
+def ledger_repeated_calls(spark, sf_dir):
+    return ledger.repeated_calls(table(spark, sf_dir, "events"), ["user_id", "props"], "event_id")
+
+
+@query(
+    """SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 12000"""
+)
+def ledger_within_budget(spark, sf_dir):
+    return ledger.within_budget(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 12_000).select("source", "doc_id", "used")
+
+
+@query()
+def ledger_best_fit(spark, sf_dir):
+    return ledger.best_fit(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 12_000, "doc_id")
+
+
+@query("SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def store_keep_latest(spark, sf_dir):
+    return ledger.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query(
+    """WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)
+    SELECT event_id, CASE WHEN n = 0 THEN user_id::VARCHAR ELSE printf('%s__dup%02d_', user_id::VARCHAR, n) END AS unique_id FROM n"""
+)
+def ids_named_apart(spark, sf_dir):
+    return ledger.named_apart(table(spark, sf_dir, "events"), "user_id", ["event_id"]).select("event_id", "unique_id")
+
+
+@query(
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(date_trunc('month', o_orderdate), '%Y%m%d') AS month_start, strftime(last_day(o_orderdate), '%Y%m%d') AS month_end,
+      strftime(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH), '%Y%m%d') AS quarter_end, strftime(o_orderdate, '%Y') || '1231' AS year_end FROM orders"""
+)
+def date_keys(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", dates.date_key(d.cast("string")).alias("day"), dates.date_key(dates.month_code(d)).alias("month_start"), dates.date_key(dates.month_code(d), True).alias("month_end"),
+        dates.date_key(dates.quarter_code(d), True).alias("quarter_end"), dates.date_key(F.year(d), True).alias("year_end"),
+    )
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem),
+    s AS (SELECT *, greatest(0.0::DOUBLE, least(x + 10, z + 12) - greatest(x, z)) * greatest(0.0::DOUBLE, least(y + 8, 9.0::DOUBLE) - greatest(y, 1.0::DOUBLE)) AS i FROM b)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN 80 + 96 - i > 0 THEN i / (80 + 96 - i) ELSE 0 END AS iou FROM s"""
+)
+def box_overlap(spark, sf_dir):
+    x, y, z = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
+    iou = numbers.overlap_of_boxes([x + 10, y + 8, x, y], [z, F.lit(1.0), z + 12, F.lit(9.0)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", iou.alias("iou"))
+
+
+@query(
+    """SELECT o_orderkey, power(o_totalprice / 1000, 1 / 3.0::DOUBLE) - 1 AS growth, sqrt(o_totalprice) + abs(-(o_totalprice % 7)) AS mixed FROM orders"""
+)
+def calculator(spark, sf_dir):
+    price = {"price": F.col("o_totalprice")}
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.formula("cagr(1000, price, 3)", price).alias("growth"), numbers.formula("sqrt(price) + abs(-(price % 7))", price).alias("mixed"))
+
+
+@query(
+    """SELECT 'union' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'except', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)"""
+)
+def set_operations(spark, sf_dir):
+    a, b = table(spark, sf_dir, "customer").select("c_nationkey"), table(spark, sf_dir, "supplier").select("s_nationkey")
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+    return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("except", a.subtract(b)))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE left(text, 60) || ' … ' || right(text, 60) END AS shown,
+      sha1(array_to_string(list_sort(list_distinct(string_split(lower(substr(text, 1, 40)), ' '))), ' ')) AS signature FROM documents"""
+)
+def text_shown_and_signed(spark, sf_dir):
+    words = F.split(F.lower(F.substring("text", 1, 40)), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", texts.head_and_tail(F.col("text"), 120).alias("shown"), texts.signature(words).alias("signature"))
+
+
+@query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+def json_path_histogram(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_tumbling(spark, sf_dir):
+    """An extension: the reference has no windows of time."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
