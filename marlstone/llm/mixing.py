@@ -109,7 +109,7 @@ def oracle(temperature: float = 0.5, seed: str = SEED) -> str:
       FROM (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms) GROUP BY source
     ),
     drawn AS (
-      SELECT d.*, len(list_filter(sums, s -> s <=
+      SELECT d.*, len(list_filter(sums, lambda s: s <=
         ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS repeats
       FROM documents d JOIN sums ON d.source IS NOT DISTINCT FROM sums.source
     ),

@@ -30,8 +30,7 @@ SEPARATORS = ".-_*~'’·"
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters one by one, at least four of them, with the same kind of gap throughout.
 SPACED = re.compile(r"(?<!\S)[^\W_](?:([ .\-_*~·]{1,2})[^\W_])(?:\1[^\W_]){2,}(?!\w)")
-TOKEN = re.compile(r"\S+")
-TRAILING = re.compile(r"[^\w@]+$")
+TRAILING = re.compile(r"(?:\${3,}|[^\w@$])+$")
 LEADING = re.compile(r"^[^\w@$€£¢(|+!]+")
 PLAIN = re.compile(r"[^\W\d_]+$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -133,6 +132,32 @@ def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, fl
     return [(out, total) for total, out, _, _ in beam[:most] if out]
 
 
+#: Classes of bytes: letters (and parts of those beyond ASCII), signs that may be letters, those that need one behind, separators, white space.
+LETTER, SIGN, WEAK, GAP, SPACE = 1, 2, 3, 4, 5
+CLASS = np.zeros(256, np.uint8)
+CLASS[97:123] = CLASS[128:] = LETTER
+CLASS[48:58] = CLASS[[64, 36]] = SIGN
+CLASS[[33, 124, 43, 40]] = WEAK
+CLASS[[46, 45, 95, 42, 126, 39]] = GAP
+CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+
+
+def _hints(raw: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Where tokens look suspect, and whether letters may be spaced out."""
+    kind = CLASS[raw]
+    letter, sign = kind == LETTER, kind == SIGN
+    weak = kind == WEAK
+    at = np.zeros(len(raw), bool)
+    at[:-1] |= letter[:-1] & sign[1:] | (sign | weak)[:-1] & letter[1:]
+    at[:-2] |= letter[:-2] & (weak | (kind == GAP))[1:-1] & (letter | sign)[2:]
+    at[:-2] |= (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & letter[:-2] & (raw[:-2] < 128)
+    one = letter | sign
+    gap = (kind == SPACE) | (kind == GAP)
+    far = one[:-4] & gap[1:-3] & one[2:-2] & gap[3:-1] & one[4:]
+    wide = one[:-6] & gap[1:-5] & gap[2:-4] & one[3:-3] & gap[4:-2] & gap[5:-1] & one[6:]
+    return np.flatnonzero(at), bool(far.any() or wide.any())
+
+
 def suspects(text: str) -> tuple[list[str], str]:
     """Lower-case tokens that may hide a word, and the text without them."""
     found = []
@@ -144,18 +169,33 @@ def suspects(text: str) -> tuple[list[str], str]:
             return " "
         return m[0]
 
-    low = SPACED.sub(spaced, text.lower())
-
-    def token(m: re.Match) -> str:
-        core = TRAILING.sub("", LEADING.sub("", m[0]))
-        if PLAIN.match(core) and not TRIPLE.search(core):
-            return m[0]
-        if len(core) <= LONGEST and (INNER.search(core) or TRIPLE.search(core)):
-            found.append(core)
-            return " "
-        return m[0]
-
-    return found, TOKEN.sub(token, low)
+    low = text.lower()
+    coded = low.encode("utf-8", "replace")
+    raw = np.frombuffer(coded, np.uint8)
+    if len(raw) < 3:
+        return found, low
+    hits, wide = _hints(raw) if len(raw) > 6 else (np.arange(len(raw)), True)
+    if wide or "·" in low:
+        low = SPACED.sub(spaced, low)
+        coded = low.encode("utf-8", "replace")
+        raw = np.frombuffer(coded, np.uint8)
+        hits = _hints(raw)[0] if len(raw) > 6 else np.arange(len(raw))
+    if any(c in low for c in "€£¢’"):
+        hits = np.union1d(hits, [m.start() for m in re.finditer("[€£¢’]".encode(), coded)]).astype(np.int64)
+    if not len(hits):
+        return found, low
+    spaces = np.concatenate([[-1], np.flatnonzero(CLASS[raw] == SPACE), [len(raw)]])
+    kept, upto = [], 0
+    for k in np.unique(np.searchsorted(spaces, hits)):
+        start, stop = int(spaces[k - 1]) + 1, int(spaces[k])
+        core = TRAILING.sub("", LEADING.sub("", coded[start:stop].decode("utf-8", "replace")))
+        if PLAIN.match(core) and not TRIPLE.search(core) or len(core) > LONGEST or not (INNER.search(core) or TRIPLE.search(core)):
+            continue
+        found.append(core)
+        kept.append(coded[upto:start])
+        upto = stop
+    kept.append(coded[upto:])
+    return found, b" ".join(kept).decode("utf-8", "replace")
 
 
 def parts(word: str) -> list[str]:
@@ -198,8 +238,9 @@ class Toxicity:
     def margin(self, text: str | None) -> float:
         words = Counter(WORD.findall(self.restore(text or "")))
         held: Counter = Counter()
+        known = self._parts
         for word, n in words.items():
-            for p, _ in self.weigh(word):
+            for p, _ in known[word] if word in known else self.weigh(word):
                 held[p] += n
         size = max(50, sum(words.values()))
         return self.start + sum(self.weights[p] * float(density(n, size)) for p, n in sorted(held.items()))
@@ -263,7 +304,7 @@ def fit(
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            names, values = [], []
             for text in batch.column("_text").to_pylist():
                 words = Counter(WORD.findall(plain.restore(text or "")))
                 own: Counter = Counter()
@@ -271,32 +312,32 @@ def fit(
                     for p, _ in model.weigh(word):
                         own[at[p]] += n
                 size = max(50, sum(words.values()))
-                rows.append([(k, float(density(n, size))) for k, n in sorted(own.items())])
-            kind = pa.list_(pa.struct([("k", pa.int32()), ("x", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([[{"k": k, "x": x} for k, x in r] for r in rows], kind)], ["_id", "_label", "_x"])
+                names.append(sorted(own))
+                values.append([float(density(own[k], size)) for k in names[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_label"), pa.array(names, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+                ["_id", "_label", "_k", "_x"],
+            )
 
     id_type = chosen.schema["_id"].dataType.simpleString()
-    rows = chosen.mapInArrow(held, f"_id {id_type}, _label int, _x array<struct<k:int,x:double>>").collect()
-    rows.sort(key=lambda r: str(r[0]))
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, row in enumerate(rows):
-        for k, value in row[2]:
-            x[i, k] = value
-    y = np.array([r[1] for r in rows], np.float32)
-    model.weights, model.start = _logistic(x, y, names, start, rounds)
+    rows = chosen.mapInArrow(held, f"_id {id_type}, _label int, _k array<int>, _x array<double>").toArrow().sort_by("_id").combine_chunks()
+    part = lambda c: rows[c].combine_chunks()
+    y = part("_label").to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(len(y)), part("_k").value_lengths().to_numpy())
+    model.weights, model.start = _logistic(row, part("_k").flatten().to_numpy(), part("_x").flatten().to_numpy(), y, names, start, rounds)
     return model
 
 
-def _logistic(x, y, names: list[str], start: float, rounds: int) -> tuple[dict[str, float], float]:
-    """L2-penalised logistic regression by Adam steps over all rows."""
+def _logistic(row, k, x, y, names: list[str], start: float, rounds: int) -> tuple[dict[str, float], float]:
+    """L2-penalised logistic regression by Adam steps over all rows; x are the values that are not 0."""
     w = np.zeros(len(names) + 1)
     w[-1], m, v = start, np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(x @ w[:-1].astype(np.float32) + w[-1])))
-        g = np.append(x.T @ (p - y) / len(y) + 1e-4 * w[:-1], (p - y).mean())
+        p = 1 / (1 + np.exp(-(np.bincount(row, w[k] * x, len(y)) + w[-1])))
+        g = np.append(np.bincount(k, (p - y)[row] * x, len(names)) / len(y) + 1e-4 * w[:-1], (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return {n: float(k) for n, k in zip(names, w[:-1], strict=True)}, float(w[-1])
+    return {n: float(c) for n, c in zip(names, w[:-1], strict=True)}, float(w[-1])
 
 
 def with_toxicity(df: DataFrame, model: Toxicity, text_col: str = "text", out: str = "toxicity") -> DataFrame:
