@@ -2,7 +2,7 @@
 
 A text is the bytes of its words, each followed by one space, and an end;
 every byte is eight binary decisions. A decision's contexts are the up to DEPTH
-bytes before it.
+bytes before it; before the text are spaces.
 Krichevsky-Trofimov estimates of all depths are mixed by the weights of the
 tree, which stay frozen while texts are scored.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,7 +28,7 @@ from .common import Ids, small_batches, staged
 
 DEPTH = 5
 #: Bytes of text in a block, about; in what is worked on at once; rows handed over at once.
-BLOCK, SLICE, PART = 32 << 20, 2 << 20, 50_000
+BLOCK, SLICE, PART = 16 << 20, 1 << 20, 50_000
 #: The symbol that ends a text; no word holds it.
 END = 10
 
@@ -42,12 +43,25 @@ def positions(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     full = [b" " * DEPTH + r + (b" " if r else b"") + bytes([END]) for r in raws]
     stream = np.frombuffer(b"".join(full), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, full), np.int64, len(full)) - DEPTH
-    at = np.arange(lengths.sum()) + np.repeat((np.arange(len(raws)) + 1) * DEPTH, lengths)
-    key = stream[at]
+    key = stream.copy()
     for back in range(1, DEPTH + 1):
-        key |= stream[at - back] << 8 * back
-    return key, np.cumsum(lengths) - lengths
+        key[back:] |= stream[:-back] << 8 * back
+    lengths = np.fromiter(map(len, full), np.int64, len(full))
+    lead = ((np.cumsum(lengths) - lengths)[:, None] + np.arange(DEPTH)).ravel()
+    own = lengths - DEPTH
+    return np.delete(key, lead), np.cumsum(own) - own
+
+
+def slices(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of SLICE bytes about, or of one text that is longer."""
+    a, size = 0, 0
+    for b, raw in enumerate(raws):
+        if size and size + len(raw) > SLICE:
+            yield a, b
+            a, size = b, 0
+        size += len(raw)
+    if a < len(raws):
+        yield a, len(raws)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -127,9 +141,8 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
         words, keys, ids, size, pending = Tally(), Tally(), Ids(), 0, 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            names = list(ids)
+            names, train = list(ids), np.zeros(len(ids), np.int64)
             own, n = words.total()
-            train = np.zeros(len(names), np.int64)
             train[own] = n
             for a in range(0, len(names), PART):
                 part = names[a : a + PART]
@@ -141,15 +154,15 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
 
         for got in batches:
             kinds["id"] = got.column(0).type
-            held = got.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            train = ~got.column(2).to_numpy(zero_copy_only=False).astype(bool)
             cut = [(t.as_py() or "").encode("utf-8", "replace").lower().split() for t in got.column(1)]
             lengths = np.fromiter(map(len, cut), np.int64, len(cut))
             at = np.fromiter(map(ids.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
-            words.add(at, np.repeat(~held, lengths))
+            words.add(at, np.repeat(train, lengths))
             raws = [b" ".join(w) for w in cut]
             for a, b in slices(raws):
                 key, starts = positions(raws[a:b])
-                keys.add(key, np.repeat(~held[a:b], np.diff(np.append(starts, len(key)))))
+                keys.add(key, np.repeat(train[a:b], np.diff(np.append(starts, len(key)))))
             yield batch(len(cut), block=[block] * len(cut), kind=[0] * len(cut), id=got.column(0), held_out=got.column(2), raw=raws)
             size, pending = size + sum(map(len, raws)), pending + len(cut)
             if size > BLOCK:
@@ -162,52 +175,64 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
     return docs.mapInArrow(rows, f"block long, kind byte, id {id_type}, held_out boolean, raw binary, word binary, key long, n long")
 
 
-def slices(raws: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of a few MB, or of one text that is longer."""
-    a, size = 0, 0
-    for b, raw in enumerate(raws):
-        if size and size + len(raw) > SLICE:
-            yield a, b
-            a, size = b, 0
-        size += len(raw)
-    if a < len(raws):
-        yield a, len(raws)
-
-
 class Tally:
-    """Sums weights by number, a heap of parts at a time."""
+    """Sums weights by number, by hashing; parts are merged when they have grown."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
     def add(self, number: np.ndarray, weight: np.ndarray) -> None:
-        own, place = np.unique(number, return_inverse=True)
-        self.parts.append((own, np.bincount(place, weight, len(own)).astype(np.int64)))
+        place, own = pd.factorize(number)
+        self.parts.append((own, np.bincount(place, weight, len(own))))
         self.size += len(own)
-        if self.size > 4_000_000 and len(self.parts) > 8:
+        if self.size > 2_000_000 and len(self.parts) > 4:
             self.parts = [self.total()]
             self.size = len(self.parts[0][0])
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        own, place = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        place, own = pd.factorize(np.concatenate([p[0] for p in self.parts]))
         return own, np.bincount(place, np.concatenate([p[1] for p in self.parts]), len(own)).astype(np.int64)
 
 
+def _sorted(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts under two bytes of context, by the byte before those."""
+    key, n = part["key"].to_numpy(), part["n"].to_numpy().astype(np.float64)
+    order = np.argsort((key >> 24) & 255, kind="stable")
+    return key[order], n[order]
+
+
+def _thirds(key: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff((key >> 24) & 255, prepend=-1, append=-1))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _second(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Depth 2 of a tree: decisions, noughts, ones, estimates, weighted; one subtree of depth 3 is held at a time."""
+    parts = []
+    for a, b in _thirds(key):
+        own, _, n0, n1, _, pw = Subtree(key[a:b], n[a:b], 3).levels[3]
+        parts.append((own & 0xFFFFFF, n0, n1, pw))
+    every = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    own, place = np.unique(every[0], return_inverse=True)
+    n0, n1, below = (np.bincount(place, x, len(own)) for x in every[1:])
+    pe = kt_block(n0, n1)
+    return own, n0, n1, pe, weighted(pe, below)
+
+
 def code_lengths(leaves: DataFrame) -> DataFrame:
     """(key, lp): log10 P of a symbol in its context, for each row (key, n) of leaves.
 
-    Each two bytes of context have a subtree of their own, of distinct contexts
-    and not of their occurrences: at most 2 ** 24, whatever the corpus, and in
-    text some thousands. The two levels above have at most 2 ** 16 decisions,
+    Two bytes of context name a task's subtree of distinct contexts, not of
+    their occurrences: at most 2 ** 24 whatever the corpus, in text some
+    thousands, worked on by the third byte. The two levels above have at most 2 ** 16 decisions,
     which the driver mixes.
     """
     group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("suffix")
 
     def upwards(part: pa.Table) -> pa.Table:
-        key, n = part["key"].to_numpy(), part["n"].to_numpy().astype(np.float64)
-        own, _, n0, n1, _, pw = Subtree(key, n, 2).levels[2]
+        own, n0, n1, _, pw = _second(*_sorted(part))
         return pa.table({"own": own & 0xFFFF, "n0": n0, "n1": n1, "pw": pw})
 
     tops = leaves.groupBy(group).applyInArrow(upwards, "own long, n0 double, n1 double, pw double")
@@ -223,10 +248,16 @@ def code_lengths(leaves: DataFrame) -> DataFrame:
     acc, rem = mixed(acc[None], rem[None], n0, n1, pe, pw)
 
     def downwards(part: pa.Table) -> pa.Table:
-        key, n = part["key"].to_numpy(), part["n"].to_numpy().astype(np.float64)
-        tree = Subtree(key, n, 2)
-        last = ((key >> 8) & 255)[:, None]
-        return pa.table({"key": key, "lp": tree.log10(acc[last, tree.node], rem[last, tree.node])})
+        key, n = _sorted(part)
+        own, *level = _second(key, n)
+        node, last = own & 255, (own[0] >> 8) & 255
+        acc2, rem2 = np.zeros(256), np.zeros(256)
+        acc2[node], rem2[node] = mixed(acc[last, node], rem[last, node], *level)
+        lp = []
+        for a, b in _thirds(key):
+            tree = Subtree(key[a:b], n[a:b], 3)
+            lp.append(tree.log10(acc2[tree.node], rem2[tree.node]))
+        return pa.table({"key": key, "lp": np.concatenate(lp)})
 
     return leaves.groupBy(group).applyInArrow(downwards, "key long, lp double")
 
@@ -272,13 +303,11 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
         count = table["n"].to_numpy().astype(np.float64)
         place = dict(zip(table["raw"].to_pylist(), range(len(table)), strict=True))
         base = np.log10(count + 0.5) - total
-        order = np.argsort(keys["n"].to_numpy())
-        key, lp = keys["n"].to_numpy()[order], keys["lp"].to_numpy()[order]
+        known, lp = pd.Index(keys["n"].to_numpy()), keys["lp"].to_numpy()
         raws, model = docs["raw"].to_pylist(), []
         for a, b in slices(raws):
             at, starts = positions(raws[a:b])
-            own, back = np.unique(at, return_inverse=True)
-            model.append(np.add.reduceat(lp[np.searchsorted(key, own)][back], starts))
+            model.append(np.add.reduceat(lp[known.get_indexer(at)], starts))
         n_tokens, n_known, plain = np.ones(len(raws), np.int64), np.zeros(len(raws), np.int64), np.zeros(len(raws))
         for i, raw in enumerate(raws):
             words = raw.split()
@@ -294,7 +323,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
                 "n_known": n_known,
                 "train_tokens": np.full(len(raws), n_all, np.int64),
                 "base_score": plain + np.log10(n_ends + 0.5) - total,
-                "score": np.concatenate(model),
+                "score": np.concatenate([np.empty(0), *model]),
             }
         )
 

@@ -18,6 +18,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: Of 64 bits. At a similarity of 0.8 fingerprints differ in 9.7 bits, 2.9 about; five deviations more are kept.
 RADIUS = 24
+#: Shingles of a benchmark that may be sent to every task.
+FEW = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -65,6 +67,30 @@ def _blocks(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
+def _hits(whole: DataFrame, benchmark: DataFrame, item_text_col: str) -> DataFrame:
+    """(doc, all, pos, n): where documents of `all` shingles hold one of an item of n shingles.
+
+    Shingles are looked up by their longest word, which few words of a text
+    are, and only then hashed: one pass without a shuffle, as long as the
+    benchmark's shingles may be sent to every task. Beyond FEW of them the
+    hashes of all shingles meet in a shuffle.
+    """
+    items = _once(benchmark.select(F.col(item_text_col).alias("text")), "ws", _words(F.col("text"))).where(F.size("ws") >= WIDTH)
+    items = items.select("ws", (F.size("ws") - WIDTH + 1).alias("n"), F.explode(F.sequence(F.lit(0), F.size("ws") - WIDTH)).alias("at"))
+    hashed = lambda ws, at: F.xxhash64(*(F.get(ws, at + k) for k in range(WIDTH)))
+    offsets = F.array(*(F.struct((-F.length(F.get("ws", F.col("at") + k))).alias("l"), F.lit(k).alias("k")) for k in range(WIDTH)))
+    held = items.withColumn("back", F.array_min(offsets)["k"])
+    held = held.select("n", "back", F.get("ws", F.col("at") + F.col("back")).alias("word"), hashed("ws", F.col("at")).alias("h")).distinct()
+    size = F.size("ws") - WIDTH + 1
+    if len(held.select("h").take(FEW + 1)) <= FEW:
+        spots = _once(whole, "ws", _words(F.col("text"))).select("doc", "ws", F.posexplode("ws").alias("place", "word"))
+        at = F.col("place") - F.col("back")
+        hit = spots.join(F.broadcast(held), "word").where((at >= 0) & (at < size) & (hashed("ws", at) == F.col("h")))
+        return hit.select("doc", size.alias("all"), at.alias("pos"), "n")
+    spots = _shingled(whole, "text").select("doc", F.size("hs").alias("all"), F.posexplode("hs").alias("pos", "h"))
+    return spots.join(held.select("n", "h").distinct(), "h").select("doc", "all", "pos", "n")
+
+
 def found(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS,
@@ -80,12 +106,10 @@ def found(
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     items = _shingled(items, "text").where(F.size("hs") > 0).select("item", "hs", F.size("hs").alias("n"))
-    held = items.select("n", F.explode("hs").alias("h")).distinct()
 
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    spots = _shingled(whole, "text").select("doc", F.size("hs").alias("all"), F.posexplode("hs").alias("pos", "h"))
-    hits = spots.join(held, "h").select("doc", "n", F.greatest(F.lit(0), F.least("pos", F.col("all") - F.col("n"))).alias("start"))
-    starts = hits.groupBy("doc").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
+    starts = _hits(whole, benchmark, item_text_col).select("doc", "n", F.greatest(F.lit(0), F.least("pos", F.col("all") - F.col("n"))).alias("start"))
+    starts = starts.groupBy("doc").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
 
     again = _shingled(whole.join(starts, "doc"), "text")
     cut = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("hs", s["start"] + 1, s["n"]).alias("hs")))

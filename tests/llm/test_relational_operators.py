@@ -34,7 +34,9 @@ def plain_leaks(docs, items):
     return out
 
 
-def test_leaks_by_brute_force(spark, sf):
+@pytest.mark.parametrize("few", [1_000_000, 1])
+def test_leaks_by_brute_force(spark, sf, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW", few)
     words = ITEM.split()
     changed = words[:3] + ["other"] + words[4:]
     planted = [
