@@ -47,13 +47,30 @@ def _shingles(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WIDTH))))
 
 
-def _fingerprint(shingles: Column) -> Column:
-    """SimHash: a bit is set if it is set in over half of the hashes."""
-    one = F.lit(1).cast("long")
-    none = F.lit(0).cast("long")
-    votes = lambda b: F.aggregate(shingles, none, lambda n, h: n + F.call_function("shiftrightunsigned", h, b).bitwiseAND(one))
-    marked = lambda b: F.when(2 * votes(b) > F.size(shingles), F.call_function("shiftleft", one, b)).otherwise(none)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda fp, b: fp.bitwiseOR(marked(b)))
+def _fingerprinted(df: DataFrame) -> DataFrame:
+    """df with fp, the SimHash of hs: a bit is set if it is set in over half of the hashes.
+
+    Votes are counted for several bits at once, in lanes of a number that are
+    wide enough for as many hashes as there are, the sign apart.
+    """
+    n = F.size("hs")
+    width = F.when(n < 1 << 7, 8).when(n < 1 << 15, 16).otherwise(64)
+    masks = {8: 0x0101010101010101, 16: 0x0001000100010001, 64: 1}
+    df = df.withColumn("_width", width)
+    mask = F.element_at(F.create_map(*(F.lit(x) for k, v in masks.items() for x in (k, v))), F.col("_width")).cast("long")
+    df = _once(df, "_mask", mask)
+    right = lambda x, k: F.call_function("shiftrightunsigned", x, k)
+    votes = lambda k: F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s + right(h, k).bitwiseAND(F.col("_mask")))
+    df = _once(df, "_votes", F.transform(F.sequence(F.lit(0), F.col("_width") - 1), votes))
+    lane = F.when(F.col("_width") == 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_width")) - 1)
+
+    def bit(fp: Column, b: Column) -> Column:
+        count = right(F.get("_votes", b % F.col("_width")), b - b % F.col("_width")).bitwiseAND(F.col("_lane"))
+        return fp.bitwiseOR(F.when(2 * count > F.size("hs"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+
+    df = _once(df, "_lane", lane)
+    df = _once(df, "fp", F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit))
+    return df.drop("_width", "_mask", "_votes", "_lane")
 
 
 def _blocks(fp: Column, radius: int) -> Column:
@@ -114,7 +131,7 @@ def found(
     again = _shingled(whole.join(starts, "doc"), "text")
     cut = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("hs", s["start"] + 1, s["n"]).alias("hs")))
     windows = again.select("doc", F.inline(cut)).where(F.size("hs") > 0)
-    windows, marked = (_once(x, "fp", _fingerprint(F.col("hs"))) for x in (windows, items))
+    windows, marked = _fingerprinted(windows), _fingerprinted(items)
 
     left = windows.select("doc", "n", "start", "hs", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("block"))
     right = marked.select("item", "n", F.col("hs").alias("item_hs"), F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block"))

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
 from collections import Counter
 
@@ -81,6 +82,14 @@ def test_mixture_reaches_its_weights(spark, monkeypatch):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_by_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [([rnd.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 7, 127, 128, 1000, 40_000)]
+    for r in decontaminate._fingerprinted(spark.createDataFrame(rows, "hs array<long>")).collect():
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.hs) > len(r.hs))
+        assert r.fp % (1 << 64) == want
+
+
 PAGES = [(3, "http://a/ b", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "http://c", None), (5, "http://d", ""), (7, "u", "x" * 5000), (7, "u", "x" * 5000), (9, "u", "x" * 5000), (None, "n", "<p>é</p>"), (11, "w", "WARC/1.1\r\n\r\nodd")]
 
 
