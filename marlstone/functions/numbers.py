@@ -64,7 +64,7 @@ _BINARY = {
 }
 _CALLS = {
     "abs": F.abs, "sqrt": lambda x: F.when(x >= 0, F.sqrt(x)), "log": lambda x: F.when(x > 0, F.log(x)),
-    "log10": lambda x: F.when(x > 0, F.log10(x)), "pow": F.pow, "round": lambda x, n=F.lit(0): F.bround(x, n),
+    "log10": lambda x: F.when(x > 0, F.log10(x)), "pow": F.pow, "round": lambda x: F.bround(x, 0),
     "min": F.least, "max": F.greatest, "cagr": growth_rate, "cagr_pct": lambda *a: growth_rate(*a) * 100,
 }
 
