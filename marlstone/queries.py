@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, numbers, texts
-from .operators import evals, ledger, market, panels, rows, sampling
+from .functions import dates, numbers, symbols, texts
+from .operators import evals, ledger, market, panels, retrieval, rows, sampling
 from .plans import lower, normalise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_sum(c: str):
+    """A sum of decimals: the same in whatever order rows come."""
+    return F.sum(F.col(c).cast("decimal(18,6)")).cast("double")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of suppliers from lineitem."""
     order = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -695,10 +700,10 @@ def text_shown_and_signed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.head_and_tail(F.col("text"), 120).alias("shown"), texts.signature(words).alias("signature"))
 
 
-@query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+@query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, sum(value::DECIMAL(18, 6))::DOUBLE AS total FROM events GROUP BY 1")
 def json_path_histogram(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -706,3 +711,110 @@ def window_tumbling(spark, sf_dir):
     """An extension: the reference has no windows of time."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+CODES = """codes AS (SELECT o_orderkey, lpad((o_custkey * 7919 % 1000000)::VARCHAR, 6, '0') AS code FROM orders)"""
+
+
+@query(
+    rf"""WITH {CODES} SELECT o_orderkey, CASE WHEN regexp_matches(code, '^[69]') THEN code || '.SH' WHEN regexp_matches(code, '^[023]') THEN code || '.SZ'
+      WHEN regexp_matches(code, '^[48]') THEN code || '.BJ' ELSE code END AS equity,
+    CASE WHEN regexp_matches(code, '^(399|159|16)') THEN code || '.SZ' WHEN regexp_matches(code, '^(000|50|51|88|93)') THEN code || '.SH'
+      WHEN regexp_matches(code, '^[69]') THEN code || '.SH' WHEN regexp_matches(code, '^[023]') THEN code || '.SZ' WHEN regexp_matches(code, '^[48]') THEN code || '.BJ' ELSE code END AS "index",
+    CASE WHEN regexp_matches(code, '^[56]') THEN code || '.SH' WHEN regexp_matches(code, '^[0-3]') THEN code || '.SZ' ELSE code END AS fund FROM codes"""
+)
+def symbol_suffixes(spark, sf_dir):
+    code = F.lpad((F.col("o_custkey") * 7919 % 1000000).cast("string"), 6, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", symbols.equity(code).alias("equity"), symbols.index(code).alias("index"), symbols.fund(code).alias("fund"))
+
+
+@query(
+    rf"""SELECT doc_id, array_to_string(list_slice(list_distinct_in_order, 1, 80), ' ') AS terms FROM (
+      SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM (
+        SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{texts.TOKEN}'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'der', 'die')) AS w FROM documents WHERE n_chars < 1500))"""
+)
+def text_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("n_chars < 1500")
+    return docs.select("doc_id", F.array_join(retrieval.terms(F.col("text"), ["the", "and", "der", "die"]), " ").alias("terms"))
+
+
+@query(
+    """WITH t AS (SELECT * FROM (VALUES ('license', 0, 1), ('that', 1, 1), ('nicht', 2, 1)) v(term, i, w)),
+    r AS (SELECT doc_id, text, term, i, w, instr(lower(text), term) AS pos FROM documents, t WHERE contains(lower(text), term))
+    SELECT doc_id, term, greatest(1, pos - 40) AS start, substr(text, greatest(1, pos - 40), 80) AS "window" FROM r
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, i) = 1"""
+)
+def text_best_window(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.best_window(docs, "doc_id", "text", ["license", "that", "nicht"], 80)
+
+
+@query(
+    """SELECT p_partkey, (0.3::DOUBLE * a + 0.25::DOUBLE * coalesce(b, 0) + 0.45::DOUBLE * c) / (0.75::DOUBLE + CASE WHEN b IS NULL THEN 0 ELSE 0.25::DOUBLE END) AS score FROM (
+      SELECT p_partkey, p_size / 50.0::DOUBLE AS a, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice / 2000 END AS b, (p_partkey % 10) / 10.0::DOUBLE AS c FROM part)"""
+)
+def score_components(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_size") / 50.0).alias("a"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice") / 2000).alias("b"), ((F.col("p_partkey") % 10) / 10.0).alias("c")
+    )
+    return part.select("p_partkey", retrieval.weighted_mean({"a": 0.3, "b": 0.25, "c": 0.45}).alias("score"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS k, o_orderpriority AS source, count(*) AS n, list_position(['1-URGENT', '2-HIGH', '3-MEDIUM'], o_orderpriority) AS place FROM orders GROUP BY ALL)
+    SELECT k, source, n FROM s WHERE place > 0 QUALIFY place = min(place) OVER (PARTITION BY k)"""
+)
+def provider_fallback(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("n"))
+    return retrieval.best_source(counts, "k", "source", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+
+@query(
+    """SELECT user_id, count(*) AS steps, sum(value::DECIMAL(18, 6))::DOUBLE AS total, sum(value::DECIMAL(18, 6))::DOUBLE / count(*) AS mean, count(DISTINCT event_type) AS tools,
+      array_to_string(list_sort(list(DISTINCT event_type)), ' ') AS tool_names FROM events GROUP BY 1"""
+)
+def episode_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("steps"), exact_sum("value").alias("total"), (exact_sum("value") / F.count("*")).alias("mean"), F.countDistinct("event_type").alias("tools"),
+        F.array_join(F.array_sort(F.collect_set("event_type")), " ").alias("tool_names"),
+    )
+
+
+@query("SELECT n_regionkey, n_nationkey, grouping(n_regionkey, n_nationkey) AS g, count(*) AS n, sum(c_acctbal::DECIMAL(18, 6))::DOUBLE AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+def rollup_by_region(spark, sf_dir):
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.rollup("n_regionkey", "n_nationkey").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), exact_sum("c_acctbal").alias("balance"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, n_chars / 3000.0::DOUBLE)) AS answer, (doc_id % 10) / 10.0::DOUBLE AS trajectory FROM documents)
+    SELECT doc_id, 0.65::DOUBLE * answer + 0.35::DOUBLE * trajectory AS overall, answer >= 0.8 AND trajectory >= 0.7 AS passed FROM a"""
+)
+def score_blend(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", numbers.clamped(F.col("n_chars") / 3000.0).alias("a"), ((F.col("doc_id") % 10) / 10.0).alias("t"))
+    return docs.select("doc_id", (0.65 * F.col("a") + 0.35 * F.col("t")).alias("overall"), ((F.col("a") >= 0.8) & (F.col("t") >= 0.7)).alias("passed"))
+
+
+@query(
+    """SELECT l_shipmonth, l_returnflag, sum(l_quantity) AS qty FROM (SELECT strftime(l_shipdate, '%Y%m') AS l_shipmonth, l_returnflag, l_quantity FROM lineitem) GROUP BY ALL"""
+)
+def series_by_month(spark, sf_dir):
+    month = dates.month_code(F.col("l_shipdate")).alias("l_shipmonth")
+    return table(spark, sf_dir, "lineitem").groupBy(month, "l_returnflag").agg(F.sum("l_quantity").alias("qty"))
+
+
+@query()
+def query_clusters(spark, sf_dir):
+    words = F.split(F.lower(F.substring("text", 1, 60)), " ")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("words", words)
+    return retrieval.clusters(turns, "conv_id", "turn", "words")
+
+
+@query(
+    """SELECT c_custkey, n_name, contains(regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g'), regexp_replace(lower(c_mktsegment), '[^0-9a-z]', '', 'g'))
+      OR contains(regexp_replace(lower(c_mktsegment), '[^0-9a-z]', '', 'g'), regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g')) AS alike
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def fuzzy_dimension(spark, sf_dir):
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.select("c_custkey", "n_name", retrieval.either_contains(F.col("n_name"), F.col("c_mktsegment")).alias("alike"))
