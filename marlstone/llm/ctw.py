@@ -13,7 +13,7 @@ so no task ever holds the corpus's vocabulary or its tree.
 
 from __future__ import annotations
 
-import heapq
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +28,7 @@ from .common import Ids, small_batches, staged
 
 DEPTH = 5
 #: Bytes of text in a block, about; in what is worked on at once; rows handed over at once.
-BLOCK, SLICE, PART = 16 << 20, 1 << 20, 50_000
+BLOCK, SLICE, PART = 28 << 20, 1 << 20, 50_000
 #: The symbol that ends a text; no word holds it.
 END = 10
 
@@ -163,7 +163,7 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
             for a, b in slices(raws):
                 key, starts = positions(raws[a:b])
                 keys.add(key, np.repeat(train[a:b], np.diff(np.append(starts, len(key)))))
-            yield batch(len(cut), block=[block] * len(cut), kind=[0] * len(cut), id=got.column(0), held_out=got.column(2), raw=raws)
+            yield batch(len(cut), block=[block] * len(cut), kind=[0] * len(cut), id=got.column(0), held_out=got.column(2), raw=[zlib.compress(r, 1) for r in raws])
             size, pending = size + sum(map(len, raws)), pending + len(cut)
             if size > BLOCK:
                 yield from closed()
@@ -304,7 +304,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
         place = dict(zip(table["raw"].to_pylist(), range(len(table)), strict=True))
         base = np.log10(count + 0.5) - total
         known, lp = pd.Index(keys["n"].to_numpy()), keys["lp"].to_numpy()
-        raws, model = docs["raw"].to_pylist(), []
+        raws, model = list(map(zlib.decompress, docs["raw"].to_pylist())), []
         for a, b in slices(raws):
             at, starts = positions(raws[a:b])
             model.append(np.add.reduceat(lp[known.get_indexer(at)], starts))
