@@ -141,11 +141,11 @@ def found(
     both = F.zip_with(_blocks(F.col("fp"), radius), _blocks(F.col("item_fp"), radius), lambda a, b: F.when(a == b, a))
     near = near.where(F.col("block") == F.element_at(F.array_compact(both), 1)).withColumn("distance", distance)
     many = lambda array, h: F.size(F.filter(array, lambda x: x == h))
-    common = F.aggregate(
-        F.array_distinct("item_hs"), F.lit(0), lambda s, h: s + F.least(many(F.col("hs"), h), many(F.col("item_hs"), h))
-    )
-    near = near.withColumn("common", common)
-    near = near.withColumn("similarity", F.col("common") / (F.size("hs") + F.size("item_hs") - F.col("common")))
+    shared = F.array_intersect("hs", "item_hs")
+    single = (F.size(F.array_distinct("hs")) == F.size("hs")) | (F.size(F.array_distinct("item_hs")) == F.size("item_hs"))
+    bags = F.aggregate(shared, F.lit(0), lambda s, h: s + F.least(many(F.col("hs"), h), many(F.col("item_hs"), h)))
+    near = _once(near, "common", F.when(single, F.size(shared)).otherwise(bags))
+    near = _once(near, "similarity", F.col("common") / (F.size("hs") + F.size("item_hs") - F.col("common")))
     best = F.max_by(F.struct("similarity", "start", "distance"), F.struct("similarity", -F.col("start")))
     pairs = near.where(F.col("similarity") >= similarity).groupBy("doc", "item").agg(best.alias("best"))
     return pairs.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.*")
