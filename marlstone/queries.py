@@ -738,6 +738,12 @@ def text_terms(spark, sf_dir):
     return docs.select("doc_id", F.array_join(retrieval.terms(F.col("text"), ["the", "and", "der", "die"]), " ").alias("terms"))
 
 
+@query()
+def text_terms_whole(spark, sf_dir):
+    """text_terms without a limit of length: all documents. Tested against brute force: list_position in SQL grows with the square of a text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.terms(F.col("text"), ["the", "and", "der", "die"]), " ").alias("terms"))
+
+
 @query(
     """WITH t AS (SELECT * FROM (VALUES ('license', 0, 1), ('that', 1, 1), ('nicht', 2, 1)) v(term, i, w)),
     r AS (SELECT doc_id, text, term, i, w, instr(lower(text), term) AS pos FROM documents, t WHERE contains(lower(text), term))
