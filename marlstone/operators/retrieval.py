@@ -18,6 +18,26 @@ def terms(text: Column, stopwords: list[str], most: int = 80, least: int = 3) ->
     return F.slice(F.array_distinct(kept), 1, most)
 
 
+#: Words that say nothing about a query.
+COMMON = "the and for from with that this what when where which official source sources website page web search google serper latest data".split()
+
+
+def query_terms(text: Column) -> Column:
+    """Distinct terms of a whole query, sorted: runs of Han signs, words of ASCII letters and digits, without addresses and COMMON."""
+    low = F.regexp_replace(F.lower(text), r"(?U)https?://\S+", " ")
+    found = F.regexp_extract_all(low, F.lit(r"[\u4e00-\u9fff]{2,}|[a-z0-9][a-z0-9._$%-]+"), F.lit(0))
+    bare = F.transform(F.filter(found, lambda t: ~t.isin(COMMON)), lambda t: F.regexp_replace(t, r"^[._$%-]+|[._$%-]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda t: t != "")))
+
+
+def query_anchors(text: Column, terms: Column) -> Column:
+    """What names a query's subject: short words in capitals, years and dates, terms with digits; sorted."""
+    capitals = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z]{1,8}(?:[.\-][A-Z0-9]{1,5})?\b"), F.lit(0))
+    capitals = F.filter(F.transform(capitals, F.lower), lambda t: ~t.isin(COMMON))
+    dates = F.regexp_extract_all(text, F.lit(r"(?U)\b(?:19|20)\d{2}(?:[-/]\d{1,2})?(?:[-/]\d{1,2})?\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(capitals, dates, F.filter(terms, lambda t: t.rlike("[0-9]")))))
+
+
 def best_window(df: DataFrame, key: str, text: str, wanted: list[str], width: int) -> DataFrame:
     """(key, term, start, window): the text around the weightiest term that is found, the first of equals."""
     one = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("i")) for i, t in enumerate(wanted))))
@@ -44,7 +64,8 @@ def weighted_mean(parts: dict[str, float]) -> Column:
 def clusters(queries: DataFrame, task: str, step: str, words: str, alike: float = 0.82, anchored: float = 0.62, anchors: str | None = None) -> DataFrame:
     """(task, step, cluster, novel): queries of a task in order, each put to the most similar cluster or to a new one.
 
-    A cluster's words grow with its queries, so a query's cluster rests on all
+    A query with the same words as the one that opened a cluster goes there.
+    Queries without words are in no cluster (null) and not novel. A cluster's words grow with its queries, so a query's cluster rests on all
     before it: a task's queries are folded one by one, tasks run apart.
     """
     columns = [F.col(task).cast("string").alias("task"), F.col(step).cast("long").alias("step"), F.col(words).alias("words")]
@@ -53,22 +74,27 @@ def clusters(queries: DataFrame, task: str, step: str, words: str, alike: float
     def fold(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
         frame = pd.concat(list(frames)).sort_values("step", kind="stable")
         known: list[tuple[set, set]] = []
+        opened: dict[frozenset, int] = {}
         out = []
         for w, a in zip(frame["words"], frame["anchors"], strict=True):
             w, a = set(w if w is not None else ()), set(a if a is not None else ())
-            best, score = -1, 0.0
-            for i, (cw, ca) in enumerate(known):
-                s = len(w & cw) / len(w | cw) if w | cw else 0.0
+            if not w:
+                out.append((None, False))
+                continue
+            best, score = opened.get(frozenset(w), -1), 0.0
+            for i, (cw, ca) in enumerate(known if best < 0 else ()):
+                s = len(w & cw) / len(w | cw)
                 if (s >= alike or s >= anchored and a & ca) and s > score:
                     best, score = i, s
             if best < 0:
+                opened[frozenset(w)] = len(known)
                 known.append((w, a))
                 out.append((len(known) - 1, True))
             else:
                 new = bool(w - known[best][0])
                 known[best] = known[best][0] | w, known[best][1] | a
                 out.append((best, new))
-        return pd.DataFrame({"task": frame["task"], "step": frame["step"], "cluster": [c for c, _ in out], "novel": [n for _, n in out]})
+        return pd.DataFrame({"task": frame["task"], "step": frame["step"], "cluster": pd.array([c for c, _ in out], "Int32"), "novel": [n for _, n in out]})
 
     return rows.groupBy("task").applyInPandas(lambda frame: fold(iter([frame])), "task string, step long, cluster int, novel boolean")
 

@@ -811,9 +811,9 @@ def series_by_month(spark, sf_dir):
 
 @query()
 def query_clusters(spark, sf_dir):
-    words = F.split(F.lower(F.substring("text", 1, 60)), " ")
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("words", words)
-    return retrieval.clusters(turns, "conv_id", "turn", "words")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("words", retrieval.query_terms(F.col("text")))
+    turns = turns.withColumn("anchors", retrieval.query_anchors(F.col("text"), F.col("words")))
+    return retrieval.clusters(turns, "conv_id", "turn", "words", anchors="anchors")
 
 
 @query(

@@ -20,3 +20,59 @@ def test_terms_of_all_documents(spark, tmp_path):
         words = [w for w in re.findall(r"\w+", (text or "").lower()) if len(w) >= 3 and w not in ("the", "and", "der", "die")]
         want[i] = None if text is None else " ".join(list(dict.fromkeys(words))[:80])
     assert {r.doc_id: r.terms for r in queries.QUERIES["text_terms_whole"](spark, str(tmp_path)).collect()} == want
+
+
+COMMON = set("the and for from with that this what when where which official source sources website page web search google serper latest data".split())
+
+
+def signed(query):
+    low = re.sub(r"https?://\S+", " ", query.lower())
+    found = re.findall(r"[\u4e00-\u9fff]{2,}|[a-z0-9][a-z0-9._$%-]{1,}", low)
+    terms = {t.strip("._-%$") for t in found if t not in COMMON} - {""}
+    anchors = {m.lower() for m in re.findall(r"\b[A-Z]{1,8}(?:[.\-][A-Z0-9]{1,5})?\b", query)} - COMMON
+    anchors |= set(re.findall(r"\b(?:19|20)\d{2}(?:[-/]\d{1,2})?(?:[-/]\d{1,2})?\b", query)) | {t for t in terms if re.search(r"\d", t)}
+    return terms, anchors
+
+
+def folded(queries_in_order):
+    known, out = [], []
+    for terms, anchors in map(signed, queries_in_order):
+        if not terms:
+            out.append((None, False))
+            continue
+        place = next((i for i, k in enumerate(known) if k[2] == terms), None)
+        if place is None:
+            scores = [(len(terms & k[0]) / len(terms | k[0]), -i) for i, k in enumerate(known) if len(terms & k[0]) / len(terms | k[0]) >= (0.62 if anchors & k[1] else 0.82)]
+            place = -max(scores)[1] if scores else None
+        if place is None:
+            out.append((len(known), True))
+            known.append((terms, anchors, terms))
+        else:
+            out.append((place, bool(terms - known[place][0])))
+            known[place] = known[place][0] | terms, known[place][1] | anchors, known[place][2]
+    return out
+
+
+OPENING = "please compare the yearly revenue and operating margin growth of "
+TALKS = {
+    1: [OPENING + "copper mines in Chile", OPENING + "paper mills near Oslo with their debts", OPENING + "copper mines in Chile"],
+    2: ["AAPL revenue margin growth quarter report 2023", "AAPL revenue margin growth quarter filing 2023", "revenue margin growth quarter filing outlook", "a ! ?", "", "见 https://x.io/AAPL 苹果公司 收入 2024-05-01, $AAPL"],
+    3: ["MSFT cash flow in 2021", "cash flow MSFT 2021", "cash flow of MSFT in 2021 and capital spending", "Étion dans BRK.B çouelle un 2020/1"],
+}
+
+
+def test_clusters_by_a_fold(spark, tmp_path):
+    rows = [(c, 2 * i, "user", q) for c, talk in TALKS.items() for i, q in enumerate(talk)] + [(1, 1, "assistant", "copper mines")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {(str(c), 2 * i, *x) for c, talk in TALKS.items() for i, x in enumerate(folded(talk))}
+    got = {(r.task, r.step, r.cluster, r.novel) for r in queries.query_clusters(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert ("1", 2, 1, True) in got and ("2", 2, 0, True) in got
+
+
+def test_clusters_of_all_conversations(spark, sf):
+    talks = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").orderBy("conv_id", "turn").collect():
+        talks.setdefault(str(r.conv_id), []).append((r.turn, r.text or ""))
+    want = sorted((c, t[0], *x) for c, talk in talks.items() for t, x in zip(talk, folded([q for _, q in talk]), strict=True))
+    assert sorted((r.task, r.step, r.cluster, r.novel) for r in queries.query_clusters(spark, sf).collect()) == want
