@@ -700,6 +700,15 @@ def text_shown_and_signed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.head_and_tail(F.col("text"), 120).alias("shown"), texts.signature(words).alias("signature"))
 
 
+@query(
+    rf"""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE left(text, 60) || ' … ' || right(text, 60) END AS shown,
+      sha1(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{texts.TOKEN}'))), ' ')) AS signature FROM documents"""
+)
+def text_shown_and_signed_whole(spark, sf_dir):
+    """text_shown_and_signed with the words of the whole text in the signature."""
+    return table(spark, sf_dir, "documents").select("doc_id", texts.head_and_tail(F.col("text"), 120).alias("shown"), texts.signature(texts.tokens(F.col("text"))).alias("signature"))
+
+
 @query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, sum(value::DECIMAL(18, 6))::DOUBLE AS total FROM events GROUP BY 1")
 def json_path_histogram(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")

@@ -1,5 +1,6 @@
 """Whole texts in the retrieval queries, against brute force."""
 
+import hashlib
 import re
 
 from marlstone import queries
@@ -76,3 +77,12 @@ def test_clusters_of_all_conversations(spark, sf):
         talks.setdefault(str(r.conv_id), []).append((r.turn, r.text or ""))
     want = sorted((c, t[0], *x) for c, talk in talks.items() for t, x in zip(talk, folded([q for _, q in talk]), strict=True))
     assert sorted((r.task, r.step, r.cluster, r.novel) for r in queries.query_clusters(spark, sf).collect()) == want
+
+
+def test_signature_of_whole_texts(spark, tmp_path):
+    license = "Licensed under the terms of the public license, version 2. "
+    rows = [(1, license + "alpha beta", 70), (2, license + "gamma", 65), (3, license + "beta\nalpha", 70), (4, "", 0), (5, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: t if t is None else hashlib.sha1(" ".join(sorted(set(re.findall(r"\w+", t.lower())))).encode()).hexdigest() for i, t, _ in rows}
+    got = {r.doc_id: r.signature for r in queries.QUERIES["text_shown_and_signed_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and got[1] == got[3] != got[2]
