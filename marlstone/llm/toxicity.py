@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,9 @@ LEET = {
 }
 SEPARATORS = ".-_*~'’·"
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters one by one, at least four of them, with the same kind of gap throughout.
-SPACED = re.compile(r"(?<!\S)[^\W_](?:([ .\-_*~·]{1,2})[^\W_])(?:\1[^\W_]){2,}(?!\w)")
+#: Letters one by one, two at least, whatever stands between them; a sign of LEET is a letter.
+ONE = r"(?:[^\W_]|[@$!|+€£¢(])(?![^\W_])"
+SPACED = re.compile(rf"""(?<![^\s"\[{{(“„«]){ONE}(?:[\s.\-_*~·]+{ONE})+""")
 TRAILING = re.compile(r"(?:\${3,}|[^\w@$])+$")
 LEADING = re.compile(r"^[^\w@$€£¢(|+!]+")
 PLAIN = re.compile(r"[^\W\d_]+$")
@@ -45,7 +46,9 @@ BEAM = 24
 CACHE = 200_000
 
 #: log10 costs of the channel.
-SUBSTITUTE, DROP, COLLAPSE = -0.3, -0.3, -0.2
+SUBSTITUTE, DROP, COLLAPSE, BREAK = -0.3, -0.3, -0.2, -1.0
+#: A word read across separators has so many runs of signs at most; one without separators may have more.
+WIDEST = 40
 
 
 def code(c: str) -> int:
@@ -94,7 +97,7 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of one sign: what it may stand for ('' is nothing), and the cost."""
-    spots = []
+    spots, before = [], ""
     for run in re.finditer(r"(.)\1*", token):
         c, n = run[1], len(run[0])
         if c in SEPARATORS:
@@ -108,10 +111,26 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             options.append((x, cost + COLLAPSE * (n > 1 and x != "")))
             if n > 1 and x:
                 options.append((x * 2, cost + COLLAPSE * (n > 2)))
+        if c == before:
+            options.append(("", COLLAPSE))
         spots.append(options)
+        before = c
     return spots
 
 
+def _ahead(beam: list, spot: list[tuple[str, float]], model: np.ndarray, most: int) -> list:
+    """Partial readings (total, letters, last two codes) with one more spot."""
+    after: dict[tuple[int, int], list] = defaultdict(list)
+    for total, out, a, b in beam:
+        for letters, cost in spot:
+            x, y, z = total + cost, a, b
+            for c in letters:
+                k = 0 if c == "\0" else code(c)
+                x, y, z = x + model[y, z, k], z, k
+            after[y, z].append((x, out + letters.rstrip("\0"), y, z))
+    return heapq.nlargest(BEAM, (r for found in after.values() for r in heapq.nlargest(most, found)))
+
+
 def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, float]]:
     """The likeliest readings of a lower-case token, best first.
 
@@ -120,18 +139,35 @@ def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, fl
     """
     beam = [(0.0, "", 0, 0)]
     for spot in [*_lattice(token), [("\0", 0.0)]]:
-        after: dict[tuple[int, int], list] = defaultdict(list)
-        for total, out, a, b in beam:
-            for letters, cost in spot:
-                x, y, z = total + cost, a, b
-                for c in letters:
-                    k = 0 if c == "\0" else code(c)
-                    x, y, z = x + model[y, z, k], z, k
-                after[y, z].append((x, out + letters.rstrip("\0"), y, z))
-        beam = heapq.nlargest(BEAM, (r for found in after.values() for r in heapq.nlargest(most, found)))
+        beam = _ahead(beam, spot, model, most)
     return [(out, total) for total, out, _, _ in beam[:most] if out]
 
 
+def words_in(token: str, model: np.ndarray, worth: Callable[[str], float], most: int = 8) -> str:
+    """The likeliest reading as words; a word may end at any separator, at the cost of BREAK, and is `worth` something itself."""
+    spots = _lattice(token)
+    stops = [i for i, spot in enumerate(spots) if spot == [("", DROP)] and 0 < i] + [len(spots)]
+    best: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    for start in [0, *stops[:-1]]:
+        if start not in best:
+            continue
+        total, said = best[start]
+        total += BREAK if start else 0.0
+        beam, ends = [(0.0, "", 0, 0)], 0
+        for i in range(start, len(spots)):
+            beam = _ahead(beam, spots[i], model, most)
+            if i + 1 not in stops:
+                continue
+            closed = heapq.nlargest(most, ((x + model[y, z, 0], w) for x, w, y, z in beam))
+            x, w = max((x + worth(w), w) for x, w in closed)
+            if i + 1 not in best or total + x > best[i + 1][0]:
+                best[i + 1] = total + x, f"{said} {w}".strip()
+            ends += 1
+            if ends > 1 and i - start > 2 * WIDEST:
+                break
+    return best[len(spots)][1]
+
+
 #: Classes of bytes: letters (and parts of those beyond ASCII), signs that may be letters, those that need one behind, separators, white space.
 LETTER, SIGN, WEAK, GAP, SPACE = 1, 2, 3, 4, 5
 CLASS = np.zeros(256, np.uint8)
@@ -151,11 +187,13 @@ def _hints(raw: np.ndarray) -> tuple[np.ndarray, bool]:
     at[:-1] |= letter[:-1] & sign[1:] | (sign | weak)[:-1] & letter[1:]
     at[:-2] |= letter[:-2] & (weak | (kind == GAP))[1:-1] & (letter | sign)[2:]
     at[:-2] |= (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & letter[:-2] & (raw[:-2] < 128)
-    one = letter | sign
-    gap = (kind == SPACE) | (kind == GAP)
-    far = one[:-4] & gap[1:-3] & one[2:-2] & gap[3:-1] & one[4:]
-    wide = one[:-6] & gap[1:-5] & gap[2:-4] & one[3:-3] & gap[4:-2] & gap[5:-1] & one[6:]
-    return np.flatnonzero(at), bool(far.any() or wide.any())
+    near = kind[(raw & 0xC0) != 0x80]
+    gap = (near == SPACE) | (near == GAP)
+    full = np.concatenate([[False], (near == LETTER) | (near == SIGN), [False]])
+    lone = ~gap & (near > 0) & ~full[2:] & ~(full[:-2] & full[1:-1])
+    at_signs = np.flatnonzero(~gap)
+    wide = lone[at_signs[:-1]] & lone[at_signs[1:]] & (np.diff(at_signs) > 1)
+    return np.flatnonzero(at), bool(wide.any())
 
 
 def suspects(text: str) -> tuple[list[str], str]:
@@ -163,11 +201,8 @@ def suspects(text: str) -> tuple[list[str], str]:
     found = []
 
     def spaced(m: re.Match) -> str:
-        letters = m[0].split(m[1])
-        if len(set(letters)) > 2:
-            found.append("".join(letters))
-            return " "
-        return m[0]
+        found.append("·".join(re.findall(ONE, m[0])))
+        return " "
 
     low = text.lower()
     coded = low.encode("utf-8", "replace")
@@ -175,7 +210,7 @@ def suspects(text: str) -> tuple[list[str], str]:
     if len(raw) < 3:
         return found, low
     hits, wide = _hints(raw) if len(raw) > 6 else (np.arange(len(raw)), True)
-    if wide or "·" in low:
+    if wide or any(c in low for c in "·\xa0"):
         low = SPACED.sub(spaced, low)
         coded = low.encode("utf-8", "replace")
         raw = np.frombuffer(coded, np.uint8)
@@ -218,9 +253,8 @@ class Toxicity:
         if token not in self._readings:
             if len(self._readings) > CACHE:
                 self._readings.clear()
-            ways = restored(token, self.letters)
-            rated = [(total + min(4.0, max(0.0, self.weights.get(w, 0.0)) * 4), w) for w, total in ways]
-            self._readings[token] = max(rated)[1] if rated else ""
+            worth = lambda w: min(4.0, max(0.0, self.weights.get(w, 0.0)) * 4)
+            self._readings[token] = words_in(token, self.letters, worth)
         return self._readings[token]
 
     def restore(self, text: str) -> str:
