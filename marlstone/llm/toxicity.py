@@ -36,12 +36,12 @@ LEADING = re.compile(r"^[^\w@$€£¢(|+!]+")
 PLAIN = re.compile(r"[^\W\d_]+$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 INNER = re.compile(r"[^\W\d_][\d@$!|+€£¢(.\-_*~'’·]|[\d@$!|+€£¢(][^\W\d_]")
-#: Longer tokens are no obfuscated words but keys, addresses and the like; they stay as they are.
-LONGEST = 40
+#: Keys in hexadecimal, told by their make-up once runs of a sign are one; they stay as they are.
+HEX = re.compile(r"(?:0x)?(?=[a-f]*\d[a-f]*\d)[0-9a-f]{32,}$")
+RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 #: Symbols of the character model: an edge of a word, a to z, any other letter.
 SIZE = 28
-BEAM = 24
 #: Tokens a task remembers at once.
 CACHE = 200_000
 
@@ -128,25 +128,26 @@ def _ahead(beam: list, spot: list[tuple[str, float]], model: np.ndarray, most: i
                 k = 0 if c == "\0" else code(c)
                 x, y, z = x + model[y, z, k], z, k
             after[y, z].append((x, out + letters.rstrip("\0"), y, z))
-    return heapq.nlargest(BEAM, (r for found in after.values() for r in heapq.nlargest(most, found)))
+    return [r for found in after.values() for r in heapq.nlargest(most, found)]
 
 
 def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, float]]:
     """The likeliest readings of a lower-case token, best first.
 
     Viterbi over the lattice: of the readings that end in the same two
-    letters only the best few go on, and BEAM of them in all.
+    letters the best `most` go on, so that none of the likeliest is lost.
     """
     beam = [(0.0, "", 0, 0)]
     for spot in [*_lattice(token), [("\0", 0.0)]]:
         beam = _ahead(beam, spot, model, most)
-    return [(out, total) for total, out, _, _ in beam[:most] if out]
+    return [(out, total) for total, out, _, _ in heapq.nlargest(most, beam) if out]
 
 
 def words_in(token: str, model: np.ndarray, worth: Callable[[str], float], most: int = 8) -> str:
     """The likeliest reading as words; a word may end at any separator, at the cost of BREAK, and is `worth` something itself."""
     spots = _lattice(token)
     stops = [i for i, spot in enumerate(spots) if spot == [("", DROP)] and 0 < i] + [len(spots)]
+    ending = set(stops)
     best: dict[int, tuple[float, str]] = {0: (0.0, "")}
     for start in [0, *stops[:-1]]:
         if start not in best:
@@ -156,7 +157,7 @@ def words_in(token: str, model: np.ndarray, worth: Callable[[str], float], most:
         beam, ends = [(0.0, "", 0, 0)], 0
         for i in range(start, len(spots)):
             beam = _ahead(beam, spots[i], model, most)
-            if i + 1 not in stops:
+            if i + 1 not in ending:
                 continue
             closed = heapq.nlargest(most, ((x + model[y, z, 0], w) for x, w, y, z in beam))
             x, w = max((x + worth(w), w) for x, w in closed)
@@ -224,7 +225,7 @@ def suspects(text: str) -> tuple[list[str], str]:
     for k in np.unique(np.searchsorted(spaces, hits)):
         start, stop = int(spaces[k - 1]) + 1, int(spaces[k])
         core = TRAILING.sub("", LEADING.sub("", coded[start:stop].decode("utf-8", "replace")))
-        if PLAIN.match(core) and not TRIPLE.search(core) or len(core) > LONGEST or not (INNER.search(core) or TRIPLE.search(core)):
+        if PLAIN.match(core) and not TRIPLE.search(core) or not (INNER.search(core) or TRIPLE.search(core)) or len(core) >= 32 and HEX.match(RUN.sub(r"\1", core)):
             continue
         found.append(core)
         kept.append(coded[upto:start])
