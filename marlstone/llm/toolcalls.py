@@ -166,7 +166,9 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     results = results.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"), "content")
     # A call's first row by what it says, and how often it comes so: this needs no numbering of repeated rows.
     said = F.struct("turn", "name", "arguments")
-    firsts = calls.groupBy("conv_id", "call_id").agg(F.min(said).alias("_said"), F.count("*").alias("_times"), F.max("depends_on").alias("_needs"))
+    counted = F.min(F.struct(said.alias("said"), "depends_on"))
+    firsts = calls.groupBy("conv_id", "call_id").agg(counted.alias("_first"), F.count("*").alias("_times"))
+    firsts = firsts.select("conv_id", "call_id", "_times", F.col("_first.said").alias("_said"), F.col("_first.depends_on").alias("_needs"))
     firsts = firsts.where("conv_id is not null and call_id is not null")
     answers = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("_answer"))
     own = calls.withColumn("_said_now", said)
