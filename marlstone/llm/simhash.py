@@ -162,6 +162,18 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 16) -> DataFrame:
     return cells.mapInArrow(within, "a long, b long").distinct()
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
+    """(_id, fp, _root, component_id): one row per row of df; _root is a fingerprint that stands for the group."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    fps = staged(with_fingerprint(rows, "_text", width).select("_id", "fp"), "fingerprints")
+    first = fps.groupBy("fp").agg(F.min("_id").alias("first"))
+    roots = components(links(first, radius))
+    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("_root"))
+    heads = rooted.groupBy("_root").agg(F.min("first").alias("component_id"))
+    return fps.join(rooted.join(heads, "_root").select("fp", "_root", "component_id"), "fp")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3
 ) -> DataFrame:
@@ -173,25 +185,28 @@ def near_duplicates(
     one, unless no other id is there (then null). Repeated rows stay. Other
     columns of df are ignored; an empty table gives an empty table.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    fps = staged(with_fingerprint(rows, "_text", width).select("_id", "fp"), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("_id").alias("first"))
-    roots = components(links(first, radius))
-    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(heads, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", hexed.alias("fingerprint"))
+    found = _grouped(df, id_col, text_col, width, radius)
+    return found.select(F.col("_id").alias(id_col), "fp", "component_id", hexed.alias("fingerprint"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """df without all but one document, that of the smallest id, of each group.
 
-    Rows that repeat an id count as copies, and one of them stays; rows with a
-    null id stay, for nothing else could name them.
+    Rows that repeat an id and a fingerprint count as copies, and one of them
+    stays, by the order of text and other columns (maps aside); an id whose
+    texts head several groups stays once for each. Rows with a null id stay,
+    for nothing else could name them.
     """
-    heads = near_duplicates(df, id_col, text_col, width, radius).where(F.col(id_col) == F.col("component_id"))
-    heads = heads.select(F.col(id_col).alias("_head")).distinct()
-    named = df.join(heads, df[id_col] == F.col("_head"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    found = _grouped(df, id_col, text_col, width, radius).where("_id is not null")
+    head = F.when(F.col("_id") == F.col("component_id"), F.col("_root"))
+    named = found.groupBy("_id").agg((F.min("fp") != F.max("fp")).alias("_mixed"), F.max(head).alias("_root")).where("_root is not null")
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(*df.columns).alias("_row")).join(named, "_id")
+    # Only ids with several fingerprints need those of their rows once more.
+    heads = found.where("_id = component_id").select("_id", "fp", "_root").distinct()
+    mixed = with_fingerprint(rows.where("_mixed").select("_id", "_row", F.col("_row")[text_col].alias("_text")), "_text", width)
+    both = rows.where("not _mixed").select("_root", "_row").unionByName(mixed.join(heads, ["_id", "fp"]).select("_root", "_row"))
+    ordered = [text_col, *(f.name for f in df.schema if f.name not in (text_col, id_col) and "map<" not in f.dataType.simpleString())]
+    least = F.min_by("_row", F.struct(*(F.col("_row")[c].alias(c) for c in ordered)))
+    kept = both.groupBy("_root").agg(least.alias("_row")).select("_row.*")
+    return kept.unionByName(df.where(F.col(id_col).isNull()))

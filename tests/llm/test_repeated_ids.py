@@ -1,6 +1,18 @@
 """Ids that come several times, with different texts or dependencies."""
 
-from marlstone.llm import toolcalls
+from marlstone.llm import simhash, toolcalls
+
+
+def test_each_group_keeps_a_text_of_its_own(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("apple", "stone", "river"))
+    rows = [(3, one, "x"), (5, one, "x"), (5, two, "b"), (5, two, "a"), (6, two, "x"), (5, three, "x"), (None, one, "n")]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 5):
+            df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts)
+            left = simhash.one_of_each(df)
+            assert left.columns == df.columns
+            assert sorted(map(tuple, left.where("doc_id is not null").collect())) == sorted([(3, one, "x"), (5, two, "a"), (5, three, "x")])
+            assert left.where("doc_id is null").count() == 1
 
 
 def test_the_counted_call_has_its_own_dependencies(spark):
