@@ -40,6 +40,8 @@ END = 10
 #: Kinds of rows: documents, words and contexts that are asked for, decisions above the groups, sums over words.
 DOC, WORD, CONTEXT, TOP, TOTAL = range(5)
 WORD_BITS = 10
+#: What a block is told; 24 bits are enough for a code length, of which millions are summed as doubles.
+TOLD = {WORD: np.int64, CONTEXT: np.float32}
 
 HALF = np.log(0.5)
 
@@ -88,13 +90,13 @@ def slices(raws: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers of 64 bits, like bytes side by side, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Numbers, like bytes side by side, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def unpacked(raw: bytes, kind: type) -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def packed_keys(x: np.ndarray) -> bytes:
@@ -401,7 +403,7 @@ def _mix(tops: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answers(asked: DataFrame, sums: DataFrame, blocks: int) -> DataFrame:
-    """(block, kind, keys, n): for each row of numbers that a block asks for, the words' counts or the contexts' log10 P, as doubles."""
+    """(block, kind, keys, n): for each row of numbers that a block asks for, what TOLD says: the words' counts or the contexts' log10 P."""
     acc, rem = _mix(sums.where(F.col("kind") == TOP))
     salts = -(-blocks // FAN)
     known = sums.where(F.col("kind").isin(WORD, CONTEXT)).select("block", "kind", "g", "keys", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
@@ -419,7 +421,7 @@ def _answers(asked: DataFrame, sums: DataFrame, blocks: int) -> DataFrame:
                     continue
                 if ready is None:
                     ready, n = sums.total()
-                    value = n.astype(np.float64) if kind == WORD else log10(ready.astype(np.int64), n, 2, every, acc, rem)
+                    value = (n if kind == WORD else log10(ready.astype(np.int64), n, 2, every, acc, rem)).astype(TOLD[kind])
                 out.append((row["block"], row["keys"], packed(value[np.searchsorted(ready, key)])))
                 if len(out) == 500:
                     yield _answer(kind, out)
@@ -510,7 +512,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
                         yield result(pending)
                     at, told, tables, pending, size = row["block"], {WORD: [], CONTEXT: []}, None, [], 0
                 if row["kind"] != DOC:
-                    told[row["kind"]].append((unpacked_keys(row["keys"]), unpacked(row["n"], np.float64)))
+                    told[row["kind"]].append((unpacked_keys(row["keys"]), unpacked(row["n"], TOLD[row["kind"]]).astype(np.float64)))
                     continue
                 if tables is None:
                     tables, told = {k: Table(v) for k, v in told.items()}, {}
