@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_off, staged
+
 WIDTH = 5
 SIMILARITY = 0.8
 #: Of 64 bits. At a similarity of 0.8 fingerprints differ in 9.7 bits, 2.9 about; five deviations more are kept.
@@ -84,28 +86,37 @@ def _blocks(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def _hits(whole: DataFrame, benchmark: DataFrame, item_text_col: str) -> DataFrame:
-    """(doc, all, pos, n): where documents of `all` shingles hold one of an item of n shingles.
+def _windows(whole: DataFrame, benchmark: DataFrame, item_text_col: str) -> DataFrame:
+    """(doc, n, start, hs): windows of n shingles that start where documents hold one of an item of n shingles.
 
     Shingles are looked up by their longest word, which few words of a text
-    are, and only then hashed: one pass without a shuffle, as long as the
-    benchmark's shingles may be sent to every task. Beyond FEW of them the
-    hashes of all shingles meet in a shuffle.
+    are, and only then hashed; a window is cut where the text's words are at
+    hand. That is one pass without a shuffle, as long as the benchmark's
+    shingles may be sent to every task. Beyond FEW of them the hashes of all
+    shingles meet in a shuffle, and the texts that are hit are read again.
     """
     items = _once(benchmark.select(F.col(item_text_col).alias("text")), "ws", _words(F.col("text"))).where(F.size("ws") >= WIDTH)
     items = items.select("ws", (F.size("ws") - WIDTH + 1).alias("n"), F.explode(F.sequence(F.lit(0), F.size("ws") - WIDTH)).alias("at"))
     hashed = lambda ws, at: F.xxhash64(*(F.get(ws, at + k) for k in range(WIDTH)))
     offsets = F.array(*(F.struct((-F.length(F.get("ws", F.col("at") + k))).alias("l"), F.lit(k).alias("k")) for k in range(WIDTH)))
     held = items.withColumn("back", F.array_min(offsets)["k"])
-    held = held.select("n", "back", F.get("ws", F.col("at") + F.col("back")).alias("word"), hashed("ws", F.col("at")).alias("h")).distinct()
-    size = F.size("ws") - WIDTH + 1
-    if len(held.select("h").take(FEW + 1)) <= FEW:
+    held = held.select("n", "back", F.get("ws", F.col("at") + F.col("back")).alias("word"), hashed("ws", F.col("at")).alias("h"))
+    held = staged(held.distinct(), "shingles")
+    start = lambda at, size: F.greatest(F.lit(0), F.least(at, size - F.col("n")))
+    if held.limit(FEW + 1).count() <= FEW:
+        size = F.size("ws") - WIDTH + 1
         spots = _once(whole, "ws", _words(F.col("text"))).select("doc", "ws", F.posexplode("ws").alias("place", "word"))
         at = F.col("place") - F.col("back")
         hit = spots.join(F.broadcast(held), "word").where((at >= 0) & (at < size) & (hashed("ws", at) == F.col("h")))
-        return hit.select("doc", size.alias("all"), at.alias("pos"), "n")
+        first = start(at, size)
+        cut = hit.select("doc", "n", first.alias("start"), F.slice("ws", first + 1, F.col("n") + WIDTH - 1).alias("ws"))
+        return _once(cut, "hs", _shingles(F.col("ws"))).drop("ws")
     spots = _shingled(whole, "text").select("doc", F.size("hs").alias("all"), F.posexplode("hs").alias("pos", "h"))
-    return spots.join(held.select("n", "h").distinct(), "h").select("doc", "all", "pos", "n")
+    hit = spots.join(held.select("n", "h").distinct(), "h").select("doc", "n", start(F.col("pos"), F.col("all")).alias("start"))
+    starts = hit.groupBy("doc").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
+    again = _shingled(whole.join(starts, "doc"), "text")
+    cut = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("hs", s["start"] + 1, s["n"]).alias("hs")))
+    return again.select("doc", F.inline(cut)).where(F.size("hs") > 0)
 
 
 def found(
@@ -125,18 +136,13 @@ def found(
     items = _shingled(items, "text").where(F.size("hs") > 0).select("item", "hs", F.size("hs").alias("n"))
 
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    starts = _hits(whole, benchmark, item_text_col).select("doc", "n", F.greatest(F.lit(0), F.least("pos", F.col("all") - F.col("n"))).alias("start"))
-    starts = starts.groupBy("doc").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
-
-    again = _shingled(whole.join(starts, "doc"), "text")
-    cut = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("hs", s["start"] + 1, s["n"]).alias("hs")))
-    windows = again.select("doc", F.inline(cut)).where(F.size("hs") > 0)
-    windows, marked = _fingerprinted(windows), _fingerprinted(items)
+    windows, marked = _fingerprinted(_windows(whole, benchmark, item_text_col)), staged(_fingerprinted(items), "items")
 
     left = windows.select("doc", "n", "start", "hs", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("block"))
     right = marked.select("item", "n", F.col("hs").alias("item_hs"), F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["n", "block"]).where(distance <= radius)
+    # Few items go to every task; more meet the windows in a shuffle.
+    near = left.join(F.broadcast(right) if (marked.agg(F.sum("n")).first()[0] or 0) <= FEW else right, ["n", "block"]).where(distance <= radius)
     # A pair may meet in several blocks: only the first of them brings it on.
     both = F.zip_with(_blocks(F.col("fp"), radius), _blocks(F.col("item_fp"), radius), lambda a, b: F.when(a == b, a))
     near = near.where(F.col("block") == F.element_at(F.array_compact(both), 1)).withColumn("distance", distance)
@@ -152,6 +158,9 @@ def found(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null id stay."""
-    leaks = found(docs, benchmark, id_col, text_col, **settings).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("_leak"), "left_anti")
+    """The rows of docs that hold no item; rows with a null id stay.
+
+    All rows of an id go if one of them holds an item; settings as of found().
+    """
+    leaks = staged(found(docs, benchmark, id_col, text_col, **settings).select(id_col).distinct(), "leaks")
+    return split_off(docs, id_col, leaks, "left_anti")

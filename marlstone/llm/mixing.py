@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare, staged
+
 SEED = "mixture"
 #: Means above this are sums of equal parts, each drawn by itself: exp(-mean) must not vanish.
 PART = 200.0
@@ -67,26 +69,27 @@ def mixed(
     the empty text, and rows that repeat an id draw the same number. An empty
     table gives an empty one. Columns of docs named like the new ones give way.
     """
-    own = rates(docs, weights, source_col, temperature, epochs)
-    own = own.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART)).cast("int"))
-    own = own.select("_source", "_parts", _sums(F.col("mean") / F.col("_parts")).alias("_sums"))
     plain = docs.drop("repeats", "copy", "shuffle_key")
-    few = len(own.select("_parts").take(FEW + 1)) <= FEW
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    key, parts, sums, salt, deal = (spare(c, plain) for c in ("_source", "_parts", "_sums", "_salt", "_deal"))
+    own = rates(docs, weights, source_col, temperature, epochs)
+    own = own.select(F.col("_source").alias(key), "mean", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART)).cast("int").alias(parts))
+    own = staged(own.select(key, parts, _sums(F.col("mean") / F.col(parts)).alias(sums)), "rates")
+    few = own.limit(FEW + 1).count() <= FEW
+    same = F.col(source_col).eqNullSafe(F.col(key))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     if few:
         joined = plain.join(F.broadcast(own), same)
     else:
-        salted = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
-        joined = plain.withColumn("_own_salt", salt).join(salted, same & (F.col("_own_salt") == F.col("_salt"))).drop("_own_salt", "_salt")
+        salted = own.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = plain.withColumn(deal, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col(deal) == F.col(salt)))
 
     def drawn(n: Column, part: Column) -> Column:
         u = _uniform(F.lit(seed), name, part.cast("string"))
-        return n + F.size(F.filter("_sums", lambda s: s <= u))
+        return n + F.size(F.filter(sums, lambda s: s <= u))
 
-    repeats = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), drawn)
-    copies = joined.withColumn("repeats", repeats).where("repeats > 0").drop("_source", "_parts", "_sums")
+    repeats = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), drawn)
+    copies = joined.withColumn("repeats", repeats).where("repeats > 0").drop(key, parts, sums, salt, deal)
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     order = F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), name, F.col("copy").cast("string")).cast("binary"))
     copies = copies.withColumn("shuffle_key", F.substring(order, 1, 16))

@@ -8,7 +8,6 @@ takes, with escapes down to shorter contexts on the way.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ids, small_batches
+from .common import Ids, small_batches, staged
 
 ORDER = 4
-LETTER = re.compile(r"[^\W\d_]")
 #: Words whose code lengths a task remembers at once.
 CACHE = 400_000
 
@@ -109,19 +107,43 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
+def _chosen(known: DataFrame, most: int) -> DataFrame:
+    """(_lang, _id): the first `most` ids of each language by hash.
+
+    A share of the hashes, small for a language of many rows, holds them all:
+    only that share is ranked, so no task gets a language's rows. It is
+    widened where repeated ids left too few in it.
+    """
+    hashed = known.select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), F.xxhash64("id").alias("_h"))
+    sizes = staged(hashed.groupBy("_lang").agg(F.count("*").alias("_all")), "languages")
+    place, times = F.shiftrightunsigned("_h", 11), 2
+    while True:
+        share = F.lit(float(times * most + 64)) / F.col("_all")
+        near = hashed.join(F.broadcast(sizes), "_lang").where(place / F.lit(float(1 << 53)) <= share)
+        near = staged(near.select("_lang", "_id", place.alias("_place")).distinct(), "near")
+        held = sizes.join(near.groupBy("_lang").agg(F.count("*").alias("_n")), "_lang", "left")
+        if held.where((F.coalesce("_n", F.lit(0)) < most) & (share < 1)).isEmpty():
+            break
+        times *= 16
+    first = Window.partitionBy("_lang").orderBy("_place", "_id")
+    return near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_lang", "_id")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 500) -> Trees:
     """Trees from at most `most` documents of each language, in the order of a hash of the id.
 
-    What the driver gathers is bounded by those documents' contexts. Rows with
-    a null text or language are left out.
+    What the driver gathers is bounded by those documents' contexts. Languages
+    are few: each has a column in the trees. Rows with a null text or language
+    are left out, also where they repeat the id of another; rows that repeat
+    an id and language are one document with all their texts. An empty table
+    knows no language.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    known = known.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
-    first = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_lang", "_id").distinct()
-    same = (docs[lang_col] == F.col("_lang")) & docs[id_col].eqNullSafe(F.col("_id"))
-    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), same).select(F.col("_lang").alias("lang"), F.col(text_col).alias("text"))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    same = (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id"))
+    texts = known.join(F.broadcast(_chosen(known, most)), same)
+    texts = texts.select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, Counter] = {}
@@ -166,7 +188,8 @@ def with_language(df: DataFrame, trees: Trees, text_col: str = "text", out: str
 
     `und` with score 0 for texts that are null or have no letter, and for all
     texts where no language was learned. Of equal lengths the first language
-    in order wins.
+    in order wins. Repeated rows get the same; an empty table stays empty; a
+    column of df that is named like `out` gives way.
     """
     small_batches(df.sparkSession)
     schema = "lang_pred string, score double, bits double"
@@ -176,7 +199,7 @@ def with_language(df: DataFrame, trees: Trees, text_col: str = "text", out: str
         reader = Reader(trees)
         for batch in batches:
             texts = batch.to_pylist()
-            ok = np.array([bool(trees.languages and t and LETTER.search(t)) for t in texts], bool)
+            ok = np.array([bool(trees.languages and t and any(map(str.isalpha, t))) for t in texts], bool)
             names, scores, lengths = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if ok.any():
                 bits = reader.bits([t for t, k in zip(texts, ok, strict=True) if k])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import small_batches, split_off, staged
 from .components import components
 
 #: Fingerprints of one key compared in one place; fuller keys are dealt out in pairs of blocks.
@@ -200,13 +200,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     found = _grouped(df, id_col, text_col, width, radius).where("_id is not null")
     head = F.when(F.col("_id") == F.col("component_id"), F.col("_root"))
-    named = found.groupBy("_id").agg((F.min("fp") != F.max("fp")).alias("_mixed"), F.max(head).alias("_root")).where("_root is not null")
-    rows = df.select(F.col(id_col).alias("_id"), F.struct(*df.columns).alias("_row")).join(named, "_id")
+    named = found.groupBy("_id").agg(F.count("*").alias("_n"), (F.min("fp") != F.max("fp")).alias("_mixed"), F.max(head).alias("_root"))
+    named = staged(named.where("_n > 1 or _root is null"), "left-out")
+    # Rows of an id that comes once stay as they are or go; only repeated ids are looked at row by row.
+    kept = split_off(df, id_col, named.select("_id"), "left_anti")
+    again = staged(named.where("_n > 1 and _root is not null").select("_id", "_mixed", "_root"), "repeated")
+    if again.isEmpty():
+        return kept
+    few = split_off(df, id_col, again.select("_id"), "left_semi")
+    rows = few.select(F.col(id_col).alias("_id"), F.struct(*df.columns).alias("_row")).join(again, "_id")
     # Only ids with several fingerprints need those of their rows once more.
     heads = found.where("_id = component_id").select("_id", "fp", "_root").distinct()
     mixed = with_fingerprint(rows.where("_mixed").select("_id", "_row", F.col("_row")[text_col].alias("_text")), "_text", width)
     both = rows.where("not _mixed").select("_root", "_row").unionByName(mixed.join(heads, ["_id", "fp"]).select("_root", "_row"))
     ordered = [text_col, *(f.name for f in df.schema if f.name not in (text_col, id_col) and "map<" not in f.dataType.simpleString())]
     least = F.min_by("_row", F.struct(*(F.col("_row")[c].alias(c) for c in ordered)))
-    kept = both.groupBy("_root").agg(least.alias("_row")).select("_row.*")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    return kept.unionByName(both.groupBy("_root").agg(least.alias("_row")).select("_row.*"))
