@@ -193,19 +193,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     labels: id_col and label_col (0 or 1; rows with other or null values are
     left out). `most` bounds what the driver gathers: that many rows of
     features. An id with several labels counts with the least of them, an id
-    with several texts with each.
+    with several texts with the least of those.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    chosen = chosen.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     rows = with_features(chosen, "_text", "_x").select("_id", "_label", "_x").toPandas().sort_values("_id", kind="stable")
     x = np.array(rows["_x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return train(x, rows["_label"].to_numpy(np.float64), **settings)
 
 
 def with_score(df: DataFrame, model: Gam, text_col: str = "text", out: str = "score") -> DataFrame:
-    """df with the model's probability of label 1. Null texts count as empty ones."""
+    """df with the model's probability of label 1. Null texts count as empty ones.
+
+    Repeated rows get the same; an empty table stays empty; a column of df
+    that is named like `out` gives way.
+    """
     small_batches(df.sparkSession)
 
     @F.arrow_udf("double")

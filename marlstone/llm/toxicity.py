@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,8 +143,8 @@ def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, fl
     return [(out, total) for total, out, _, _ in heapq.nlargest(most, beam) if out]
 
 
-def words_in(token: str, model: np.ndarray, worth: Callable[[str], float], most: int = 8) -> str:
-    """The likeliest reading as words; a word may end at any separator, at the cost of BREAK, and is `worth` something itself."""
+def words_in(token: str, model: np.ndarray, most: int = 8) -> str:
+    """The likeliest reading as words; a word may end at any separator, at the cost of BREAK."""
     spots = _lattice(token)
     stops = [i for i, spot in enumerate(spots) if spot == [("", DROP)] and 0 < i] + [len(spots)]
     ending = set(stops)
@@ -159,8 +159,7 @@ def words_in(token: str, model: np.ndarray, worth: Callable[[str], float], most:
             beam = _ahead(beam, spots[i], model, most)
             if i + 1 not in ending:
                 continue
-            closed = heapq.nlargest(most, ((x + model[y, z, 0], w) for x, w, y, z in beam))
-            x, w = max((x + worth(w), w) for x, w in closed)
+            x, w = max((x + model[y, z, 0], w) for x, w, y, z in beam)
             if i + 1 not in best or total + x > best[i + 1][0]:
                 best[i + 1] = total + x, f"{said} {w}".strip()
             ends += 1
@@ -235,7 +234,8 @@ def suspects(text: str) -> tuple[list[str], str]:
 
 
 def parts(word: str) -> list[str]:
-    """A word and its beginnings of 4 to 8 letters."""
+    """A word and its beginnings of 4 to 8 letters, double letters as single ones: a reading cannot tell them apart."""
+    word = RUN.sub(r"\1", word)
     return [word, *(f"{word[:k]}*" for k in range(4, min(8, len(word) - 1) + 1))]
 
 
@@ -250,12 +250,11 @@ class Toxicity:
         self._parts: dict[str, list[tuple[str, float]]] = {}
 
     def reading(self, token: str) -> str:
-        """The likeliest reading; among the likely ones, weighty words come first."""
+        """The likeliest reading by channel and letters alone: what a word weighs does not bend it."""
         if token not in self._readings:
             if len(self._readings) > CACHE:
                 self._readings.clear()
-            worth = lambda w: min(4.0, max(0.0, self.weights.get(w, 0.0)) * 4)
-            self._readings[token] = words_in(token, self.letters, worth)
+            self._readings[token] = words_in(token, self.letters)
         return self._readings[token]
 
     def restore(self, text: str) -> str:
@@ -289,7 +288,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, te
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    return chosen.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def _part_counts(chosen: DataFrame, plain: Toxicity) -> DataFrame:
@@ -320,7 +320,9 @@ def fit(
     The linear model takes at most `most` labelled documents, in the order of
     a hash of their id, and the `features` parts that speak most for toxicity
     among them; both bound what the driver gathers. Null labels and ids are
-    left out; an id with several labels counts as toxic if one says so.
+    left out; an id with several labels counts as toxic if one says so, and
+    one with several texts with the least of them. Without rows of both labels
+    every text gets their share (half without rows).
     """
     small_batches(docs.sparkSession)
     plain = Toxicity(letter_model(trigram_counts(docs, text_col)), {}, 0.0)
@@ -376,7 +378,11 @@ def _logistic(row, k, x, y, names: list[str], start: float, rounds: int) -> tupl
 
 
 def with_toxicity(df: DataFrame, model: Toxicity, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """df with the probability of label 1. Null and empty texts get that of a text without any listed word."""
+    """df with the probability of label 1. Null and empty texts get that of a text without any listed word.
+
+    Repeated rows get the same; an empty table stays empty; a column of df
+    that is named like `out` gives way.
+    """
     small_batches(df.sparkSession)
 
     @F.arrow_udf("double")
