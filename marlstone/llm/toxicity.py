@@ -38,6 +38,7 @@ TRIPLE = re.compile(r"([^\W\d_])\1\1")
 INNER = re.compile(r"[^\W\d_][\d@$!|+€£¢(.\-_*~'’·]|[\d@$!|+€£¢(][^\W\d_]")
 #: Keys in hexadecimal, told by their make-up once runs of a sign are one; they stay as they are.
 HEX = re.compile(r"(?:0x)?(?=[a-f]*\d[a-f]*\d)[0-9a-f]{32,}$")
+PIECE = re.compile(f"[^{re.escape(SEPARATORS)}]+")
 RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 #: Symbols of the character model: an edge of a word, a to z, any other letter.
@@ -47,6 +48,8 @@ CACHE = 200_000
 
 #: log10 costs of the channel.
 SUBSTITUTE, DROP, COLLAPSE, BREAK = -0.3, -0.3, -0.2, -1.0
+#: A separator is dropped at this cost where three signs or more stand on either side: it more likely parts words.
+JOIN = -3.0
 #: A word read across separators has so many runs of signs at most; one without separators may have more.
 WIDEST = 40
 
@@ -97,14 +100,17 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of one sign: what it may stand for ('' is nothing), and the cost."""
-    spots, before = [], ""
+    spots, before, last = [], "", ""
+    pieces = {k: m.end() - m.start() for m in PIECE.finditer(token) for k in (m.end(), -m.start())}
     for run in re.finditer(r"(.)\1*", token):
-        c, n = run[1], len(run[0])
+        c, n, behind, last = run[1], len(run[0]), last, run[1]
         if c in SEPARATORS:
-            spots.append([("", DROP)])
+            whole = min(pieces.get(run.start(), 0), pieces.get(-run.end(), 0)) >= 3
+            spots.append([("", JOIN if whole else DROP)])
             continue
         letters = [(x, SUBSTITUTE * n) for x in LEET.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [("", DROP)])
-        if c == "|" or c == "!":
+        alone = run.end() < len(token) and behind in SEPARATORS and token[run.end()] in SEPARATORS
+        if c in "|!" and not (spots and alone):  # spaced out, a sign has a letter's place
             letters.append(("", DROP))
         options = []
         for x, cost in letters:
@@ -146,7 +152,7 @@ def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, fl
 def words_in(token: str, model: np.ndarray, most: int = 8) -> str:
     """The likeliest reading as words; a word may end at any separator, at the cost of BREAK."""
     spots = _lattice(token)
-    stops = [i for i, spot in enumerate(spots) if spot == [("", DROP)] and 0 < i] + [len(spots)]
+    stops = [i for i, spot in enumerate(spots) if spot in ([("", DROP)], [("", JOIN)]) and 0 < i] + [len(spots)]
     ending = set(stops)
     best: dict[int, tuple[float, str]] = {0: (0.0, "")}
     for start in [0, *stops[:-1]]:
