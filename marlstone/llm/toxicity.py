@@ -161,7 +161,7 @@ def words_in(token: str, model: np.ndarray, most: int = 8) -> str:
         total, said = best[start]
         total += BREAK if start else 0.0
         beam, ends = [(0.0, "", 0, 0)], 0
-        for i in range(start, len(spots)):
+        for i in range(start + (start > 0), len(spots)):  # the separator that parts words is not dropped
             beam = _ahead(beam, spots[i], model, most)
             if i + 1 not in ending:
                 continue
