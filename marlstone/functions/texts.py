@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a number, and as a word.
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?%?"
 TOKEN = r"[\p{L}\p{N}_]+"
 

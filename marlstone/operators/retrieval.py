@@ -61,7 +61,11 @@ def weighted_mean(parts: dict[str, float]) -> Column:
     return F.when(weight > 0, total / weight)
 
 
-def clusters(queries: DataFrame, task: str, step: str, words: str, alike: float = 0.82, anchored: float = 0.62, anchors: str | None = None) -> DataFrame:
+#: How alike the terms of a query and a cluster are, without and with a shared anchor.
+ALIKE, ANCHORED = 0.82, 0.62
+
+
+def clusters(queries: DataFrame, task: str, step: str, words: str, alike: float = ALIKE, anchored: float = ANCHORED, anchors: str | None = None) -> DataFrame:
     """(task, step, cluster, novel): queries of a task in order, each put to the most similar cluster or to a new one.
 
     A query with the same words as the one that opened a cluster goes there.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import number, percent_change
 
+#: Spellings of tests.
 ALIASES = {
     ">": "gt", "greater_than": "gt", ">=": "ge", "gte": "ge", "<": "lt", "less_than": "lt", "<=": "le", "lte": "le",
     "!=": "ne", "not_equal": "ne", "like": "contains",
@@ -78,8 +79,8 @@ def change_by_row(df: DataFrame, column: str, output: str, symbol: str = "symbol
     """The change from the symbol's last row that has a number."""
     before = Window.partitionBy(symbol).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     n = number(F.col(column).cast("string"))
-    change = percent_change(n, F.last(n, ignorenulls=True).over(before))
-    return df.withColumn(output, change / 100 if as_ratio else change)
+    last = F.last(n, ignorenulls=True).over(before)
+    return df.withColumn(output, F.when(last != 0, n / last - 1) if as_ratio else percent_change(n, last))
 
 
 def change_between(df: DataFrame, start: str, end: str, output: str) -> DataFrame:

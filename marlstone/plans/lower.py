@@ -9,7 +9,7 @@ from ..functions.numbers import formula
 from ..operators import panels, rows
 
 PANELS = ("price_panel", "return_panel", "volume_panel")
-#: Fields of single days: operations on them need the long shape.
+#: Fields of single days: operations on them need the long shape.
 DAILY = {"date", "trade_date", "open", "high", "low", "close", "pre_close", "pct_chg", "change", "volume", "vol", "amount"}
 LONG_LIMIT = 200
 
@@ -48,7 +48,7 @@ def universe(plan: dict, tables: dict[str, DataFrame], symbols: DataFrame) -> Da
     if wanted["type"] == "symbols":
         order = {s: i for i, s in reversed(list(enumerate(wanted["symbols"])))}
         pairs = sorted(order.items(), key=lambda p: p[1])[: plan["max_entities"]]
-        return symbols.sparkSession.createDataFrame(pairs, "symbol_key string, _pos int").select("symbol_key")
+        return symbols.sparkSession.createDataFrame(pairs, "symbol_key string, _pos int")
     members = tables["constituents"].where(F.col("index_code") == wanted.get("index_code")).select("symbol_key").distinct()
     return members.orderBy("symbol_key").limit(plan["max_entities"])
 
@@ -80,7 +80,15 @@ def lower(plan: dict, tables: dict[str, DataFrame], lenient: bool = False) -> Da
     frame = apply(frame, plan["operations"], plan["top_k"], ties, lenient)
     chosen = any(op["op"] in ("rank", "max_by", "min_by", "aggregate") for op in plan["operations"])
     limit = plan["limit"] or (LONG_LIMIT if long and not chosen else None if chosen else plan["top_k"])
-    return frame.limit(int(limit)) if limit else frame
+    return (in_order(frame, plan["operations"]).limit(int(limit)) if limit else frame).drop("_pos")
+
+
+def in_order(frame: DataFrame, operations: list[dict]) -> DataFrame:
+    """frame in the order that was asked for, or else in that of its symbols and days, so that a limit has a meaning."""
+    if any(op["op"] in ("sort", "rank", "max_by", "min_by", "aggregate") for op in operations):
+        return frame
+    keys = [c for c in ("_pos", "symbol_key", "date") if c in frame.columns]
+    return frame.orderBy(*keys) if keys else frame
 
 
 def apply(frame: DataFrame, operations: list[dict], top_k: int, ties: list[str], lenient: bool = False) -> DataFrame:
@@ -106,8 +114,11 @@ def apply(frame: DataFrame, operations: list[dict], top_k: int, ties: list[str],
             frame = rows.aggregated(frame, op["function"], op["field"], start)
         elif kind in ("list", "select_fields"):
             fields = [f for f in op["fields"] if f in frame.columns]
-            frame = frame.select(*fields) if fields else frame
-            frame = frame.limit(top) if kind == "list" or op.get("top") else frame
+            hidden = [c for c in ("_pos",) if c in frame.columns]
+            limited = kind == "list" or op.get("top")
+            frame = in_order(frame, operations) if limited else frame
+            frame = frame.select(*fields, *hidden) if fields else frame
+            frame = frame.limit(top) if limited else frame
         elif not lenient:
             raise ValueError(f"unknown operation: {kind}")
     return frame

@@ -13,6 +13,7 @@ SOURCES = {
     "return_panel": "return_panel", "return": "return_panel", "returns": "return_panel", "pct_return": "return_panel", "price_return": "return_panel",
     "volume_panel": "volume_panel", "volume": "volume_panel", "volumes": "volume_panel",
 }
+#: Keys that a metric takes over from its plan.
 INHERITED = ("start_date", "end_date", "date", "trade_date", "fields", "market", "adjust", "shape", "mode", "align")
 CONDITION = re.compile(r"^\s*(\w+)\s*(>=|<=|!=|==|=|>|<|contains|like)\s*(.+?)\s*$")
 
@@ -32,16 +33,28 @@ def as_list(value) -> list:
 def normalise(plan: dict | str) -> dict:
     """A plan with universe {type, symbols}, metrics, operations, limit, top_k and max_entities."""
     plan = json.loads(plan) if isinstance(plan, str) else dict(plan)
-    plan = dict(plan.get("plan", plan))
+    inner = plan.get("plan", plan)
+    plan = json.loads(inner) if isinstance(inner, str) else dict(inner)
+    output = plan.get("output") or {}
+    output = {"fields": output} if isinstance(output, list) else output
+    for key, names in (("shape", ("shape", "mode")), ("fields", ("fields", "columns"))):
+        if plan.get(key) is None and (value := first(output, *names)) is not None:
+            plan[key] = value
+    if plan.get("fields") is None and plan.get("output_fields") is not None:
+        plan["fields"] = plan["output_fields"]
     universe = plan.get("universe", plan.get("symbols"))
     universe = {"type": "symbols", "symbols": universe} if isinstance(universe, str | list) else dict(universe or {})
     kind = str(universe.get("type") or "symbols").lower()
     universe["type"] = "symbols" if kind in ("symbols", "symbol_list", "tickers") else kind
     universe["symbols"] = [str(s).upper() for s in as_list(first(universe, "symbols", "tickers"))]
-    metrics = plan.get("metrics") or []
+    metrics = first(plan, "metrics", "metric", default=[])
+    if isinstance(metrics, dict) and not any(k in metrics for k in ("source", "name", "metric")):
+        metrics = [{"source": k} | (v if isinstance(v, dict) else {}) for k, v in metrics.items()]
     metrics = [metrics] if isinstance(metrics, dict | str) else metrics
-    operations = [n for op in plan.get("operations") or [] for n in operation(op)]
-    output = plan.get("output") or {}
+    given = first(plan, "operations", "ops", default=[])
+    if isinstance(given, dict):
+        given = [given] if any(k in given for k in ("op", "operation", "type")) else [{k: v} for k, v in given.items()]
+    operations = [n for op in ([given] if isinstance(given, str) else given) for n in operation(op)]
     for sort in as_list(first(output, "sort", "order_by")):
         operations += operation({"sort": sort})
     if not operations and (by := first(plan, "rank_by", "order_by")):
@@ -78,22 +91,32 @@ def operation(op: dict | str) -> list[dict]:
         if not found:
             raise ValueError(f"no operation: {op}")
         return [{"op": "filter", "field": found[1], "operator": found[2], "value": found[3].strip("'\"")}]
-    name = str(first(op, "op", "type", default="")).lower()
+    name = str(first(op, "op", "operation", "type", default="")).lower()
     if not name:
         name = next((k for k in ("filter", "sort", "order_by", "max_by", "min_by", "rank", "count", "list", "select_fields", "aggregate", "compute") if k in op), "")
+        if not name:
+            raise ValueError(f"no operation: {op}")
         value = op.get(name)
+        if name == "filter" and isinstance(value, str):
+            return operation(value)
+        if name == "filter" and isinstance(value, list):
+            return [n for v in value for n in operation(v if isinstance(v, str) else {"filter": v})]
+        if name == "filter" and isinstance(value, dict) and isinstance(value.get("condition"), str) and len(value) == 1:
+            return operation(value["condition"])
         if name == "filter" and isinstance(value, dict) and "field" not in value:
             tests = [(f, t if isinstance(t, dict) else {"eq": t}) for f, t in value.items()]
             return [{"op": "filter", "field": f, "operator": o, "value": v} for f, t in tests for o, v in t.items()]
         if name == "compute":
             calls = {f: re.match(r"pct_change\((\w+)\)$", str(e).replace(" ", "")) for f, e in value.items()}
-            return [{"op": "pct_change", "column": m[1], "output": f} if m else {"op": "add_column", "column": f, "expression": value[f]} for f, m in calls.items()]
+            return [{"op": "pct_change", "column": m[1], "output": f, "as_ratio": True} if m else {"op": "add_column", "column": f, "expression": value[f]} for f, m in calls.items()]
         if name in ("sort", "order_by"):
             items = value.items() if isinstance(value, dict) and "field" not in value else [(value, None)]
             return [n for v, o in items for n in operation({"op": "sort", **(v if isinstance(v, dict) else {"field": v}), **({"order": o} if o else {})})]
         op = {"op": name, **(value if isinstance(value, dict) else {"fields" if name in ("list", "select_fields") else "field": value})}
         return operation(op)
     field = first(op, "field", "by", "column")
+    if name == "filter" and not field and CONDITION.match(str(op.get("condition") or "")):
+        return operation(op["condition"])
     if name == "filter":
         test = str(first(op, "operator", "comparison", "comparator", "condition", default="eq")).lower()
         return [{"op": "filter", "field": field, "operator": test, "value": first(op, "value", "threshold", "target", "equals")}] if field else []

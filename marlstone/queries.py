@@ -176,7 +176,7 @@ for _f, _sql in (("sum", "coalesce(sum(volume), 0)"), ("mean", "avg(volume)"), (
 
 @query(
     f"""WITH {LONG("1996-03-01", "1997-06-30", IN_KEYS)}
-    SELECT symbol_key, date, volume, (volume / lag(volume) OVER (PARTITION BY symbol_key ORDER BY date) - 1) * 100 AS volume_change FROM panel"""
+    SELECT symbol_key, date, volume, volume / lag(volume) OVER (PARTITION BY symbol_key ORDER BY date) - 1 AS volume_change FROM panel"""
 )
 def plan_rowwise_change(spark, sf_dir):
     plan = {"universe": KEYS, "metrics": ["price_panel"], **SPAN, "limit": 1_000_000, "operations": [{"compute": {"volume_change": "pct_change(volume)"}}]}
@@ -693,10 +693,10 @@ def set_operations(spark, sf_dir):
 
 @query(
     """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE left(text, 60) || ' … ' || right(text, 60) END AS shown,
-      sha1(array_to_string(list_sort(list_distinct(string_split(lower(substr(text, 1, 40)), ' '))), ' ')) AS signature FROM documents"""
+      sha1(array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ')) AS signature FROM documents"""
 )
 def text_shown_and_signed(spark, sf_dir):
-    words = F.split(F.lower(F.substring("text", 1, 40)), " ")
+    words = F.split(F.lower("text"), " ")
     return table(spark, sf_dir, "documents").select("doc_id", texts.head_and_tail(F.col("text"), 120).alias("shown"), texts.signature(words).alias("signature"))
 
 
@@ -737,20 +737,24 @@ def symbol_suffixes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", symbols.equity(code).alias("equity"), symbols.index(code).alias("index"), symbols.fund(code).alias("fund"))
 
 
-@query(
-    rf"""SELECT doc_id, array_to_string(list_slice(list_distinct_in_order, 1, 80), ' ') AS terms FROM (
-      SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM (
-        SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{texts.TOKEN}'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'der', 'die')) AS w FROM documents WHERE n_chars < 1500))"""
-)
+TERMS = rf"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{texts.TOKEN}'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'der', 'die')) AS ws FROM documents)),
+    f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM f),
+    t AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS terms FROM r WHERE place <= 80 GROUP BY 1)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(terms, '') END AS terms FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+@query(TERMS)
 def text_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars < 1500")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(retrieval.terms(F.col("text"), ["the", "and", "der", "die"]), " ").alias("terms"))
 
 
-@query()
+@query(TERMS)
 def text_terms_whole(spark, sf_dir):
-    """text_terms without a limit of length: all documents. Tested against brute force: list_position in SQL grows with the square of a text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.terms(F.col("text"), ["the", "and", "der", "die"]), " ").alias("terms"))
+    """The same rows as text_terms, which once had a limit of length."""
+    return text_terms(spark, sf_dir)
 
 
 @query(
@@ -833,3 +837,6 @@ def query_clusters(spark, sf_dir):
 def fuzzy_dimension(spark, sf_dir):
     both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return both.select("c_custkey", "n_name", retrieval.either_contains(F.col("n_name"), F.col("c_mktsegment")).alias("alike"))
+
+
+from . import action_queries  # noqa: E402, F401  (registers more queries)
