@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, small_batches
+from .common import Ids, small_batches, spare
 
 #: Where the vocabularies lie; a parameter, for they are no part of this repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -207,7 +207,9 @@ def with_fertility(
     A null text counts as an empty one: no words, base_failed. A null or
     unknown language takes the band of the text's script. Windows of words are
     compared by 64-bit hashes within one text. Repeated rows and other columns
-    stay as they are; an empty table stays empty.
+    stay as they are, but for one named like `out`; an empty table stays empty.
+    The vocabularies lie in the folder `tokenizers`, on every executor; where
+    it is missing the job fails.
     """
     small_batches(df.sparkSession)
     rules = rules or Rules()
@@ -231,6 +233,9 @@ def _fields() -> tuple[list[str], list[pa.DataType]]:
     return [n for n, _ in pairs], [kinds[t] for _, t in pairs]
 
 
-def keep_fertile(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", rules: Rules | None = None) -> DataFrame:
+def keep_fertile(
+    df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", rules: Rules | None = None, tokenizers: str = TOKENIZERS,
+) -> DataFrame:
     """The rows of df that pass, with df's columns."""
-    return with_fertility(df, text_col, lang_col, rules, out="_fertility").where("_fertility.kept").drop("_fertility")
+    out = spare("_fertility", df)
+    return with_fertility(df, text_col, lang_col, rules, tokenizers, out).where(F.col(out)["kept"]).drop(out)

@@ -238,9 +238,12 @@ def _payload(row: dict, body, whole: bool) -> dict:
     while (end := start.find(b"\r\n\r\n")) < 0 and take < size:
         take = min(size, 4 * take)
         start = body(take)
-    http = start[: end if end >= 0 else len(start)]
+    if end < 0:  # no HTTP headers: what is there is the payload
+        revisit = row["warc_type"] == "revisit"
+        return {"payload_bytes": size, "payload": body(size) if whole and not revisit else None}
+    http = start[:end]
     said = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    content = body(size)[end + 4 :] if whole and end >= 0 else None
+    content = body(size)[end + 4 :] if whole else None
     length = int(said[1]) if said else size - end - 4
     return {"payload_bytes": length, "payload": None if row["warc_type"] == "revisit" else content}
 
@@ -309,8 +312,6 @@ class Member:
 
 def _starts(f, start: int, stop: int) -> int | None:
     """The first member that starts in the range: one whose text starts a WARC record."""
-    if start == 0:
-        return 0
     at, tail = start, b""
     f.seek(at)
     while at - len(tail) < stop:
@@ -336,7 +337,11 @@ def _starts(f, start: int, stop: int) -> int | None:
 
 
 def _members(f, start: int, stop: int) -> Iterator[tuple[bytes, object]]:
-    """Records whose members start in the range."""
+    """Records whose members start in the range.
+
+    A damaged member is left out, and reading goes on at the next that starts
+    a record; the records behind it are not lost.
+    """
     at = _starts(f, start, stop)
     size = f.size()
     while at is not None and at < min(stop, size):
@@ -344,16 +349,28 @@ def _members(f, start: int, stop: int) -> Iterator[tuple[bytes, object]]:
         front = f.read(24)
         said = front[:4] == MEMBER and front[12:14] == b"sl" and struct.unpack("<I", front[16:20])[0]
         one = Member(f, at)
-        if (got := one.head()) is None:
-            return
+        try:
+            got = one.head()
+        except zlib.error:
+            got = None
+        if got is None:
+            at = _starts(f, at + 1, stop)
+            continue
         head, base = got
 
         def body(n: int, one=one, base=base) -> bytes:
-            one.upto(base + n)
+            """The block's first n bytes; of a damaged one, those before the damage."""
+            try:
+                one.upto(base + n)
+            except zlib.error:
+                pass
             return bytes(one.plain[base : base + n])
 
         yield head, body
-        at = at + said if said else one.finish()
+        try:
+            at = at + said if said else one.finish()
+        except zlib.error:
+            at = _starts(f, at + 1, stop)
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0) -> DataFrame:
