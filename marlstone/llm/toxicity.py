@@ -110,7 +110,7 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             continue
         letters = [(x, SUBSTITUTE * n) for x in LEET.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [("", DROP)])
         alone = run.end() < len(token) and behind in SEPARATORS and token[run.end()] in SEPARATORS
-        if c in "|!" and not (spots and alone):  # spaced out, a sign has a letter's place
+        if c in "|!" and (spots or run.end() == len(token)) and not alone:  # spaced out or in front, a sign has a letter's place
             letters.append(("", DROP))
         options = []
         for x, cost in letters:
