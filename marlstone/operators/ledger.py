@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +48,31 @@ def within_budget(df: DataFrame, group: str, order: list[str], size: str, budget
 
 
 def best_fit(df: DataFrame, group: str, order: list[str], size: str, budget: int, key: str) -> DataFrame:
-    """Rows in order, passing over those that do not fit in what is left of the budget.
+    """(group, used, key): rows in order, passing over those that do not fit in what is left of the budget.
 
-    Each choice rests on those before it: a fold over the group's sorted rows,
-    of which only order, size and key are gathered.
+    Each choice rests on those before it, so a group is one fold, but a
+    stream: rows beyond the budget go first, Spark sorts (and spills) the rest
+    by group and order, and a task holds one batch of rows and the keys it has
+    chosen. Rows without a size go; sizes below 0 count as 0.
     """
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>").alias("keys"))
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size"), F.col(key).alias("_key")))).alias("_rows"))
-
-    def step(acc: Column, row: Column) -> Column:
-        after = acc["used"] + row["_size"]
-        taken = F.struct(after.alias("used"), F.concat(acc["keys"], F.array(row["_key"])).alias("keys"))
-        return F.when(after <= budget, taken).otherwise(acc)
-
-    chosen = rows.select(group, F.aggregate("_rows", state, step).alias("_s"))
-    return chosen.select(group, F.col("_s.used").alias("used"), F.explode("_s.keys").alias(key))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = df.where(F.col(size) <= budget).select(F.col(group).alias("g"), F.greatest(F.col(size).cast("long"), F.lit(0).cast("long")).alias("size"), F.col(key).alias("key"), F.struct(*order).alias("at"))
+    rows = rows.repartition("g").sortWithinPartitions("g", "at").select("g", "size", "key")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, started, used = None, False, 0
+        for frame in frames:
+            taken = []
+            for g, n in zip(frame["g"].array, frame["size"].array, strict=True):
+                if not started or not (g == now or pd.isna(g) and pd.isna(now)):
+                    now, started, used = g, True, 0
+                taken.append(used + n <= budget)
+                used += n if taken[-1] else 0
+            yield frame[taken]
+
+    chosen = rows.mapInPandas(fold, f"g {kinds[group]}, size long, key {kinds[key]}")
+    total = F.sum("size").over(Window.partitionBy("g"))
+    return chosen.select(F.col("g").alias(group), total.alias("used"), F.col("key").alias(key))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

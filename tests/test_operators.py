@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import dates, numbers, texts
-from marlstone.operators import evals, market, panels, rows, sampling
+from marlstone.operators import evals, market, panels, rows, rules, sampling
 from marlstone.plans import PlanError, lower, normalise
 from marlstone.sources import html_tables, lines
 
@@ -159,3 +159,27 @@ def test_lines_and_delimited(spark, tmp_path):
     assert "N/A" in text and "none" not in text
     table = spark.createDataFrame([("t", 1, "a|b"), ("t", 2, None)], "t string, i int, c string")
     assert lines.markdown(table, "t", "i", ["c"]).first().markdown == "| c |\n| --- |\n| a\\|b |\n|  |"
+
+
+def test_places_by_blocks_are_places_in_the_whole_order(spark):
+    rows = spark.range(3000).selectExpr("CAST(id AS INT) AS id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN 'x' END AS g").withColumn("_h", sampling.draw("s", "id"))
+    got = {r.id: (r.g, r.place) for r in sampling.ranked(rows, ["g"], "id", "place").collect()}
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r["_h"], r.id)):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        want[r.id] = (r.g, seen[r.g])
+    assert got == want
+    assert sampling.ranked(rows.limit(0), [], "id", "place").count() == 0
+
+
+def test_rules_on_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (4, "**Answer:** ABC-1 (so)"), (5, "```json\n{\"a\": 1}\n``` {b")], "id int, t string")
+    out = {r.id: r for r in df.select(
+        "id", rules.answer_atom(F.col("t")).alias("atom"), rules.lenient_json(F.col("t")).alias("json"), rules.unit_hint(F.col("t")).alias("unit"),
+        rules.names_acronym(F.lit("ABC-1"), F.col("t")).alias("acronym"), F.size(rules.field_candidates(F.col("t"), {"abc": {}})).alias("fields"),
+    ).collect()}
+    assert (out[1].atom, out[1].json, out[1].unit, out[1].acronym) == (None, None, None, None)
+    assert (out[2].atom, out[2].json, out[2].fields) == ("", None, 0)
+    assert (out[3].json, out[3].acronym) == (None, False)
+    assert (out[4].atom, out[4].acronym, out[4].fields) == ("ABC-1", True, 1)
+    assert out[5].json == '{"a": 1}'
