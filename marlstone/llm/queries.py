@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toolcalls, toxicity, warc
+from . import alignment, audit, bpe, ctw, decontaminate, fertility, gam, mixing, ppm, simhash, toolcalls, toxicity, warc
 from .common import fold, shared_dir, table
 
 
@@ -77,14 +77,28 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.linked(*toolcalls.from_conversations(spark, table(spark, sf_dir, "conversations")))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.text_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.audit(rows, {x: F.col(x) for x in "ABCDE"}, F.col("part"), {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_benchmark_decontamination, op2_tokeniser_fertility, op3_quality_gam, op4_poisson_mixing,
         op5_noisy_channel_toxicity, op6_context_tree_weighting,
         op7_simhash_near_dedup, op8_warc_source, op9_ppm_language_id, op10_tool_call_linking,
+        op11_filter_interaction, op12_tokenizer_alignment, op13_byte_bpe,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": mixing.oracle()}
+    return {"op4_poisson_mixing": mixing.oracle(), "op11_filter_interaction": audit.oracle()}
