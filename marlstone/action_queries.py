@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import dates, numbers, texts
-from .operators import actions, evals
+from .operators import actions, evals, ranks
 from .queries import GUESS, guessed, query, table
 
 
@@ -125,19 +125,16 @@ def metadata_coalesced(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS speaker,
-      dense_rank() OVER (ORDER BY conv_id)::INT AS episode FROM conversations"""
+    """WITH f AS (SELECT conv_id, min(turn * 1000000000000 + conv_id) AS first FROM conversations GROUP BY 1), p AS (SELECT conv_id, row_number() OVER (ORDER BY first, conv_id)::INT AS episode FROM f)
+    SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS speaker, episode FROM conversations JOIN p USING (conv_id)"""
 )
 def messages_by_role(spark, sf_dir):
-    """Episodes are numbered from their distinct ids, not by a window over all turns."""
-    from pyspark.sql import Window
-
+    """Episodes are numbered by their first place in the feed, here that of turn and conversation."""
     turns = table(spark, sf_dir, "conversations")
-    ids = turns.select("conv_id").distinct().withColumn("part", F.floor(F.col("conv_id") / 4096))
-    sizes = ids.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ids.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("conv_id"))).join(sizes.select("part", "before"), "part")
+    first = F.min(F.col("turn") * F.lit(10**12) + F.col("conv_id"))
+    episodes = ranks.placed(turns.groupBy("conv_id").agg(first.alias("first")), ["first", "conv_id"], "episode")
     spoken = F.initcap(F.when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")))
-    return turns.join(placed, "conv_id").select("conv_id", "turn", actions.role(spoken).alias("speaker"), (F.col("before") + F.col("r")).cast("int").alias("episode"))
+    return turns.join(episodes, "conv_id").select("conv_id", "turn", actions.role(spoken).alias("speaker"), F.col("episode").cast("int").alias("episode"))
 
 
 @query(

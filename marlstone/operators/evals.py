@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number, ratio
+from . import ranks
 
 
 def correctness(row: dict[str, Column]) -> Column:
@@ -68,14 +69,14 @@ def matthews(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 def rank_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: n, min, max and the values at place max(1, floor(n * share)), counted from the smallest.
 
-    Exact at any size: counts by value come first, and the running sum is over
-    distinct values only.
+    Exact at any size: counts by value come first, and the running sum over
+    distinct values goes by blocks of their order.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"_upto": F.sum("_n").over(run), "_all": F.sum("_n").over(Window.partitionBy(F.lit(1)))})
+    run = ranks.running_sum(counts, [value], "_n", "_upto")
+    rows = run.join(F.broadcast(run.agg(F.sum("_n").alias("_all"))), F.lit(True))  # one row
     at = lambda p: F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.floor(F.col("_all") * p)), F.col(value)))
-    return placed.agg(F.sum("_n").alias("n"), F.min(value).alias("min"), *(at(p).alias(k) for k, p in shares.items()), F.max(value).alias("max"))
+    return rows.agg(F.sum("_n").alias("n"), F.min(value).alias("min"), *(at(p).alias(k) for k, p in shares.items()), F.max(value).alias("max"))
 
 
 def extremes(df: DataFrame, columns: list[str], identity: str) -> DataFrame:

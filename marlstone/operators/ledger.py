@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def fingerprint(*parts: Column) -> Column:
     """SHA-1 of the parts' texts; nulls are empty."""
@@ -27,12 +29,8 @@ def upserted(df: DataFrame, key: str, order: list[str], columns: list[str]) -> D
 
 
 def runs_without_gain(df: DataFrame, task: str, order: list[str], gain: Column) -> DataFrame:
-    """df with no_gain_run: rows since the task's last gain; a gain is 0."""
-    upto = Window.partitionBy(task).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_gain", F.coalesce(gain, F.lit(False))).withColumn("_island", F.sum(F.col("_gain").cast("int")).over(upto))
-    within = Window.partitionBy(task, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum((~F.col("_gain")).cast("int")).over(within)
-    return rows.withColumn("no_gain_run", run.cast("int")).drop("_gain", "_island")
+    """df with no_gain_run: rows since the task's last gain; a gain is 0. A task may hold most of the rows: it is cut into blocks."""
+    return ranks.since_last(df, order, gain, "no_gain_run", [task])
 
 
 def repeated_calls(df: DataFrame, call: list[str], step: str, most: int = 12) -> DataFrame:
@@ -43,8 +41,7 @@ def repeated_calls(df: DataFrame, call: list[str], step: str, most: int = 12) ->
 
 def within_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
     """Rows in order until the budget is passed for the first time."""
-    upto = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(upto)).where(F.col("used") <= budget)
+    return ranks.running_sum(df, order, size, "used", [group]).where(F.col("used") <= budget)
 
 
 def best_fit(df: DataFrame, group: str, order: list[str], size: str, budget: int, key: str) -> DataFrame:
@@ -83,5 +80,5 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def named_apart(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """df with unique_id: a repeated key gets __dup and its number."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumn("unique_id", F.when(F.col("_n") == 0, F.col(key).cast("string")).otherwise(F.format_string("%s__dup%02d_", F.col(key).cast("string"), F.col("_n")))).drop("_n")
+    rows = ranks.placed(df, order, "_n", [key]).withColumn("_n", F.col("_n") - 1)
+    return rows.withColumn("unique_id", F.when(F.col("_n") == 0, F.col(key).cast("string")).otherwise(F.format_string("%s__dup%02d_", F.col(key).cast("string"), F.col("_n")))).drop("_n")
