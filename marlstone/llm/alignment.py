@@ -4,9 +4,9 @@ A transducer reads the two token sequences side by side. Its state is the side
 that leads and the bytes by which it leads; the other side's next token either
 eats into them, or uses them up and closes a group, or takes the lead. What a
 state does with a token is worked out once and remembered, as there are few
-residuals among the suffixes of tokens. Texts are read in stretches that start
-before the space behind another sign, where no token of either side crosses:
-both sides end there, and the state is empty.
+residuals among the suffixes of tokens. Texts are read in stretches between
+places that no token of either side crosses: both sides end there, and the state
+is empty. Short stretches are remembered as a whole.
 
 The links of all texts are counted together. Of two tokens that end together
 one is a suffix of the other, so there are no more different links than
@@ -29,74 +29,104 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Merges, public, ranks
+from .bpe import Merges, pattern, public, ranks
 from .common import small_batches, staged
 
-#: Transitions and stretches remembered by a task; a stretch's longest.
-TRANSITIONS, MEMO, SHORT = 1 << 18, 1 << 16, 48
+#: Transitions and stretches remembered by a task (twice as many stretches: those of late and those before), and a stretch's longest.
+TRANSITIONS, MEMO, SHORT = 1 << 18, 1 << 17, 48
+#: Stretches of more signs are pre-tokenised here: the library's stack does not hold very long runs of white space.
+LONG = 10_000
 #: A link is one number: A's id, and B's in the lowest bits.
 B_BITS = 20
 
-#: Up to the next space that stands behind another sign than white space; a lone space at the end goes with what is before.
-STRETCH = regex.compile(r"\s*+\S++(?:[^\S ]\s*+\S++)*+(?:[^\S ]\s*+| \Z)?|\s+")
+#: Signs before which a word may end, if no piece joins them to a letter.
+SIGNS = ",.;:!?)\"'-"
+
+
+def stretch_pattern(signs: str) -> regex.Pattern:
+    """Stretches end before a space or line end behind any other sign, between a letter and one of signs, and behind a lone line end.
+
+    White space goes with what follows it: how a run of it is cut depends on that.
+    """
+    own = regex.escape(signs)
+    word = rf"\s*+\p{{L}}++(?=[ \n{own}]|\Z)"
+    marks = rf"|\s*+[{own}]++(?=[ \n]|\Z)" if signs else ""
+    return regex.compile(rf"(?<!\s)\n(?=\S)|{word}{marks}|\s*+\S++(?:[^\S \n]\s*+\S++)*+(?:[^\S \n]\s*+\Z)?|\s+")
 
 
 class Mismatch(Exception):
     """The two sides do not spell the same bytes."""
 
 
+class State:
+    """Bytes by which one side leads, and what the tokens of the other do to them."""
+
+    __slots__ = ("residual", "b_leads", "after")
+
+    def __init__(self, residual: bytes, b_leads: bool):
+        self.residual, self.b_leads, self.after = residual, b_leads, {}
+
+
 class Transducer:
     """Reads two sequences of token ids whose bytes are a and b."""
 
     def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
-        self.bytes = a, b
-        self.known: dict[tuple[bytes, bool, int], tuple[bytes, bool]] = {}
-
-    def step(self, residual: bytes, leads: bool, token: int) -> tuple[bytes, bool]:
-        """The state after the side behind reads a token. leads: B is ahead, by the residual."""
-        if len(self.known) >= TRANSITIONS:
-            self.known.clear()
-        spelt = self.bytes[not leads][token]
+        self.a, self.b = a, b
+        self.clear()
+
+    def clear(self) -> None:
+        #: The empty state: A reads first and leads by its token.
+        self.empty = State(b"", True)
+        self.states, self.known = {}, 0
+
+    def step(self, state: State, token: int) -> State:
+        """The state after the side behind reads a token, worked out and remembered."""
+        spelt, residual = (self.a if state.b_leads else self.b)[token], state.residual
         if residual.startswith(spelt):
-            after = residual[len(spelt) :], leads
+            rest, b_leads = residual[len(spelt) :], state.b_leads
         elif spelt.startswith(residual):
-            after = spelt[len(residual) :], not leads
+            rest, b_leads = spelt[len(residual) :], not state.b_leads
         else:
             raise Mismatch
-        self.known[residual, leads, token] = after
+        after = self.states.setdefault((rest, b_leads), State(rest, b_leads)) if rest else self.empty
+        state.after[token] = after
+        self.known += 1
         return after
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The groups of two whole sequences; Mismatch if they spell different bytes."""
-        known, found, sides = self.known, [], (a, b)
-        at, began = [0, 0], [0, 0]
-        while at[0] < len(a) or at[1] < len(b):
-            # An empty residual: A reads first, and leads by its token.
-            if at[0] == len(a) or at[1] == len(b):
-                raise Mismatch
-            residual, leads = self.bytes[0][a[at[0]]], False
-            at[0] += 1
-            while residual:
-                behind = not leads
-                if at[behind] == len(sides[behind]):
-                    raise Mismatch
-                token = sides[behind][at[behind]]
-                at[behind] += 1
-                residual, leads = known.get((residual, leads, token)) or self.step(residual, leads, token)
-            found.append((a[began[0] : at[0]], b[began[1] : at[1]]))
-            began = at[:]
-        return found
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """Where the groups of two whole sequences end, in tokens of a and b; Mismatch if they spell different bytes."""
+        if self.known >= TRANSITIONS:
+            self.clear()
+        i = j = 0
+        empty, step, ends, n = self.empty, self.step, [], len(a)
+        try:
+            while i < n:
+                token = a[i]
+                i += 1
+                state = empty.after.get(token) or step(empty, token)
+                while state is not empty:
+                    if state.b_leads:
+                        token = a[i]
+                        i += 1
+                    else:
+                        token = b[j]
+                        j += 1
+                    state = state.after.get(token) or step(state, token)
+                ends.append((i, j))
+        except IndexError:
+            raise Mismatch from None
+        if j < len(b):
+            raise Mismatch
+        return ends
 
 
 class Stretch(NamedTuple):
-    """Tokens of both sides, the sizes of their groups, the groups as text and their links."""
+    """Counts of tokens, the groups as text (`a1,a2|b1;a3|b2`), and their links."""
 
-    a: list[int]
-    b: list[int]
-    a_sizes: list[int]
-    b_sizes: list[int]
+    n_a: int
+    n_b: int
     text: str
-    links: list[int]
+    links: tuple[int, ...]
 
 
 class Aligner:
@@ -104,42 +134,77 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        import tiktoken
 
         own = ranks(a_path)
         self.merges = Merges(own)
+        self.quick = tiktoken.Encoding("a", pat_str=pattern().pattern, mergeable_ranks=own, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         spelt = {i: bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)}
+        plain = [x for i, x in enumerate(names) if not (self.pieces.is_byte(i) or self.pieces.is_control(i) or self.pieces.is_unknown(i))]
         self.transducer = Transducer({n: token for token, n in own.items()}, spelt)
-        #: Pieces that hold a space behind another sign would cross stretches: then texts stay whole.
-        self.cut = not any("▁" in x.lstrip("▁") for x in names)
-        self.memo: dict[str, Stretch] = {}
-
-    def stretch(self, text: str, b: list[int]) -> Stretch:
-        """A stretch, its leading space included, and its ids of B."""
-        a = np.frombuffer(self.merges.packed(text), "<u4").tolist()
-        groups = self.transducer.groups(a, b)
-        shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        links = [x[-1] << B_BITS | y[-1] for x, y in groups]
-        return Stretch(a, b, [len(x) for x, _ in groups], [len(y) for _, y in groups], shown, links)
-
-    def stretches(self, text: str | None) -> list[Stretch]:
-        """A text's stretches in order; none for a text without tokens."""
+        # Pieces that hold a space behind another sign, or a line end, would cross stretches: then texts stay whole.
+        self.line = self.pieces.piece_to_id("<0x0A>")
+        self.cut = self.pieces.is_byte(self.line) and not any("▁" in x.lstrip("▁") or "\n" in x for x in plain)
+        joined = {y for x in plain for p, y in zip(x, x[1:]) if regex.match(r"\p{L}", p)}
+        self.pattern = stretch_pattern("".join(c for c in SIGNS if c not in joined))
+        self.late: dict[str, Stretch] = {}
+        self.before: dict[str, Stretch] = {}
+
+    def a_ids(self, text: str) -> list[int]:
+        if len(text) > LONG:
+            return np.frombuffer(self.merges.packed(text), "<u4").tolist()
+        return self.quick.encode_ordinary(text)
+
+    def b_ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of stretches, in one call: they are lines of one text, for nothing is joined to a line end."""
+        line = self.line
+        if not self.cut:
+            return self.pieces.encode([p[1:] for p in parts], num_threads=1)
+        # A line end within a stretch would be taken for one between two: those are called one by one, behind a line end of their own.
+        own = [p for p in parts if "\n" not in p]
+        ids, found = self.pieces.encode("\n" + "\n".join(own) + "\n") if own else [], {}
+        at = ids.index(line) + 1 if own else 0
+        for p in own:
+            end = ids.index(line, at)
+            found[p] = ids[at:end]
+            at = end + 1
+        return [found[p] if p in found else self.pieces.encode("\n" + p)[2:] for p in parts]
+
+    def stretch(self, a: list[int], b: list[int]) -> Stretch:
+        texts, links, i, j = [], [], 0, 0
+        for m, n in self.transducer.groups(a, b):
+            x, y = a[m - 1], b[n - 1]
+            links.append(x << B_BITS | y)
+            texts.append(f"{x}|{y}" if m - i == 1 == n - j else f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+            i, j = m, n
+        return Stretch(len(a), len(b), ";".join(texts), tuple(links))
+
+    def stretches(self, text: str | None) -> tuple[list[str], dict[str, Stretch]]:
+        """A text's stretches in order, and what each comes to; none for a text without tokens."""
         if not text:
-            return []
-        parts = STRETCH.findall(" " + text) if self.cut else [" " + text]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [p for p in dict.fromkeys(parts) if p not in memo]
-        fresh = {}
+            return [], {}
+        parts = self.pattern.findall(" " + text) if self.cut else [" " + text]
+        if len(self.late) >= MEMO:
+            self.late, self.before = {}, self.late
+        late, before, found, unknown = self.late, self.before, {}, []
+        for p in set(parts):
+            known = late.get(p)
+            if known is None and (known := before.get(p)) is not None:
+                late[p] = known
+            if known is None:
+                unknown.append(p)
+            else:
+                found[p] = known
         try:
-            for p, b in zip(new, self.pieces.encode([p[1:] for p in new], num_threads=1), strict=True):
-                fresh[p] = self.stretch(p, b)
+            for p, b in zip(unknown, self.b_ids(unknown), strict=True):
+                found[p] = known = self.stretch(self.a_ids(p), b)
+                if len(p) <= SHORT:
+                    late[p] = known
         except Mismatch:
-            return []
-        memo.update((p, x) for p, x in fresh.items() if len(p) <= SHORT)
-        return [memo.get(p) or fresh[p] for p in parts]
+            return [], {}
+        return parts, found
 
 
 @cache
@@ -169,11 +234,16 @@ def aligned(df: DataFrame, text_col: str = "text", out: str = "alignment", a_pat
     def align(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = aligner(*paths)
         for texts in batches:
-            rows = []
-            for t in texts:
-                parts = own.stretches(t.as_py())
-                rows.append({c: [x for p in parts for x in getattr(p, c)] for c in ("a", "b", "a_sizes", "b_sizes")})
-            yield pa.array(rows, kind)
+            yield pa.array([groups(*own.stretches(t.as_py())) for t in texts], kind)
+
+    def groups(parts: list[str], known: dict[str, Stretch]) -> dict[str, list[int]]:
+        found = {"a": [], "b": [], "a_sizes": [], "b_sizes": []}
+        for group in chain.from_iterable(known[p].text.split(";") for p in parts):
+            for side, ids in zip("ab", group.split("|"), strict=True):
+                own = list(map(int, ids.split(",")))
+                found[side] += own
+                found[f"{side}_sizes"].append(len(own))
+        return found
 
     return df.withColumn(out, align(F.col(text_col)))
 
@@ -197,15 +267,18 @@ def text_links(df: DataFrame, text_col: str = "text", a_path: str | None = None,
         for texts in batches:
             rows = []
             for t in texts:
-                parts = own.stretches(t.as_py())
-                links = Counter(chain.from_iterable(p.links for p in parts))
-                digest = sha256()
-                for i, p in enumerate(parts):
-                    digest.update((";" if i else "").encode() + p.text.encode())
-                rows.append((
-                    sum(len(p.a) for p in parts), sum(len(p.b) for p in parts), links.total(), digest.hexdigest() if parts else "",
-                    list(links.keys()), list(links.values()),
-                ))
+                parts, known = own.stretches(t.as_py())
+                n_a = n_b = 0
+                links: Counter[int] = Counter()
+                for p, times in Counter(parts).items():
+                    x = known[p]
+                    n_a += times * x.n_a
+                    n_b += times * x.n_b
+                    for i in x.links:
+                        links[i] += times
+                shown = {p: x.text for p, x in known.items()}
+                digest = sha256(";".join(map(shown.__getitem__, parts)).encode()).hexdigest() if parts else ""
+                rows.append((n_a, n_b, links.total(), digest, list(links.keys()), list(links.values())))
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow.values(), strict=True)], list(kinds))
 
