@@ -29,13 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Merges, pattern, public, ranks
+from .bpe import LONG, Merges, public, ranks
 from .common import small_batches, staged
 
 #: Transitions and stretches remembered by a task (twice as many stretches: those of late and those before), and a stretch's longest.
 TRANSITIONS, MEMO, SHORT = 1 << 18, 1 << 17, 48
-#: Stretches of more signs are pre-tokenised here: the library's stack does not hold very long runs of white space.
-LONG = 10_000
 #: A link is one number: A's id, and B's in the lowest bits.
 B_BITS = 20
 
@@ -134,11 +132,9 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        import tiktoken
 
         own = ranks(a_path)
         self.merges = Merges(own)
-        self.quick = tiktoken.Encoding("a", pat_str=pattern().pattern, mergeable_ranks=own, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         spelt = {i: bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)}
@@ -153,9 +149,7 @@ class Aligner:
         self.before: dict[str, Stretch] = {}
 
     def a_ids(self, text: str) -> list[int]:
-        if len(text) > LONG:
-            return np.frombuffer(self.merges.packed(text), "<u4").tolist()
-        return self.quick.encode_ordinary(text)
+        return self.merges.ids(text) if len(text) <= LONG else np.frombuffer(self.merges.packed(text), "<u4").tolist()
 
     def b_ids(self, parts: list[str]) -> list[list[int]]:
         """Ids of stretches, in one call: they are lines of one text, for nothing is joined to a line end."""

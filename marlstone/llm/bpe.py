@@ -32,8 +32,8 @@ from .common import small_batches, spare, staged
 CHUNK, OVERLAP = 32_768, 1_024
 #: Signs behind a match that may change it: an apostrophe looks at two.
 AHEAD = 2
-#: Pre-tokens remembered by a task, and their longest.
-MEMO, SHORT = 1 << 17, 40
+#: Pre-tokens remembered by a task, and their longest; those over LONG signs are joined here, not by the library.
+MEMO, SHORT, LONG = 1 << 17, 40, 10_000
 
 
 def public(name: str) -> str:
@@ -73,49 +73,47 @@ def pattern() -> regex.Pattern:
 
 
 class Merges:
-    """Encodes pre-tokens by ranks and remembers the short ones, up to MEMO of them."""
+    """Encodes pre-tokens by ranks and remembers short ones: up to MEMO of late, and as many of those before.
+
+    The library joins the bytes of a pre-token; its stack does not hold the
+    longest runs of white space and its time grows faster there, so those are
+    joined here.
+    """
 
     def __init__(self, own: dict[bytes, int]):
-        self.ranks, self.memo = own, {}
+        import tiktoken
+
+        self.ranks = own
+        self.library = tiktoken.Encoding("own", pat_str=pattern().pattern, mergeable_ranks=own, special_tokens={})
+        self.late: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         """Ids of a text that begins and ends at pre-token boundaries, as little-endian unsigned 32-bit numbers."""
-        memo, out = self.memo, []
+        late, out = self.late, []
         for piece in pattern().findall(text):
-            ids = memo.get(piece)
+            ids = late.get(piece)
             out.append(self.piece(piece) if ids is None else ids)
+        if len(late) >= MEMO:
+            self.late, self.before = {}, late
         return b"".join(out)
 
     def piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "replace")
-        ids = np.array(self.merged(raw), "<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.array(self.ids(piece), "<u4").tobytes()
         if len(piece) <= SHORT:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = ids
+            self.late[piece] = ids
         return ids
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text; only one of over LONG signs need be a single pre-token."""
+        return self.library.encode_ordinary(text) if len(text) <= LONG else self.merged(text.encode("utf-8", "replace"))
+
     def merged(self, raw: bytes) -> list[int]:
-        """Joins the pair of the lowest rank, the leftmost of equals, until none has a rank."""
+        """Joins the pair of the lowest rank, the leftmost of equals, until none has a rank; by a heap, in n log n."""
         if raw in self.ranks:
             return [self.ranks[raw]]
-        rank = self.ranks.get
-        if len(raw) > 64:
-            return self._merged_long(raw)
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [rank(raw[i : i + 2], NONE) for i in range(len(raw) - 1)]
-        while pairs and (least := min(pairs)) != NONE:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], NONE)
-            if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], NONE)
-        return [self.ranks[p] for p in parts]
-
-    def _merged_long(self, raw: bytes) -> list[int]:
-        """The same with a heap: the time grows as n log n."""
         n, rank = len(raw), self.ranks.get
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
@@ -123,7 +121,7 @@ class Merges:
         while heap:
             _, i, stop = heapq.heappop(heap)
             # Stale where either part has grown or gone since.
-            if end[i] >= stop or end[i] >= n or end[end[i]] != stop:
+            if end[i] >= stop or end[end[i]] != stop:
                 continue
             gone = end[i]
             end[i], end[gone] = stop, n + 1
@@ -140,9 +138,6 @@ class Merges:
         return out
 
 
-NONE = 1 << 31
-
-
 @cache
 def merges(path: str) -> Merges:
     return Merges(ranks(path))
