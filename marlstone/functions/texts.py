@@ -99,3 +99,29 @@ def head_and_tail(c: Column, most: int, mark: str = " … ") -> Column:
 def signature(terms: Column) -> Column:
     """SHA-1 of sorted, distinct terms."""
     return F.sha1(F.array_join(F.array_sort(F.array_distinct(terms)), " "))
+
+
+#: How long the n-grams of Han signs are, how many terms of a query count, and what a term may weigh.
+HAN_GRAMS, MOST_TERMS, WEIGHTS = (8, 6, 4, 3, 2), 60, (2, 8)
+
+
+def overlap_terms(query: Column, most: int = MOST_TERMS) -> Column:
+    """The different terms of a query: words of over two signs, then runs of Han signs, each with its n-grams, long ones first."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9$%._-]+)")), lambda w: F.length(w) > 2)
+    runs = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit("([一-鿿]{2,})"))
+
+    def grams(run: Column) -> Column:
+        places = lambda n: F.sequence(F.lit(1), F.length(run) - n + 1)
+        cut = lambda n: F.when(F.length(run) >= n, F.transform(places(n), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(run), *(cut(n) for n in HAN_GRAMS))
+
+    return F.slice(F.array_distinct(F.concat(words, F.flatten(F.transform(runs, grams)))), 1, most)
+
+
+def overlap_score(text: Column, query: Column, most: int = MOST_TERMS) -> Column:
+    """Half the length (from 2 to 8 signs) of each term of the query that the text holds; nulls are empty."""
+    held = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    low, high = WEIGHTS
+    hit = lambda t: F.when(F.contains(held, t), F.least(F.greatest(F.length(t), F.lit(low)), F.lit(high)) / 2.0).otherwise(0.0)
+    return F.aggregate(overlap_terms(query, most), F.lit(0.0), lambda a, t: a + hit(t))

@@ -37,7 +37,7 @@ def span_blocks(start: Column, end: Column) -> Column:
         left = F.when((low < high) & (F.lit(top) | (low % 2 == 1)), low)
         right = F.when((low < high) & F.lit(not top) & (high % 2 == 1), high - 1)
         found += [F.struct(F.lit(level).alias("level"), x.alias("block")) for x in (left, right)]
-    return F.filter(F.array(*found), lambda s: s["block"].isNotNull())
+    return F.when(start.isNotNull(), F.filter(F.array(*found), lambda s: s["block"].isNotNull()))
 
 
 def day_blocks(day: Column) -> Column:

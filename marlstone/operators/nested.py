@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import quoted
 from ..shared import staged
 from . import ranks
 
@@ -110,7 +111,7 @@ def assembled(leaves: DataFrame, key: str) -> DataFrame:
     level = leaves.where(F.size("path") == deepest)
     for n in range(deepest, 0, -1):
         named = F.struct(F.element_at("path", n).alias("name"), F.col("leaf"))
-        fields = F.transform(F.array_sort(F.collect_list(named)), lambda s: F.concat(F.to_json(F.array(s["name"])).substr(F.lit(2), F.length(F.to_json(F.array(s["name"]))) - 2), F.lit(":"), s["leaf"]))
+        fields = F.transform(F.array_sort(F.collect_list(named)), lambda s: F.concat(quoted(s["name"]), F.lit(":"), s["leaf"]))
         up = level.groupBy("_key", F.slice("path", 1, n - 1).alias("path") if n > 1 else F.expr("cast(array() as array<string>)").alias("path"))
         level = up.agg(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("leaf"))
         if n > 1:
