@@ -49,31 +49,44 @@ def factor_history(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS task, l_linenumber AS place, CASE WHEN l_partkey % 3 > 0 THEN l_linenumber % 3 + 1 END AS idx, l_quantity AS score FROM lineitem),
-    u AS (SELECT DISTINCT o_orderkey AS task, unnest([1, 2, 3]) AS idx FROM orders),
-    n AS (SELECT task, idx, first(score ORDER BY place, score) AS named FROM r WHERE idx IS NOT NULL GROUP BY ALL), p AS (SELECT task, place AS idx, min(score) AS placed FROM r GROUP BY ALL)
-    SELECT task, idx, coalesce(named, placed) AS score FROM u LEFT JOIN n USING (task, idx) LEFT JOIN p USING (task, idx)"""
+    """WITH u AS (SELECT DISTINCT o_orderkey AS task, unnest([0, 1, 2]) AS idx FROM orders),
+    r AS (SELECT l_orderkey AS task, l_linenumber - 1 AS place, CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 6 - 1 END AS named, l_quantity AS score FROM lineitem SEMI JOIN u ON l_orderkey = task),
+    c AS (SELECT task, place, score, CASE WHEN named IS NOT NULL AND named BETWEEN 0 AND 2 THEN named WHEN place BETWEEN 0 AND 2 THEN place END AS idx FROM r)
+    SELECT task, idx, score FROM u LEFT JOIN (SELECT task, idx, score FROM c WHERE idx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, idx ORDER BY place, score) = 1) USING (task, idx)"""
 )
 def join_rubric_results(spark, sf_dir):
+    """Three rubrics a task; results that name none, one out of range, or one that an earlier result has taken."""
     results = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("int").alias("place"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_linenumber") % 3 + 1).cast("int").alias("idx"), F.col("l_quantity").alias("score")
+        F.col("l_orderkey").alias("task"), (F.col("l_linenumber") - 1).cast("int").alias("place"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey") % 6 - 1).cast("int").alias("idx"), F.col("l_quantity").alias("score")
     )
-    rubrics = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")).distinct().select("task", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("idx"))
+    rubrics = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")).distinct().select("task", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("idx"))
     return actions.rubric_results(rubrics, results, "task", "idx", "place", "score")
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS n, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
-    s AS (SELECT w.page, w.n AS wanted, f.n AS match, greatest(0.0::DOUBLE, least(w.x, f.x) + 10 - greatest(w.x, f.x)) * greatest(0.0::DOUBLE, least(w.y, f.y) + 8 - greatest(w.y, f.y)) AS i
-      FROM b w JOIN b f ON w.page = f.page AND w.n % 2 = 0 AND f.n % 2 = 1),
-    o AS (SELECT page, wanted, match, i / (80 + 80 - i) AS iou FROM s)
-    SELECT page, wanted, match, iou FROM o WHERE iou >= 0.1 QUALIFY row_number() OVER (PARTITION BY page, wanted ORDER BY iou DESC, match) = 1"""
+    """WITH b AS (SELECT l_orderkey AS box, l_linenumber AS n, l_orderkey // 8 AS doc, l_orderkey % 8 // 2 AS page, l_suppkey % 2 AS t, l_quantity AS x, l_discount * 100 AS y, l_partkey % 3 = 0 AS is_wanted FROM lineitem),
+    w AS (SELECT box, n, any_value(doc) AS doc, any_value(page) AS page, min(t) AS t, min(x) AS x, min(y) AS y FROM b WHERE is_wanted GROUP BY box, n),
+    f AS (SELECT doc, page, t, x, y FROM b WHERE NOT is_wanted),
+    p AS (SELECT w.box, w.n, w.doc, f.page = w.page AS on_page, f.t = w.t AS keyed, greatest(0.0::DOUBLE, least(w.x, f.x) + 10 - greatest(w.x, f.x)) * greatest(0.0::DOUBLE, least(w.y, f.y) + 8 - greatest(w.y, f.y)) AS i FROM w JOIN f USING (doc)),
+    a AS (SELECT *, bool_or(on_page) OVER (PARTITION BY box, n) AS some_on_page FROM p),
+    k AS (SELECT *, bool_or(keyed) OVER (PARTITION BY box, n) AS some_keyed FROM a WHERE on_page OR NOT some_on_page)
+    SELECT w.box, w.n, w.doc, coalesce(max(i / (160 - i)), 0) AS score FROM w LEFT JOIN (SELECT * FROM k WHERE keyed OR NOT some_keyed) s ON w.box = s.box AND w.n = s.n GROUP BY ALL"""
 )
 def box_best_match(spark, sf_dir):
-    box = lambda n: table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias(n), F.struct(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y")).alias(f"b_{n}"))
-    a, b = F.col("b_wanted"), F.col("b_found")
-    shared = F.greatest(F.lit(0.0), F.least(a["x"], b["x"]) + 10 - F.greatest(a["x"], b["x"])) * F.greatest(F.lit(0.0), F.least(a["y"], b["y"]) + 8 - F.greatest(a["y"], b["y"]))
-    return actions.best_boxes(box("found").where("found % 2 = 1"), box("wanted").where("wanted % 2 = 0"), "page", shared / (80 + 80 - shared), 0.1, ("found", "wanted"))
+    """Boxes of lines: every third is wanted, the others are found; eight orders are a document, two a page."""
+    line = table(spark, sf_dir, "lineitem")
+    boxes = line.select(
+        F.col("l_orderkey").alias("box"), F.col("l_linenumber").alias("n"), F.floor(F.col("l_orderkey") / 8).alias("doc"), F.floor(F.col("l_orderkey") % 8 / 2).alias("page"),
+        (F.col("l_suppkey") % 2).alias("t"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_partkey") % 3 == 0).alias("is_wanted"),
+    )
+    wanted = boxes.where("is_wanted").groupBy("box", "n", "doc", "page").agg(F.min("t").alias("t"), F.struct(F.min("x").alias("x"), F.min("y").alias("y")).alias("place"))
+    found = boxes.where("not is_wanted").select("doc", "page", "t", F.struct("x", "y").alias("place"))
+
+    def iou(a, b):
+        shared = F.greatest(F.lit(0.0), F.least(a["x"], b["x"]) + 10 - F.greatest(a["x"], b["x"])) * F.greatest(F.lit(0.0), F.least(a["y"], b["y"]) + 8 - F.greatest(a["y"], b["y"]))
+        return shared / (160 - shared)
+
+    return actions.best_boxes(wanted, found, ["box", "n"], "doc", "page", ["t"], "place", iou)
 
 
 @query(
@@ -90,21 +103,27 @@ def eval_macro(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT *, row_number() OVER w AS r, first(o_orderstatus) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)),
-    p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN r = 1 THEN 0 WHEN o_orderstatus <> f THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey)::INT AS place FROM r)
-    SELECT o_custkey, o_orderkey, o_orderstatus, place FROM p WHERE place <= 2"""
+    """WITH o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 50000)::BIGINT AS score, CASE o_orderkey % 5 WHEN 0 THEN 'Superseded' WHEN 1 THEN NULL WHEN 2 THEN 'conflict' ELSE 'supported' END AS status FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey DESC) AS r FROM o),
+    s AS (SELECT o_custkey, coalesce(min(r) FILTER (lower(status) IN ('conflict', 'conflicting', 'alternative', 'rejected', 'superseded', 'reopened')), min(r)) AS second FROM r WHERE r > 1 GROUP BY 1)
+    SELECT o_custkey, o_orderkey, status, CASE WHEN r = 1 THEN 1 ELSE 2 END AS place FROM r LEFT JOIN s USING (o_custkey) WHERE r = 1 OR r = second"""
 )
 def evidence_top_two(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
-    return actions.top_two(orders, "o_custkey", "o_totalprice", "o_orderstatus", "o_orderkey").drop("o_totalprice")
+    mod = F.col("o_orderkey") % 5
+    status = F.when(mod == 0, "Superseded").when(mod == 2, "conflict").when(mod > 2, "supported")
+    claims = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 50000).alias("score"), status.alias("status"))
+    return actions.top_two(claims, "o_custkey", "score", "o_orderkey", "status").drop("score")
 
 
 @query(
-    """WITH h AS (SELECT p_partkey, contains(lower(p_type), 'steel')::INT + contains(lower(p_type), 'small')::INT + contains(lower(p_type), 'brass')::INT AS hits FROM part)
-    SELECT p_partkey, hits, hits >= 2 AS is_match FROM h ORDER BY (hits >= 2) DESC, p_partkey LIMIT 40"""
+    """WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' Jan 1' || p_size || ' ' || p_size) AS x FROM part),
+    h AS (SELECT p_partkey, contains(x, 'small')::INT + contains(x, 'january')::INT + contains(x, 'jan')::INT + contains(x, 'economy')::INT + list_contains(string_split(x, ' '), '15')::INT AS n FROM t),
+    s AS (SELECT p_partkey, CASE WHEN n >= 2 THEN n ELSE 0 END AS hits FROM h)
+    SELECT p_partkey, hits, row_number() OVER (ORDER BY hits DESC, p_partkey)::INT AS place FROM s ORDER BY hits DESC, p_partkey LIMIT 60"""
 )
 def rows_matches_first(spark, sf_dir):
-    return actions.matches_first(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("p_type"), ["steel", "small", "brass"], "p_partkey", 40).drop("p_type")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("Jan 1"), "p_size"), "p_size").alias("x"))
+    return actions.matches_first(rows, F.col("x"), "the small ones of January in ECONOMY, 15", "p_partkey", 60).drop("x")
 
 
 @query(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +40,37 @@ def adjusted(bars: DataFrame, factors: DataFrame, key: str, day: str, close: str
 
 
 def rubric_results(rubrics: DataFrame, results: DataFrame, task: str, index: str, place: str, value: str) -> DataFrame:
-    """Each rubric with the judge's result of its index, the first by place, or else the result at its own place."""
-    named = results.where(F.col(index).isNotNull()).groupBy(task, index).agg(F.min_by(value, F.struct(place, value)).alias("_named"))
-    placed = results.groupBy(task, F.col(place).alias(index)).agg(F.min(value).alias("_placed"))
-    both = rubrics.join(named, [task, index], "left").join(placed, [task, index], "left")
-    return both.withColumn(value, F.coalesce("_named", "_placed")).drop("_named", "_placed")
-
-
-def best_boxes(found: DataFrame, wanted: DataFrame, page: str, iou: Column, least: float, ids: tuple[str, str]) -> DataFrame:
-    """For each wanted box the found one of its page that overlaps most, `least` at least; ties go to the smaller id."""
-    pairs = wanted.join(found, page).withColumn("iou", iou).where(F.col("iou") >= least)
-    best = F.max_by(F.struct(F.col(ids[0]).alias("match"), "iou"), F.struct("iou", -F.col(ids[0])))
-    return pairs.groupBy(page, ids[1]).agg(best.alias("b")).select(page, ids[1], "b.match", "b.iou")
+    """rubrics (task, index from 0) with the judge's value of each, null where none counts.
+
+    A result counts at the index that it names, or at its own place (from 0) if
+    it names none within the task's rubrics; at each index the first by place
+    counts. Results whose place lies outside too do not count.
+    """
+    sizes = rubrics.groupBy(task).agg(F.count("*").alias("_n"))
+    inside = lambda c: (c >= 0) & (c < F.col("_n"))
+    named, own = F.col(index).cast("int"), F.col(place).cast("int")
+    at = F.when(inside(named), named).when(inside(own), own)
+    counted = results.join(sizes, task).withColumn("_at", at).where("_at is not null")
+    first = counted.groupBy(task, F.col("_at").alias(index)).agg(F.min_by(value, F.struct(place, value)).alias(value))
+    return rubrics.join(first, [task, index], "left")
+
+
+def best_boxes(wanted: DataFrame, found: DataFrame, ids: list[str], doc: str, page: str, keys: list[str], box: str, iou: Callable[[Column, Column], Column]) -> DataFrame:
+    """(ids, doc, score): how well the best found box of its document overlaps each wanted one; 0.0 where there is none.
+
+    Boxes of the same page come first: others count only where the page has
+    none. Among those that are left, boxes with the same keys (nulls are equal)
+    come first. ids name a wanted box.
+    """
+    other = found.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), *(F.col(k).alias(f"_{k}") for k in keys), F.col(box).alias("_box"))
+    same_page = F.col(page).eqNullSafe(F.col("_page"))
+    on_page = wanted.join(other, (F.col(doc) == F.col("_doc")) & same_page)
+    lone = wanted.join(other, (F.col(doc) == F.col("_doc")) & same_page, "left_anti").join(other, F.col(doc) == F.col("_doc"))
+    keyed = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.lit(True))
+    best = on_page.unionByName(lone).groupBy(*ids, doc).agg(F.max(F.struct(keyed.alias("keyed"), iou(F.col(box), F.col("_box")).alias("score"))).alias("_best"))
+    best = best.select(*(F.col(c).alias(f"_{c}") for c in (*ids, doc)), F.col("_best.score").alias("_score"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), (*ids, doc), F.lit(True))
+    return wanted.join(best, same, "left").select(*ids, doc, F.coalesce("_score", F.lit(0.0)).alias("score"))
 
 
 def macro(per_label: DataFrame) -> DataFrame:
@@ -55,21 +78,49 @@ def macro(per_label: DataFrame) -> DataFrame:
     return per_label.agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), F.sum("support").alias("support"))
 
 
-def top_two(rows: DataFrame, key: str, score: str, side: str, ties: str) -> DataFrame:
-    """Of each key the best row and one more: the best of another side where there is one, else the next."""
-    order = [F.col(score).desc(), F.col(ties)]
-    best = Window.partitionBy(key).orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(best)).withColumn("_first", F.first(side).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    other = F.when(F.col("_r") == 1, 0).when(~F.col(side).eqNullSafe(F.col("_first")), 1).otherwise(2)
-    place = Window.partitionBy(key).orderBy(other, *order)
-    return ranked.withColumn("place", F.row_number().over(place)).where("place <= 2").drop("_r", "_first")
+#: States of a claim that stand against another.
+AGAINST = ("conflict", "conflicting", "alternative", "rejected", "superseded", "reopened")
+
+
+def top_two(rows: DataFrame, key: str, score: str, step: str, status: str) -> DataFrame:
+    """Of each key the best row and one more: the best of those in a state of AGAINST, or else the next; place is 1 or 2.
+
+    Better is the higher score, then the later step, which is unique in a key.
+    Three aggregations of one row a key; no key is sorted as a whole.
+    """
+    at, row = F.struct(score, step), F.struct(*rows.columns)
+    best = rows.groupBy(key).agg(F.max_by(row, at).alias("_best"))
+    behind = rows.join(best.select(F.col(key).alias("_k"), "_best"), F.col(key).eqNullSafe(F.col("_k"))).where((F.col(score) < F.col("_best")[score]) | (F.col(step) < F.col("_best")[step]) & F.col(score).eqNullSafe(F.col("_best")[score]))
+    against = F.lower(F.coalesce(F.col(status), F.lit(""))).isin(*AGAINST)
+    second = behind.groupBy(key).agg(F.coalesce(F.max_by(row, F.when(against, at)), F.max_by(row, at)).alias("_second"))
+    return best.select("_best.*", F.lit(1).alias("place")).unionByName(second.select("_second.*", F.lit(2).alias("place")))
+
+
+#: Words of a query that say nothing, and the short names of months.
+STOP = ("and", "for", "from", "in", "of", "the", "to", "with")
+SHORT_MONTHS = {
+    "january": "jan", "february": "feb", "march": "mar", "april": "apr", "june": "jun", "july": "jul",
+    "august": "aug", "september": "sep", "october": "oct", "november": "nov", "december": "dec",
+}
+
+
+def row_terms(query: str) -> list[str]:
+    """What is looked for in rows: the query's words of two signs or more, months also in short."""
+    words = [w for w in re.findall(r"[a-z0-9一-鿿]+", query.lower()) if len(w) > 1 and w not in STOP]
+    return list(dict.fromkeys(t for w in words for t in (w, SHORT_MONTHS.get(w)) if t))
+
 
+def matches_first(rows: DataFrame, text: Column, query: str, order: str, n: int) -> DataFrame:
+    """n rows with hits and place: first those that hold two terms of the query (or its only one), most hits first; then the others.
 
-def matches_first(rows: DataFrame, text: Column, terms: list[str], order: str, n: int, least: int = 2) -> DataFrame:
-    """n rows: those that hold least(`least`, terms) of the terms come first, others fill up; by order within."""
-    hits = sum((F.lower(text).contains(t.lower()).cast("int") for t in terms), F.lit(0))
-    match = hits >= min(least, len(terms))
-    return rows.withColumns({"hits": hits, "is_match": match}).orderBy(F.col("is_match").desc(), order).limit(n)
+    A number must be a whole word of the row, other terms may be part of one. Ties and the others are by order.
+    """
+    terms, held = row_terms(query), F.lower(text)
+    words = F.regexp_extract_all(held, F.lit("([a-z0-9一-鿿]+)"))
+    hits = sum((F.coalesce(F.array_contains(words, t) if t.isdigit() else held.contains(t), F.lit(False)).cast("int") for t in terms), F.lit(0))
+    scored = rows.withColumn("hits", F.when(hits >= min(2, len(terms)) if terms else F.lit(False), hits).otherwise(0))
+    by = [F.col("hits").desc(), F.col(order)]
+    return scored.orderBy(*by).limit(n).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)))  # n rows
 
 
 def last_distinct(rows: DataFrame, key: str, value: str, order: str, most: int) -> DataFrame:

@@ -109,9 +109,15 @@ def answer_atom(text: Column) -> Column:
     return F.regexp_replace(head, r"^[\s*:：`\"']+|[\s*:：`\"']+$", "")
 
 
+#: Headings of the lines behind a question that say what form the answer must have.
+CONSTRAINTS = ("Dataset Output Constraint", "Reference URLs", "Seed URL")
+
+
 def code_extends(question: Column, reference: Column, said: Column) -> Column:
     """Whether the code in an answer goes on from the reference's, where the question asks for a code by its start."""
-    code = lambda c: F.regexp_replace(F.regexp_extract(c, r"(?:^|[^0-9A-Za-z_])(\d{3,10}(?:[.\-]\d{1,8})*)", 1), r"\D", "")
+    code = lambda c: F.regexp_replace(F.regexp_extract(c, r"(?U)\b([0-9]{3,10}(?:[.\-][0-9]{1,8})*)\b", 1), r"[^0-9]", "")
+    # What is asked ends where the constraints on the answer's form begin.
+    question = F.regexp_extract(question, rf"(?s)^(.*?)(?:\n(?:{'|'.join(CONSTRAINTS)}):.*)?$", 1)
     asks = F.lower(question).rlike(r"(^|\W)(prefix|code prefix|classification code|tariff|hs code|heading)($|\W)")
     exact = F.lower(question).rlike(r"(^|\W)(exact|only|4-digit|four-digit|six-digit|6-digit|8-digit|eight-digit)($|\W)")
     ref, own = code(reference), code(said)
@@ -246,9 +252,9 @@ def unit_hint(text: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "; "))
 
 
-def fuses(calls: DataFrame, fingerprint: Column, failed: Column, step: str) -> DataFrame:
-    """Calls that failed for good: how often and when first; they are not to be made again."""
-    rows = calls.where(failed).groupBy(fingerprint.alias("fingerprint"))
+def fuses(calls: DataFrame, fingerprint: Column, failed: Column, retry: Column, step: str) -> DataFrame:
+    """Calls that failed for good: how often and when first; they are not to be made again. Failures that may be retried, or say nothing of it, block nothing."""
+    rows = calls.where(failed & ~F.coalesce(retry, F.lit(True))).groupBy(fingerprint.alias("fingerprint"))
     return rows.agg(F.count("*").alias("failures"), F.min(step).alias("blocked_from"))
 
 
@@ -298,6 +304,8 @@ def shown(c: Column, places: int) -> Column:
     return F.format_number(c.cast(f"decimal(38,{places})"), places)
 
 
-def years_in(text: Column) -> Column:
-    """Distinct years from 1900 to 2099 that a text gives, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:19|20)\d{2}"), F.lit(0))))
+def periods_in(text: Column, most: int = 8) -> Column:
+    """The periods that a heading gives: its phrase of a year, quarter or months "ended" with a year, then distinct years from 1900 to 2099, in order."""
+    phrase = F.trim(F.regexp_extract(F.lower(text), r"((?:year|quarter|three|six|nine|twelve)[\w ]*?ended[\w ,]*?\d{4})", 1))
+    years = F.regexp_extract_all(text, F.lit(r"(?U)\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+    return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(F.when(phrase != "", phrase))), years)), 1, most)

@@ -30,6 +30,10 @@ def as_list(value) -> list:
     return list(value) if isinstance(value, list | tuple) else [value]
 
 
+#: Keys under which an operation's name may stand.
+NAMES = ("op", "type", "operation", "action")
+
+
 def normalise(plan: dict | str) -> dict:
     """A plan with universe {type, symbols}, metrics, operations, limit, top_k and max_entities."""
     plan = json.loads(plan) if isinstance(plan, str) else dict(plan)
@@ -50,10 +54,10 @@ def normalise(plan: dict | str) -> dict:
     metrics = first(plan, "metrics", "metric", default=[])
     if isinstance(metrics, dict) and not any(k in metrics for k in ("source", "name", "metric")):
         metrics = [{"source": k} | (v if isinstance(v, dict) else {}) for k, v in metrics.items()]
-    metrics = [metrics] if isinstance(metrics, dict | str) else metrics
+    metrics = [n for m in ([metrics] if isinstance(metrics, dict | str) else metrics) for n in named_metrics(m)]
     given = first(plan, "operations", "ops", default=[])
     if isinstance(given, dict):
-        given = [given] if any(k in given for k in ("op", "operation", "type")) else [{k: v} for k, v in given.items()]
+        given = [given] if any(k in given for k in NAMES) else [{k: v} for k, v in given.items()]
     operations = [n for op in ([given] if isinstance(given, str) else given) for n in operation(op)]
     for sort in as_list(first(output, "sort", "order_by")):
         operations += operation({"sort": sort})
@@ -69,11 +73,19 @@ def normalise(plan: dict | str) -> dict:
     }
 
 
+def named_metrics(spec: dict | str) -> list[dict | str]:
+    """A metric as it is; one that names no source but has sources as keys as one for each of them."""
+    if not isinstance(spec, dict) or first(spec, "source", "name", "metric", "action", "type") is not None:
+        return [spec]
+    keyed = [{"source": k} | (v if isinstance(v, dict) else {}) for k, v in spec.items() if str(k).lower() in SOURCES or str(k).lower() in SOURCES.values()]
+    return keyed or [spec]
+
+
 def metric(spec: dict | str, plan: dict) -> dict:
     spec = {"source": spec} if isinstance(spec, str) else dict(spec)
     spec = {k: plan[k] for k in INHERITED if plan.get(k) is not None} | spec
     day = first(spec, "date", "trade_date")
-    source = str(first(spec, "source", "name", "metric", default="")).lower()
+    source = str(first(spec, "source", "name", "metric", "action", "type", default="")).lower()
     return {
         "source": SOURCES.get(source, source),
         "start": first(spec, "start_date", "start", "from", default=day),
@@ -91,7 +103,7 @@ def operation(op: dict | str) -> list[dict]:
         if not found:
             raise ValueError(f"no operation: {op}")
         return [{"op": "filter", "field": found[1], "operator": found[2], "value": found[3].strip("'\"")}]
-    name = str(first(op, "op", "operation", "type", default="")).lower()
+    name = str(first(op, *NAMES, default="")).strip().lower()
     if not name:
         name = next((k for k in ("filter", "sort", "order_by", "max_by", "min_by", "rank", "count", "list", "select_fields", "aggregate", "compute") if k in op), "")
         if not name:
@@ -106,6 +118,8 @@ def operation(op: dict | str) -> list[dict]:
         if name == "filter" and isinstance(value, dict) and "field" not in value:
             tests = [(f, t if isinstance(t, dict) else {"eq": t}) for f, t in value.items()]
             return [{"op": "filter", "field": f, "operator": o, "value": v} for f, t in tests for o, v in t.items()]
+        if name == "compute" and not isinstance(value, dict):
+            raise ValueError(f"compute needs names and their expressions: {value}")
         if name == "compute":
             calls = {f: re.match(r"pct_change\((\w+)\)$", str(e).replace(" ", "")) for f, e in value.items()}
             return [{"op": "pct_change", "column": m[1], "output": f, "as_ratio": True} if m else {"op": "add_column", "column": f, "expression": value[f]} for f, m in calls.items()]

@@ -89,16 +89,17 @@ def answer_atoms(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS ref, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey::VARCHAR || '.' || l_suppkey::VARCHAR ELSE l_suppkey::VARCHAR || '00' END AS said,
-      l_returnflag = 'R' AS asks FROM lineitem), d AS (SELECT *, CASE WHEN length(ref) >= 3 THEN ref ELSE '' END AS r,
-      CASE WHEN length(split_part(said, '.', 1)) >= 3 THEN replace(said, '.', '') ELSE CASE WHEN length(split_part(said, '.', 2)) >= 3 THEN split_part(said, '.', 2) ELSE '' END END AS p FROM c)
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS ref, CASE l_linenumber % 3 WHEN 0 THEN l_partkey::VARCHAR || '.' || l_suppkey::VARCHAR WHEN 1 THEN l_partkey::VARCHAR || '00' ELSE l_partkey::VARCHAR || '00000000' END AS said,
+      l_returnflag <> 'A' AS asks FROM lineitem), d AS (SELECT *, CASE WHEN length(ref) >= 3 THEN ref ELSE '' END AS r,
+      CASE WHEN length(split_part(said, '.', 1)) BETWEEN 3 AND 10 THEN replace(said, '.', '') WHEN length(split_part(said, '.', 2)) BETWEEN 3 AND 10 THEN split_part(said, '.', 2) ELSE '' END AS p FROM c)
     SELECT l_orderkey, l_linenumber, asks AND length(r) >= 3 AND length(p) > length(r) AND starts_with(p, r) AS extends FROM d"""
 )
 def codes_extended(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
-    said = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(".", part, supp)).otherwise(F.concat(supp, F.lit("00")))
-    asked = F.when(F.col("l_returnflag") == "R", "Which HS code prefix?").otherwise("Which six-digit tariff?")
+    kind, flag = F.col("l_linenumber") % 3, F.col("l_returnflag")
+    said = F.when(kind == 0, F.concat_ws(".", part, supp)).when(kind == 1, F.concat(part, F.lit("00"))).otherwise(F.concat(part, F.lit("00000000")))
+    asked = F.when(flag == "R", "Which HS code prefix?").when(flag == "N", "Which tariff?\n\nDataset Output Constraint: the exact code only").otherwise("Which six-digit tariff?")
     return lines.select("l_orderkey", "l_linenumber", rules.code_extends(asked, part, said).alias("extends"))
 
 
@@ -219,21 +220,27 @@ def links_scored(spark, sf_dir):
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, text, lower(text) AS x FROM documents),
+    r"""WITH e AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' Three months ended June 30, ' || 1990 + doc_id % 30 ELSE '' END || ' 1' || 2000 + doc_id % 7 || ' ' || 1900 + doc_id % 150 || ', 2012 and 2011-2012' AS text FROM documents),
+    d AS (SELECT doc_id, text, lower(text) AS x FROM e),
     p AS (SELECT doc_id, list_filter([CASE WHEN regexp_extract(x, 'in\s+(thousand|million|billion)', 1) <> '' THEN 'in ' || regexp_extract(x, 'in\s+(thousand|million|billion)', 1) || 's' END,
       CASE WHEN contains(x, 'per share') THEN 'per-share amounts unscaled' END,
       CASE WHEN contains(text, '$') OR regexp_matches(x, '(^|[^0-9a-z_])(usd|us dollars?)($|[^0-9a-z_])') THEN 'USD' WHEN contains(text, '€') OR regexp_matches(x, '(^|[^0-9a-z_])(eur)($|[^0-9a-z_])') THEN 'EUR'
-        WHEN contains(text, '£') OR regexp_matches(x, '(^|[^0-9a-z_])(gbp)($|[^0-9a-z_])') THEN 'GBP' WHEN contains(text, '%') THEN 'percent' END], lambda v: v IS NOT NULL) AS parts, list_sort(list_distinct(regexp_extract_all(text, '(?:19|20)\d{2}'))) AS years FROM d)
-    SELECT doc_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '; ') END AS unit, array_to_string(years, ' ') AS years FROM p"""
+        WHEN contains(text, '£') OR regexp_matches(x, '(^|[^0-9a-z_])(gbp)($|[^0-9a-z_])') THEN 'GBP' WHEN contains(text, '%') THEN 'percent' END], lambda v: v IS NOT NULL) AS parts, regexp_extract(x, '((?:year|quarter|three|six|nine|twelve)[\w ]*?ended[\w ,]*?\d{4})', 1) AS phrase,
+      regexp_extract_all(text, '\b((?:19|20)[0-9]{2})\b') AS years FROM d)
+    SELECT doc_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '; ') END AS unit, array_to_string(list_concat(CASE WHEN phrase <> '' THEN [trim(phrase)] ELSE [] END,
+      list_filter(years, lambda y, i: list_position(years, y) = i))[1:8], '; ') AS years FROM p"""
 )
 def units_and_years(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", rules.unit_hint(text).alias("unit"), F.array_join(rules.years_in(text), " ").alias("years"))
+    n = F.col("doc_id")
+    phrase = F.when(n % 2 == 0, F.concat(F.lit(" Three months ended June 30, "), 1990 + n % 30)).otherwise("")
+    text = F.concat("text", phrase, F.lit(" 1"), 2000 + n % 7, F.lit(" "), 1900 + n % 150, F.lit(", 2012 and 2011-2012"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.unit_hint(text).alias("unit"), F.array_join(rules.periods_in(text), "; ").alias("years"))
 
 
-@query("SELECT sha1(user_id::VARCHAR || chr(31) || props) AS fingerprint, count(*) AS failures, min(event_id) AS blocked_from FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("SELECT sha1(user_id::VARCHAR || chr(31) || props) AS fingerprint, count(*) AS failures, min(event_id) AS blocked_from FROM events WHERE event_type = 'error' AND event_id % 3 = 1 GROUP BY 1")
 def calls_blocked(spark, sf_dir):
-    return rules.fuses(table(spark, sf_dir, "events"), ledger.fingerprint(F.col("user_id"), F.col("props")), F.col("event_type") == "error", "event_id")
+    retry = F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3 == 2)
+    return rules.fuses(table(spark, sf_dir, "events"), ledger.fingerprint(F.col("user_id"), F.col("props")), F.col("event_type") == "error", retry, "event_id")
 
 
 @query(

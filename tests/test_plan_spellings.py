@@ -54,3 +54,15 @@ def test_limits_take_the_first_symbols_asked_for(spark):
     assert "_pos" not in got.columns and [r.symbol_key for r in got.collect()] == names[:10]
     got = lower(normalise({"universe": names, "metrics": ["price_panel"], **span, "limit": 3, "operations": [{"list": "symbol_key,close"}]}), {"bars": bars.repartition(7)})
     assert [tuple(r) for r in got.collect()] == [("S14", 2.0), ("S14", 3.0), ("S13", 2.0)]
+
+
+def test_metrics_keyed_by_source_in_a_list():
+    plan = normalise({"metrics": [{"prices": {"start_date": "2024-01-01"}, "volume": {}}, {"action": "returns"}, {"type": "daily_basic"}, "price"]})
+    assert [m["source"] for m in plan["metrics"]] == ["price_panel", "volume_panel", "return_panel", "equity_daily_basic", "price_panel"]
+    assert plan["metrics"][0]["start"] == "2024-01-01"
+
+
+def test_operations_named_by_action():
+    assert normalise({"operations": [{"action": "Rank", "field": "close"}]})["operations"] == [{"op": "rank", "field": "close", "descending": True, "top": None}]
+    with pytest.raises(ValueError, match="compute"):
+        normalise({"operations": [{"compute": "close / open"}]})
