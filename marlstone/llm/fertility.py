@@ -13,7 +13,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ class Band:
     """What a text may have: at least, at most; entropy in bits from `full` tokens on."""
 
     chars_per_token: tuple[float, float] = (1.0, 9.0)
+    chars_per_byte_token: tuple[float, float] = (0.0, 16.0)
     fallback_share: tuple[float, float] = (0.0, 0.2)
     entropy: tuple[float, float] = (3.2, 16.0)
 
@@ -187,14 +188,16 @@ def _document(text: str, raw: bytes, words: list[bytes], ids: np.ndarray, lang:
     entropy = float(-(p * np.log2(p)).sum()) if n else 0.0
     per_token = chars / n if n else 0.0
     n_bytes = int(tokens.byte_tokens[own] @ times) if len(own) else 0
+    per_byte_token = chars / n_bytes if n_bytes else 0.0
     fits = (
         band.chars_per_token[0] <= per_token <= band.chars_per_token[1]
+        and band.chars_per_byte_token[0] <= per_byte_token <= band.chars_per_byte_token[1]
         and band.fallback_share[0] <= fallback <= band.fallback_share[1]
         and (n < rules.full or band.entropy[0] <= entropy <= band.entropy[1])
     )
     return (
         len(words), chars, symbols, duplicate_lines(raw), repeat, bool(failed), bool(not failed and fits),
-        n, per_token, chars / n_bytes if n_bytes else 0.0, fallback, entropy, name,
+        n, per_token, per_byte_token, fallback, entropy, name,
     )
 
 
@@ -227,6 +230,37 @@ def with_fertility(
     return df.withColumn(out, measure(F.col(text_col), lang))
 
 
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    most: int = 20_000, least: int = 100, share: float = 0.001, rules: Rules | None = None, tokenizers: str = TOKENIZERS,
+) -> Rules:
+    """rules with bands from documents that are known to be good: a language's lower bounds are the measures that all but `share` of its own reach.
+
+    Characters per token under both vocabularies and the entropy of tokens are
+    bounded so, each by itself, for languages with `least` good documents or
+    more that pass the base rule; others keep the bands that rules have. Upper
+    bounds and byte fallback stay as they are. At most `most` documents of
+    label 1 are read, in the order of a hash of the id; an id with several
+    labels counts with the least, null ids do not count. Without labels, or
+    without documents, rules come back unchanged.
+    """
+    rules = rules or Rules()
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
+    good = good.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null").join(F.broadcast(good), "_id")
+    found = with_fertility(chosen, "_text", "_lang", rules, tokenizers, "_f").where("not _f.base_failed").groupBy("_lang")
+    low = lambda c: F.percentile(f"_f.{c}", share).alias(c)
+    bounds = found.agg(F.count("*").alias("n"), low("chars_per_token"), low("chars_per_byte_token"), F.percentile(F.when(F.col("_f.n_tokens") >= rules.full, F.col("_f.token_entropy")), share).alias("entropy"))
+    languages = dict(rules.languages)
+    for r in bounds.where(F.col("n") >= least).collect():
+        old = languages.get(r["_lang"], Band())
+        languages[r["_lang"]] = replace(
+            old, chars_per_token=(r.chars_per_token, old.chars_per_token[1]), chars_per_byte_token=(r.chars_per_byte_token, old.chars_per_byte_token[1]),
+            entropy=(old.entropy[0] if r.entropy is None else r.entropy, old.entropy[1]),
+        )
+    return replace(rules, languages=languages)
+
+
 def _fields() -> tuple[list[str], list[pa.DataType]]:
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
     pairs = [x.split() for x in METRICS.split(", ")]
@@ -236,6 +270,11 @@ def _fields() -> tuple[list[str], list[pa.DataType]]:
 def keep_fertile(
     df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", rules: Rules | None = None, tokenizers: str = TOKENIZERS,
 ) -> DataFrame:
-    """The rows of df that pass, with df's columns."""
+    """The rows of df that pass, with df's columns.
+
+    Null and empty texts fail the base rule and go; a null or unknown language
+    takes the band of the text's script; repeated rows stay or go together;
+    columns may have any names; an empty table stays empty.
+    """
     out = spare("_fertility", df)
     return with_fertility(df, text_col, lang_col, rules, tokenizers, out).where(F.col(out)["kept"]).drop(out)

@@ -17,8 +17,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def fertility_rules(spark: SparkSession, sf_dir: str) -> fertility.Rules:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return fertility.fit(docs, labels.where(fold("doc_id", 5) != 0))
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.with_fertility(table(spark, sf_dir, "documents")).select("doc_id", "fertility.*")
+    measured = fertility.with_fertility(table(spark, sf_dir, "documents"), rules=fertility_rules(spark, sf_dir))
+    return measured.select("doc_id", "fertility.*")
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> gam.Gam:
