@@ -40,6 +40,8 @@ INNER = re.compile(r"[^\W\d_][\d@$!|+€£¢(.\-_*~'’·]|[\d@$!|+€£¢(][^\W
 HEX = re.compile(r"(?:0x)?(?=[a-f]*\d[a-f]*\d)[0-9a-f]{32,}$")
 PIECE = re.compile(f"[^{re.escape(SEPARATORS)}]+")
 RUN = re.compile(r"(.)\1+", re.DOTALL)
+#: One sign again and again, or separators of any kinds: a spot of the lattice.
+RUNS = re.compile(rf"[{re.escape(SEPARATORS)}]+|(.)\1*", re.DOTALL)
 
 #: Symbols of the character model: an edge of a word, a to z, any other letter.
 SIZE = 28
@@ -50,8 +52,8 @@ CACHE = 200_000
 SUBSTITUTE, DROP, COLLAPSE, BREAK = -0.3, -0.3, -0.2, -1.0
 #: A separator is dropped at this cost where three signs or more stand on either side: it more likely parts words.
 JOIN = -3.0
-#: A word read across separators has so many runs of signs at most; one without separators may have more.
-WIDEST = 40
+#: Spots at which words may part.
+PARTING = ([("", DROP)], [("", JOIN)])
 
 
 def code(c: str) -> int:
@@ -102,8 +104,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of one sign: what it may stand for ('' is nothing), and the cost."""
     spots, before, last = [], "", ""
     pieces = {k: m.end() - m.start() for m in PIECE.finditer(token) for k in (m.end(), -m.start())}
-    for run in re.finditer(r"(.)\1*", token):
-        c, n, behind, last = run[1], len(run[0]), last, run[1]
+    for run in RUNS.finditer(token):
+        c, n, behind, last = run[0][0], len(run[0]), last, run[0][-1]
         if c in SEPARATORS:
             whole = min(pieces.get(run.start(), 0), pieces.get(-run.end(), 0)) >= 3
             spots.append([("", JOIN if whole else DROP)])
@@ -149,29 +151,40 @@ def restored(token: str, model: np.ndarray, most: int = 8) -> list[tuple[str, fl
     return [(out, total) for total, out, _, _ in heapq.nlargest(most, beam) if out]
 
 
-def words_in(token: str, model: np.ndarray, most: int = 8) -> str:
-    """The likeliest reading as words; a word may end at any separator, at the cost of BREAK."""
+def words_in(token: str, model: np.ndarray, flat: list[float] | None = None) -> str:
+    """The likeliest reading as words; a word may end at any separator, at the cost of BREAK.
+
+    Viterbi over the spots in one pass: a state is the last two letters, or a
+    word's beginning right behind a break, and of the readings that meet in it
+    the best goes on. The time grows as the token does; nothing is left out.
+    flat: the model's cells in one list.
+    """
+    flat = flat or model.ravel().tolist()
+    start, fresh = 0, SIZE * SIZE  # keys of states: two codes, or a word that has just begun
+    states: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
     spots = _lattice(token)
-    stops = [i for i, spot in enumerate(spots) if spot in ([("", DROP)], [("", JOIN)]) and 0 < i] + [len(spots)]
-    ending = set(stops)
-    best: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    for start in [0, *stops[:-1]]:
-        if start not in best:
-            continue
-        total, said = best[start]
-        total += BREAK if start else 0.0
-        beam, ends = [(0.0, "", 0, 0)], 0
-        for i in range(start + (start > 0), len(spots)):  # the separator that parts words is not dropped
-            beam = _ahead(beam, spots[i], model, most)
-            if i + 1 not in ending:
-                continue
-            x, w = max((x + model[y, z, 0], w) for x, w, y, z in beam)
-            if i + 1 not in best or total + x > best[i + 1][0]:
-                best[i + 1] = total + x, f"{said} {w}".strip()
-            ends += 1
-            if ends > 1 and i - start > 2 * WIDEST:
-                break
-    return best[len(spots)][1]
+    for i, spot in enumerate(spots):
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for key, (total, said) in states.items():
+            for letters, cost in spot:
+                x, at = total + cost, key % (SIZE * SIZE)
+                for c in letters:
+                    k = code(c)
+                    x, at = x + flat[at * SIZE + k], at % SIZE * SIZE + k
+                if at not in after or x > after[at][0]:
+                    after[at] = x, ((said, letters) if letters else said)
+        if i and spot in PARTING:
+            ended = [(x + flat[key * SIZE], said) for key, (x, said) in states.items() if key != fresh]
+            if ended:
+                x, said = max(ended, key=lambda e: e[0])
+                after[fresh] = x + BREAK, (said, " ")
+        states = after
+    _, said = max(((x + flat[key % (SIZE * SIZE) * SIZE], said) for key, (x, said) in states.items()), key=lambda e: e[0])
+    letters = []
+    while said:
+        said, last = said
+        letters.append(last)
+    return " ".join("".join(reversed(letters)).split())
 
 
 #: Classes of bytes: letters (and parts of those beyond ASCII), signs that may be letters, those that need one behind, separators, white space.
@@ -253,6 +266,7 @@ class Toxicity:
 
     def __post_init__(self) -> None:
         self._readings: dict[str, str] = {}
+        self._flat = self.letters.ravel().tolist()
         self._parts: dict[str, list[tuple[str, float]]] = {}
 
     def reading(self, token: str) -> str:
@@ -260,7 +274,7 @@ class Toxicity:
         if token not in self._readings:
             if len(self._readings) > CACHE:
                 self._readings.clear()
-            self._readings[token] = words_in(token, self.letters)
+            self._readings[token] = words_in(token, self.letters, self._flat)
         return self._readings[token]
 
     def restore(self, text: str) -> str:
