@@ -223,7 +223,9 @@ def _row(head: bytes) -> dict:
     row = {c: headers.get(h) for c, h in HEADER_OF.items()}
     for c in ("record_id", "refers_to"):
         row[c] = row[c].strip("<>") if row[c] else None
-    row["content_length"] = int(headers.get("content-length") or 0)
+    size = headers.get("content-length") or "0"
+    # A length that is no number says nothing of the payload; the record's other headers stand.
+    row["content_length"] = int(size) if size.isascii() and size.isdigit() else None
     row["headers"] = headers
     return row
 
@@ -231,6 +233,8 @@ def _row(head: bytes) -> dict:
 def _payload(row: dict, body, whole: bool) -> dict:
     """The payload's length as its HTTP headers give it, and on demand the payload."""
     size = row["content_length"]
+    if size is None:
+        return {"payload_bytes": None, "payload": None}
     if not row["headers"].get("content-type", "").startswith("application/http"):
         return {"payload_bytes": size, "payload": body(size) if whole else None}
     take = min(size, 1024)
