@@ -119,6 +119,25 @@ def _windows(whole: DataFrame, benchmark: DataFrame, item_text_col: str) -> Data
     return again.select("doc", F.inline(cut)).where(F.size("hs") > 0)
 
 
+def _short(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """(item, words, back, word): items of fewer than WIDTH words, and where their longest word stands in them."""
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = _once(items, "words", _words(F.col("text"))).where(F.size("words").between(1, WIDTH - 1))
+    places = F.transform("words", lambda w, k: F.struct((-F.length(w)).alias("l"), k.alias("k")))
+    items = items.withColumn("back", F.array_min(places)["k"])
+    return staged(items.select("item", "words", "back", F.get("words", F.col("back")).alias("word")), "short-items")
+
+
+def _held_whole(whole: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc, item, similarity, start, distance): documents that hold all words of a short item in a row, at the first place."""
+    spots = _once(whole, "ws", _words(F.col("text"))).select("doc", "ws", F.posexplode("ws").alias("place", "word"))
+    few = short.limit(FEW + 1).count() <= FEW
+    at = F.col("place") - F.col("back")
+    hit = spots.join(F.broadcast(short) if few else short, "word").where((at >= 0) & (F.slice("ws", F.greatest(at, F.lit(0)) + 1, F.size("words")) == F.col("words")))
+    first = hit.groupBy("doc", "item").agg(F.min(at).alias("start"))
+    return first.select("doc", "item", F.lit(1.0).alias("similarity"), "start", F.lit(0).alias("distance"))
+
+
 def found(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS,
@@ -126,8 +145,9 @@ def found(
     """(id_col, item_col, similarity, start, distance): each document and item that it holds, at the best window.
 
     start counts words from 0; of equal windows the first is given. Words are
-    lower-cased runs of letters and digits. Items of fewer than WIDTH words
-    are no evidence and match nothing, nor do null or empty texts. A document
+    lower-cased runs of letters and digits. An item of fewer than WIDTH words
+    is one shingle as a whole: it matches where its words stand in a row, with
+    similarity 1. Null or empty texts match nothing. A document
     shorter than an item is held against it whole. Rows with a null id are
     left out; rows that repeat an id count as one document. Empty tables give
     an empty result; other columns are ignored.
@@ -154,7 +174,11 @@ def found(
     near = _once(near, "similarity", F.col("common") / (F.size("hs") + F.size("item_hs") - F.col("common")))
     best = F.max_by(F.struct("similarity", "start", "distance"), F.struct("similarity", -F.col("start")))
     pairs = near.where(F.col("similarity") >= similarity).groupBy("doc", "item").agg(best.alias("best"))
-    return pairs.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.*")
+    pairs = pairs.select("doc", "item", "best.*")
+    short = _short(benchmark, item_col, item_text_col)
+    if not short.isEmpty():
+        pairs = pairs.unionByName(_held_whole(whole, short))
+    return pairs.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "similarity", "start", "distance")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
