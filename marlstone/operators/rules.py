@@ -304,8 +304,11 @@ def shown(c: Column, places: int) -> Column:
     return F.format_number(c.cast(f"decimal(38,{places})"), places)
 
 
-def periods_in(text: Column, most: int = 8) -> Column:
-    """The periods that a heading gives: its phrase of a year, quarter or months "ended" with a year, then distinct years from 1900 to 2099, in order."""
+def periods_in(text: Column, cells: Column | None = None, most: int = 8) -> Column:
+    """The periods that a heading gives: its phrase of a year, quarter or months "ended" with a year, then distinct years from 1900 to 2099, in order.
+
+    Years are those of the whole text, or of cells alone where they are given.
+    """
     phrase = F.trim(F.regexp_extract(F.lower(text), r"((?:year|quarter|three|six|nine|twelve)[\w ]*?ended[\w ,]*?\d{4})", 1))
-    years = F.regexp_extract_all(text, F.lit(r"(?U)\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+    years = F.regexp_extract_all(text if cells is None else cells, F.lit(r"(?U)\b((?:19|20)[0-9]{2})\b"), F.lit(1))
     return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(F.when(phrase != "", phrase))), years)), 1, most)

@@ -839,4 +839,4 @@ def fuzzy_dimension(spark, sf_dir):
     return both.select("c_custkey", "n_name", retrieval.either_contains(F.col("n_name"), F.col("c_mktsegment")).alias("alike"))
 
 
-from . import action_queries, call_queries, nested_queries, rule_queries  # noqa: E402, F401  (register more queries)
+from . import action_queries, call_queries, nested_queries, rule_queries, source_queries  # noqa: E402, F401  (register more queries)

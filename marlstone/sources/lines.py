@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsons import json_mended
+
 
 def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows, and broken lines (`_corrupt`), of JSON-lines files.
@@ -22,6 +26,30 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = No
     return good.select(*[c for c in rows.columns if c != "_corrupt"]), bad
 
 
+def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON files that hold a list, an object whose `data` or `rows` is one, or a single object.
+
+    A file is one value; broken ones are mended, those beyond mending give no
+    rows. Read by Spark's reader, one file at a time.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(json_mended(F.col("value")).alias("j"))
+    opened = files.select(F.try_parse_json("j").alias("v"))
+    held = lambda at: F.expr(f"try_variant_get(v, '{at}', 'array<variant>')")
+    rows = F.coalesce(held("$"), held("$.data"), held("$.rows"), F.when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v")))
+    return opened.select(F.explode(rows).alias("r")).select(F.from_json(F.to_json("r"), schema).alias("r")).where("r is not null").select("r.*")
+
+
+def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
+    """Rows as JSON lines, nulls kept as such; a run that appends leaves what is there."""
+    df.write.option("ignoreNullFields", False).mode("append" if append else "overwrite").json(path)
+
+
+def write_manifest(spark: SparkSession, path: str, facts: dict, counts: DataFrame | None = None) -> None:
+    """One JSON object: facts, and `counts` (name, n) under their names; a few numbers, written as one line."""
+    told = dict(facts) | ({"counts": {r["name"]: r["n"] for r in counts.orderBy("name").limit(10_000).collect()}} if counts is not None else {})
+    spark.createDataFrame([(json.dumps(told, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A table with a header; blank names become column_i, blank rows go, a byte-order mark is not seen."""
     df = spark.read.option("sep", sep).option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
