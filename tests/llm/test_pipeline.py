@@ -2,6 +2,7 @@ import math
 from hashlib import md5
 
 import corpus_pipeline
+from marlstone.llm import queries
 import pytest
 from marlstone.llm.common import staged
 from test_relational_operators import plain_leaks
@@ -38,7 +39,9 @@ def test_quality_stages(spark, steps):
     known = [(i, q) for i, q in labels.items() if i in ids(steps[0])]
     assert sum((i in kept) == bool(q) for i, q in known) > 0.95 * len(known)
     good = {r.doc_id for r in steps[1].collect() if not base_counts(r.text)[-1]}
-    assert set(ids(steps[2])) <= good and len(good) - steps[2].count() < 0.02 * len(good)
+    # The query's verdicts, which are held against brute force by themselves.
+    fertile = {r.doc_id for r in queries.op2_tokeniser_fertility(spark, SF).where("kept").collect()}
+    assert set(ids(steps[2])) == good & fertile and len(good) - steps[2].count() < 0.03 * len(good)
 
 
 def test_dedup_and_decontamination_by_brute_force(spark, steps):
