@@ -51,3 +51,47 @@ def spellings(d: Column) -> Column:
 def dates_in(text: Column) -> Column:
     """Dates that a text names, in order."""
     return F.regexp_extract_all(text, F.lit(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\b\d{8}\b"), F.lit(0))
+
+
+def iso_day(c: Column, is_end: bool = False) -> Column:
+    """yyyy-MM-dd of a year, a month, a day or eight digits with anything between, else null.
+
+    A month's last day is its 28th, as the sources that are asked so take it.
+    """
+    s = F.trim(c.cast("string"))
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    return (
+        F.when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-12-31" if is_end else "-01-01")))
+        .when(s.rlike(r"^\d{4}-\d{2}$"), F.concat(s, F.lit("-28" if is_end else "-01")))
+        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s)
+        .when(digits.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)))
+    )
+
+
+def clamped(c: Column, last: str) -> Column:
+    """A yyyy-MM-dd day, `last` if it is later; the row fails where it is spelled in another way."""
+    s = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    fail = F.raise_error(F.concat(F.lit("'"), s, F.lit("' is not in yyyy-mm-dd format"))).cast("string")
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.least(s, F.lit(last))).otherwise(fail)
+
+
+def first_year(c: Column) -> Column:
+    """The first four digits in a text, as a number; null without them."""
+    return F.regexp_extract(c.cast("string"), r"(\d{4})", 1).try_cast("int")
+
+
+def year_bounds(start: Column, end: Column, one: Column) -> tuple[Column, Column]:
+    """First and last year of a request: its start and end, else its one year; a lone start is the end too."""
+    low, high, year = first_year(start), first_year(end), first_year(one)
+    first = F.coalesce(low, year)
+    return first, F.coalesce(high, year, first)
+
+
+def period(c: Column) -> Column:
+    """yyyy or yyyy-MM out of a year, a month, a day or a text that names a year and perhaps a month; null without one."""
+    s = F.trim(c.cast("string"))
+    at = lambda k: F.regexp_extract(s, r"((?:19|20)\d{2})(?:[-/.年](\d{1,2}))?", k)
+    return (
+        F.when(s.rlike(r"^(?:\d{4}|\d{4}-\d{2})$"), s).when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(s, 1, 7))
+        .when(at(2) != "", F.concat_ws("-", at(1), F.lpad(at(2), 2, "0"))).when(at(1) != "", at(1))
+    )

@@ -234,9 +234,10 @@ def join_semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def join_anti_resume(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 250000")
+    return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 OPTIONS = """chain AS (SELECT substr(p_brand, 1, 1) || 'R' || (2400 + p_size)::VARCHAR || (CASE WHEN p_partkey % 2 = 0 THEN '-C-' ELSE '-P-' END)
@@ -540,9 +541,13 @@ def mix_weights(spark):
     return spark.createDataFrame([("en", 0.65), ("fr", 0.25), ("de", 0.10)], "lang string, weight double")
 
 
-@query(f"WITH {MIX} SELECT lang, share FROM shares")
+@query(
+    """WITH e AS (SELECT source, 777 * count(*)::DOUBLE / (SELECT count(*) FROM documents) AS x FROM documents GROUP BY 1), f AS (SELECT source, floor(x)::BIGINT AS f, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS i FROM e)
+    SELECT source, (f + CASE WHEN i <= 777 - (SELECT sum(f) FROM f) THEN 1 ELSE 0 END)::BIGINT AS share FROM f"""
+)
 def mixture_allocation(spark, sf_dir):
-    return sampling.allocation(mix_weights(spark), 777, "lang", "weight").select("lang", "share")
+    weights = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("double").alias("weight"))
+    return sampling.allocation(weights, 777, "source", "weight").select("source", "share")
 
 
 @query(
@@ -839,4 +844,4 @@ def fuzzy_dimension(spark, sf_dir):
     return both.select("c_custkey", "n_name", retrieval.either_contains(F.col("n_name"), F.col("c_mktsegment")).alias("alike"))
 
 
-from . import action_queries, call_queries, nested_queries, rule_queries, source_queries  # noqa: E402, F401  (register more queries)
+from . import action_queries, call_queries, nested_queries, provider_queries, rule_queries, source_queries  # noqa: E402, F401  (register more queries)
