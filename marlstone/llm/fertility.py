@@ -248,9 +248,13 @@ def fit(
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
     good = good.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null").join(F.broadcast(good), "_id")
-    found = with_fertility(chosen, "_text", "_lang", rules, tokenizers, "_f").where("not _f.base_failed").groupBy("_lang")
-    low = lambda c: F.percentile(f"_f.{c}", share).alias(c)
-    bounds = found.agg(F.count("*").alias("n"), low("chars_per_token"), low("chars_per_byte_token"), F.percentile(F.when(F.col("_f.n_tokens") >= rules.full, F.col("_f.token_entropy")), share).alias("entropy"))
+    # Conditions within the aggregates: a filter on what is measured would be pushed below the join and measure all documents.
+    found = with_fertility(chosen, "_text", "_lang", rules, tokenizers, "_f").groupBy("_lang")
+    passed = ~F.col("_f.base_failed")
+    low = lambda c, held: F.percentile(F.when(held, F.col(f"_f.{c}")), share).alias(c)
+    bounds = found.agg(
+        F.count_if(passed).alias("n"), low("chars_per_token", passed), low("chars_per_byte_token", passed), low("token_entropy", passed & (F.col("_f.n_tokens") >= rules.full)).alias("entropy")
+    )
     languages = dict(rules.languages)
     for r in bounds.where(F.col("n") >= least).collect():
         old = languages.get(r["_lang"], Band())
