@@ -71,16 +71,24 @@ def mentions(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (one(t.lower().strip()) for t in terms if t.strip()), F.lit(False))
 
 
+#: Words that every action's description has.
+COMMON = [
+    "market", "data", "market_data", "provider", "query", "date", "start_date", "end_date", "limit", "fields", "fetch", "rows", "through", "returns", "source", "family",
+    "preferred", "actions", "action", "typed", "schema", "use", "optional", "required", "the", "to", "an", "and", "then", "find",
+]
+TOKEN = r"[a-z0-9_./]{2,}|[一-鿿]{2,}"
+
+
 def best_actions(query: Column, actions: dict[str, dict], least: int = 3, most: int = 8) -> Column:
     """(action, score) of the actions that fit a query, best first.
 
     An action is {"terms": [...], "about": text}. Fixed values: 12 for its
     name as a word, 8 for the name with spaces, 5 for a term of four letters
-    or more and 3 for a shorter one, one for each word shared with what the
-    action is about, 6 at most.
+    or more and 3 for a shorter one, one for each word (COMMON aside) or run of
+    Han signs shared with what the action is about, 6 at most.
     """
     text = F.trim(F.regexp_replace(F.replace(F.lower(query), F.lit("-"), F.lit("_")), r"\s+", " "))
-    words = F.regexp_extract_all(text, F.lit(r"[a-z0-9_./]{2,}"), F.lit(0))
+    words = F.array_except(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, COMMON)))
 
     def score(name: str, terms: list[str], about: str) -> Column:
         total = F.when(text.rlike(rf"(^|[^0-9a-z_]){re.escape(name)}($|[^0-9a-z_])"), 12).otherwise(0)
@@ -88,7 +96,7 @@ def best_actions(query: Column, actions: dict[str, dict], least: int = 3, most:
             total = total + F.when(text.contains(name.replace("_", " ")), 8).otherwise(0)
         for t in terms:
             total = total + F.when(text.contains(t), 5 if len(t) >= 4 else 3).otherwise(0)
-        known = sorted(set(re.findall(r"[a-z0-9_./]{2,}", f"{name.replace('_', ' ')} {about}".lower())))
+        known = sorted(set(re.findall(TOKEN, f"{name.replace('_', ' ')} {about}".lower().replace("-", "_"))))
         return total + F.least(F.lit(6), F.size(F.array_intersect(words, F.array(*map(F.lit, known)))))
 
     scored = F.array(*(F.struct((-score(n, a["terms"], a["about"])).alias("less"), F.lit(n).alias("action")) for n, a in actions.items()))
@@ -242,6 +250,21 @@ def link_score(text: Column, terms: list[str]) -> Column:
     return sum((F.when(c, v).otherwise(0.0) for c, v in points), F.lit(0.0))
 
 
+def links_ranked(links: DataFrame, page: str, href: str, label: str, terms: list[str], kind: str = "", most: int = 20) -> DataFrame:
+    """(page, href, label, score, place): the links of a page that may lead to an exhibit, best first, then by file name and address.
+
+    Empty addresses and those within the page are none; `kind` must be part of
+    address or label. Fixed values: what address or label must have one of.
+    """
+    low = F.lower(F.concat_ws(" ", href, label))
+    marks = ("ex-", "exhibit", "press", "release", "earnings", ".htm", ".html", ".txt", ".pdf", ".xlsx")
+    kept = links.where((F.trim(href) != "") & ~F.startswith(F.trim(href), F.lit("#")) & reduce(lambda a, b: a | b, (low.contains(m) for m in marks)) & low.contains(kind.lower()))
+    rows = kept.select(page, href, label, link_score(low, terms).alias("score"), F.substring_index(href, "/", -1).alias("_file"))
+    order = F.struct((-F.col("score")).alias("s"), "_file", href, F.struct(page, href, label, "score").alias("row"))
+    best = rows.groupBy(page).agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("_best"))
+    return best.select(F.posexplode("_best").alias("_p", "_b")).select("_b.row.*", (F.col("_p") + 1).alias("place"))
+
+
 def unit_hint(text: Column) -> Column:
     """Scale and currency that a table's heading states, as in "in millions; USD"; null if none."""
     low = F.lower(text)

@@ -834,6 +834,15 @@ def query_clusters(spark, sf_dir):
     return retrieval.clusters(turns, "conv_id", "turn", "words", anchors="anchors")
 
 
+@query()
+def query_clusters_fused(spark, sf_dir):
+    """Event types as the words of their users' queries: clusters that two queries running told nothing new."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    words = F.array(F.concat(F.lit("topic"), k % 5), F.concat(F.lit("kind"), k % 2), "event_type", F.lit("shared"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", words.alias("words"))
+    return retrieval.fused(retrieval.clusters(rows, "user_id", "event_id", "words", alike=0.6))
+
+
 @query(
     """SELECT c_custkey, n_name, contains(regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g'), regexp_replace(lower(c_mktsegment), '[^0-9a-z]', '', 'g'))
       OR contains(regexp_replace(lower(c_mktsegment), '[^0-9a-z]', '', 'g'), regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g')) AS alike

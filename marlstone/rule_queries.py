@@ -219,6 +219,20 @@ def links_scored(spark, sf_dir):
     return links.select("page_id", score.alias("score")).groupBy("page_id").agg(F.count("*").alias("links"), F.sum("score").alias("total"), F.max("score").alias("best"))
 
 
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1)) AS raw FROM pages),
+    h AS (SELECT page_id, raw || CASE WHEN length(raw) % 3 = 0 THEN '/ex-99.htm' ELSE '' END AS href, CASE WHEN length(raw) % 2 = 0 THEN 'Press release' ELSE 'other' END AS label FROM l),
+    s AS (SELECT page_id, href, label, lower(href || ' ' || label) AS x FROM h WHERE trim(href) <> '' AND NOT starts_with(trim(href), '#')),
+    p AS (SELECT DISTINCT page_id, href, label, 3.0::DOUBLE * contains(x, 'nicht')::INT + 8.0 * contains(x, 'ex-99')::INT + 5.0 * contains(x, 'press')::INT AS score FROM s WHERE contains(x, 'ex-') OR contains(x, 'press') OR contains(x, '.htm') OR contains(x, '.pdf') OR contains(x, '.txt'))
+    SELECT page_id, href, label, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, string_split(href, '/')[-1], href)::INT AS place FROM p QUALIFY place <= 4"""
+)
+def links_of_exhibits(spark, sf_dir):
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(texts.links(F.col("html"))).alias("raw"))
+    n = F.length("raw")
+    shown = links.select("page_id", F.concat("raw", F.when(n % 3 == 0, "/ex-99.htm").otherwise("")).alias("href"), F.when(n % 2 == 0, "Press release").otherwise("other").alias("label"))
+    return rules.links_ranked(shown.distinct(), "page_id", "href", "label", ["nicht"], most=4)
+
+
 @query(
     r"""WITH e AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' Three months ended June 30, ' || 1990 + doc_id % 30 ELSE '' END || ' 1' || 2000 + doc_id % 7 || ' ' || 1900 + doc_id % 150 || ', 2012 and 2011-2012' AS text FROM documents),
     d AS (SELECT doc_id, text, lower(text) AS x FROM e),
