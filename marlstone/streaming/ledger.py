@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,20 +49,49 @@ def no_gain_runs(events: DataFrame, task: str, order: str, gain: Column, limit:
     return rows.groupBy("task").applyInPandasWithState(run, schema, "n int", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Parts of an upserted table, by a hash of the key.
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_into keeps at path, as of its last batch (or the last one before a number); None before the first."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if before is not None:
+        versions = versions.where(F.col("_version") < before)
+    # As many rows as there are parts; only the files that hold them are read.
+    last = versions.groupBy("_bucket").agg(F.max("_version").alias("_version"))
+    return versions.join(F.broadcast(last), ["_bucket", "_version"]).drop("_version")
+
+
 def upsert_into(path: str, key: str, order: list[str], columns: list[str]):
     """For foreachBatch: folds a batch into the table at path, by key the last values that are not empty.
 
-    Versions are written beside each other, the latest complete one is read;
-    a batch that is run again writes the same version again.
+    The table lies in BUCKETS parts; a batch writes anew those that hold one of
+    its keys, as a version with its number, and reads no others. A batch that is
+    run again writes the same version again. current() reads the table.
     """
     from ..operators.ledger import upserted
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(key, *order, *columns)
-        if number > 0:
-            new = spark.read.parquet(f"{path}/v{number - 1}").select(key, *order, *columns).unionByName(new)
-        latest = new.groupBy(key).agg(*(F.max(c).alias(c) for c in order))
-        upserted(new, key, order, columns).join(latest, key).write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = batch.select(key, *order, *columns).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in new.select("_bucket").distinct().collect()]
+            if not touched:
+                return
+            old = current(spark, path, number)
+            both = new if old is None else old.where(F.col("_bucket").isin(touched)).select(*new.columns).unionByName(new)
+            latest = both.groupBy("_bucket", key).agg(*(F.max(c).alias(c) for c in order))
+            folded = upserted(both, key, order, columns)
+            same = F.col(key).eqNullSafe(F.col("_key"))
+            kept = folded.withColumnRenamed(key, "_key").join(latest, same).select(key, *order, *columns, "_bucket")
+            kept.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={number}")
+        finally:
+            new.unpersist()
 
     return fold

@@ -50,12 +50,24 @@ def test_upserts_by_batches(spark, tmp_path):
     q = stream(spark, tmp_path).writeStream.foreachBatch(live.upsert_into(path, "user_id", ["event_id"], ["event_type", "value"])).option("checkpointLocation", f"{tmp_path}/c").start()
     q.processAllAvailable()
     q.stop()
-    last = max(int(p.name[1:]) for p in (tmp_path / "table").iterdir())
-    got = {(r.user_id, r.event_type, r.value) for r in spark.read.parquet(f"{path}/v{last}").collect()}
+    got = {(r.user_id, r.event_type, r.value) for r in live.current(spark, path).collect()}
     want = {(r.user_id, r.event_type, r.value) for r in ledger.upserted(events(spark), "user_id", ["event_id"], ["event_type", "value"]).collect()}
     assert got == want
 
 
+def test_upserts_touch_only_their_parts(spark, tmp_path):
+    path, fold = f"{tmp_path}/t", live.upsert_into(f"{tmp_path}/t", "k", ["n"], ["v"])
+    rows = lambda *r: spark.createDataFrame(r, "k string, n int, v string")
+    assert live.current(spark, path) is None
+    fold(rows(*((f"k{i}", 1, f"a{i}") for i in range(200)), (None, 1, "none")), 0)
+    fold(rows(("k7", 2, "b"), ("k7", 3, ""), (None, 2, "later")), 1)
+    fold(rows(("k7", 2, "b"), ("k7", 3, ""), (None, 2, "later")), 1)
+    fold(rows().limit(0), 2)
+    got = {r.k: (r.n, r.v) for r in live.current(spark, path).collect()}
+    assert got == {f"k{i}": (1, f"a{i}") for i in range(200)} | {"k7": (3, "b"), None: (2, "later")}
+    assert len(list((tmp_path / "t" / "_version=1").glob("_bucket=*"))) == 2
+
+
 def test_sessions(spark):
     out = live.sessions(events(spark), "ts", ["user_id"], "30 minutes")
     assert out.agg(F.sum("n")).first()[0] == events(spark).count()
