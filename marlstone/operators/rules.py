@@ -167,15 +167,30 @@ BAR_NAMES = {
     "close": ["raw_unadjusted_close", "close", "收盘", "收盘价", "最新价"], "volume": ["volume", "vol", "成交量"], "amount": ["amount", "成交额"],
 }
 KEY_NAMES = ["symbol_key", "ts_code", "constituent_code", "ticker", "symbol"]
+DAY_NAMES = ["date", "trade_date", "日期", "交易日期", "时间"]
 
 
-def canonical_bars(df: DataFrame, day: list[str]) -> DataFrame:
-    """symbol_key, date and the six values of a bar, whatever names the source gives them; rows without a date go."""
+def canonical_day(df: DataFrame, day: list[str]) -> Column:
+    """The first day that a row gives under any of the names, as yyyy-MM-dd: its first ten signs, or eight digits; else null."""
     text = first_present(df, day)
     digits = F.regexp_replace(text, r"\D", "")
-    date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(
         F.length(digits) == 8, F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
     )
+
+
+def canonical_rows(df: DataFrame) -> DataFrame:
+    """df with symbol_key and, where it has a day under any name, date, if it lacks them; rows without a key or a day go."""
+    if "symbol_key" not in df.columns:
+        df = df.withColumn("symbol_key", first_present(df, KEY_NAMES)).where("symbol_key is not null")
+    if "date" not in df.columns and any(c in df.columns for c in DAY_NAMES):
+        df = df.withColumn("date", canonical_day(df, DAY_NAMES).cast("date")).where("date is not null")
+    return df
+
+
+def canonical_bars(df: DataFrame, day: list[str] = DAY_NAMES) -> DataFrame:
+    """symbol_key, date and the six values of a bar, whatever names the source gives them; rows without a date go."""
+    date = canonical_day(df, day)
     values = [first_present(df, names, numeric=True).alias(k) for k, names in BAR_NAMES.items()]
     return df.select(first_present(df, KEY_NAMES).alias("symbol_key"), date.alias("date"), *values).where("date is not null")
 

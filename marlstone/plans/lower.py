@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import formula
-from ..operators import panels, rows
+from ..operators import panels, rows, rules
 
 PANELS = ("price_panel", "return_panel", "volume_panel")
 #: Fields of single days: operations on them need the long shape.
@@ -53,15 +53,26 @@ def universe(plan: dict, tables: dict[str, DataFrame], symbols: DataFrame) -> Da
     return members.orderBy("symbol_key").limit(plan["max_entities"])
 
 
+def sourced(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables under the names that plans use: bars, keys and days are found by any of the names that sources give them."""
+    found = {name: rules.canonical_rows(df) for name, df in tables.items() if name != "bars"}
+    if "bars" in tables:
+        bars = tables["bars"]
+        known = {"symbol_key", "date", "open", "high", "low", "close", "volume"} <= set(bars.columns)
+        found["bars"] = bars if known else (b := rules.canonical_bars(bars)).withColumn("date", b["date"].cast("date"))
+    return found
+
+
 def lower(plan: dict, tables: dict[str, DataFrame], lenient: bool = False) -> DataFrame:
     """The rows of a normalised plan.
 
     tables: bars (symbol_key, date, open, high, low, close, volume), and for
     other plans daily_basic (symbol_key, date, ...) and constituents
-    (index_code, symbol_key). Unknown operations fail, or with `lenient` are
-    passed over.
+    (index_code, symbol_key); sources' own names of keys, days and prices are
+    known too. Unknown operations fail, or with `lenient` are passed over.
     """
     check(plan)
+    tables = sourced(tables)
     frame, ties = universe(plan, tables, next(iter(tables.values()))), ["symbol_key"]
     long = False
     for m in plan["metrics"]:

@@ -106,6 +106,18 @@ def plan_return_rank(spark, sf_dir):
     return run_plan(spark, sf_dir, plan).select("symbol_key", "start_close", "end_close", "return_pct", "rank")
 
 
+@query(SQL["plan_return_rank"])
+def plan_from_raw_names(spark, sf_dir):
+    """The same from bars as a source has them: its own names, days of eight digits, prices as text with gaps."""
+    own = bars(spark, sf_dir)
+    text = lambda c, name: F.when(F.col(c) > 0, F.col(c).cast("string")).otherwise("--").alias(name)
+    raw = own.select(
+        F.col("symbol_key").alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("交易日期"), text("open", "开盘"), text("high", "最高价"), text("low", "最低"), text("close", "收盘价"), text("volume", "成交量")
+    )
+    plan = {"universe": ",".join(KEYS), "metrics": [{"returns": {}}], **SPAN, "operations": [{"action": "rank", "by": "return_pct", "top_k": 3}]}
+    return lower(normalise(plan), {"bars": raw}).select("symbol_key", "start_close", "end_close", "return_pct", "rank")
+
+
 def single_date(align: str, pick: str) -> None:
     day = "1996-07-06"
 
