@@ -100,19 +100,19 @@ def contract_days(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT c_nationkey AS reporter, (c_custkey % 25) AS partner, CASE WHEN c_custkey % 2 = 0 THEN 'X' ELSE 'M' END AS flow, lpad((c_custkey % 40)::VARCHAR, 2, '0') || '01' AS cmd, 1990 + c_custkey % 3 AS period, c_acctbal AS v FROM customer),
+    """WITH f AS (SELECT o_custkey % 25 AS reporter, o_orderkey // 8 % 25 AS partner, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE 'M' END AS flow, lpad((o_orderkey % 40)::VARCHAR, 2, '0') || '01' AS cmd, 1990 + o_orderkey % 3 AS period, o_totalprice AS v FROM orders),
     r AS (SELECT n_nationkey AS request, n_nationkey AS reporter, CASE n_nationkey % 4 WHEN 0 THEN 0 ELSE (n_nationkey + 1) % 25 END AS partner, CASE WHEN n_nationkey % 2 = 0 THEN 'X' ELSE 'M' END AS flow, CASE WHEN n_nationkey % 7 = 6 THEN '' ELSE ((n_nationkey // 2) % 4)::VARCHAR END AS cmd FROM nation)
     SELECT request, row_number() OVER (PARTITION BY request ORDER BY f.cmd, v)::INT AS place, f.cmd AS cmdCode, f.period, v AS primaryValue
     FROM r JOIN f ON r.reporter = f.reporter AND (r.partner = f.partner) AND r.flow = f.flow AND starts_with(f.cmd, r.cmd) AND f.period = 1990 + request % 3 WHERE r.cmd <> ''
     QUALIFY row_number() OVER (PARTITION BY request ORDER BY f.cmd, v) <= 3"""
 )
 def trade_rows(spark, sf_dir):
-    """Customers as flows of trade between nations; each nation asks by names, the world's code or none."""
+    """Orders as flows of trade between nations; each nation asks by names, the world's code or none."""
     nation, n = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    key = F.col("c_custkey")
-    flows = table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("reporterCode"), (key % 25).alias("partnerCode"), F.when(key % 2 == 0, "X").otherwise("M").alias("flowCode"),
-        F.concat(F.lpad((key % 40).cast("string"), 2, "0"), F.lit("01")).alias("cmdCode"), (1990 + key % 3).alias("period"), F.col("c_acctbal").alias("primaryValue"),
+    key = F.col("o_orderkey")
+    flows = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 25).alias("reporterCode"), (F.floor(key / 8) % 25).alias("partnerCode"), F.when(key % 2 == 0, "X").otherwise("M").alias("flowCode"),
+        F.concat(F.lpad((key % 40).cast("string"), 2, "0"), F.lit("01")).alias("cmdCode"), (1990 + key % 3).alias("period"), F.col("o_totalprice").alias("primaryValue"),
     )
     areas = aliases.index(nation, "n_nationkey", ["n_name"], "n_nationkey")
     next_name = nation.select((F.pmod(n - 1, F.lit(25))).alias("n_nationkey"), F.col("n_name").alias("next"))
