@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import jsons, texts
-from .operators import aliases, arguments
+from .operators import aliases, arguments, evals
 from .queries import query, table
 
 
@@ -140,3 +140,42 @@ def names_mentioned(spark, sf_dir):
     said = table(spark, sf_dir, "customer").join(names.toDF("c_nationkey", "one"), "c_nationkey").withColumn("k", F.col("c_custkey") % 25).join(names.toDF("k", "two"), "k")
     text = F.concat_ws(" ", F.lit("Trade from"), "one", F.lit("to"), "two", F.lit("grew."))
     return aliases.mentioned(said.select("c_custkey", text.alias("text")), ["c_custkey"], "text", found).select("c_custkey", "at", "form", "code")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, o_totalprice, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE (o_orderkey % 150) / 100.0::DOUBLE END AS a, (o_custkey % 101) / 100.0::DOUBLE AS t,
+      o_orderkey % 5 AS n, least(o_orderkey % 5, o_custkey % 5) AS hit, least(o_orderkey % 5, o_custkey % 3 + 1) AS sup, o_custkey % 4 > 0 AS anchored, o_orderkey % 7 = 0 AS clash FROM orders),
+    c AS (SELECT *, least(a, 1.0) AS a1, CASE WHEN n > 0 THEN least(a, 1.0, hit::DOUBLE / n) WHEN least(a, 1.0) >= 0.8 OR t >= 0.7 THEN least(a, 0.5) ELSE least(a, 1.0) END AS a2,
+      CASE WHEN n > 0 THEN least(t, sup::DOUBLE / n) WHEN least(a, 1.0) >= 0.8 OR t >= 0.7 THEN least(t, 0.5) ELSE t END AS t2 FROM r),
+    d AS (SELECT *, CASE WHEN t2 > 0.5 AND NOT anchored THEN 0.5 ELSE t2 END AS t3 FROM c),
+    j AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'correct' WHEN a1 >= 0.8 THEN 'correct' WHEN a1 >= 0.25 THEN 'partial' ELSE 'incorrect' END AS aj, CASE WHEN k % 3 = 1 THEN CASE WHEN t2 > 0.5 AND NOT anchored THEN 'partially_sound' ELSE 'sound' END
+      WHEN t >= 0.9 THEN CASE WHEN t2 > 0.5 AND NOT anchored THEN 'partially_sound' ELSE 'sound' END WHEN t >= 0.5 THEN 'partially_sound' WHEN t <= 0 THEN 'no_trajectory' ELSE 'unsound' END AS tj FROM d),
+    f AS (SELECT *, CASE WHEN a2 < 0.8 AND aj = 'correct' THEN CASE WHEN a2 >= 0.25 THEN 'partial' ELSE 'incorrect' END ELSE aj END AS aj2,
+      CASE WHEN t3 < 0.7 AND tj IN ('sound', 'partially_sound') THEN CASE WHEN t3 >= 0.5 THEN 'partially_sound' WHEN t3 <= 0 THEN 'no_trajectory' ELSE 'unsound' END ELSE tj END AS tj2 FROM j)
+    SELECT k, a2 AS answer_score, t3 AS trajectory_score, aj2 AS answer_judgement, tj2 AS trajectory_judgement, a2 >= 0.8 AND aj2 = 'correct' AND NOT (clash AND k % 2 = 0) AND t3 >= 0.7 AND tj2 IN ('sound', 'partially_sound') AND NOT clash AS is_correct,
+      a2 < a1 OR t3 < t AS capped FROM f"""
+)
+def replies_judged(spark, sf_dir):
+    """Verdicts with scores out of range, words that are none, criteria met in part, and contradictions of the path or of both."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    n, hit, sup = key % 5, F.least(key % 5, cust % 5), F.least(key % 5, cust % 3 + 1)
+    criteria = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")), lambda i: F.when(i <= n, F.struct((i <= hit).alias("answer_matched"), (i <= sup).alias("trajectory_supported"))))
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("k"), F.when(key % 13 == 0, "none").otherwise(((key % 150) / 100.0).cast("string")).alias("answer_score"), ((cust % 101) / 100.0).alias("trajectory_score"),
+        F.when(key % 3 == 0, " Correct").otherwise("perhaps").alias("answer_judgement"), F.when(key % 3 == 1, "SOUND").alias("trajectory_judgement"), (key % 7 == 0).alias("contradiction"),
+        F.when(key % 2 == 0, "both").otherwise("trajectory").alias("scope"), criteria.alias("criteria"), F.when(cust % 4 > 0, F.array(F.lit(1))).alias("anchors"),
+    )
+    return evals.judged_replies(rows).select("k", "answer_score", "trajectory_score", "answer_judgement", "trajectory_judgement", "is_correct", "capped")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_name || '.png' AS source, CASE p_partkey % 3 WHEN 0 THEN 'Site Logo' WHEN 1 THEN '统计表' ELSE p_type END AS label, p_brand AS context FROM part),
+    q AS (SELECT *, lower(source || ' ' || label || ' ' || context) AS x FROM p), o AS (SELECT *, (CASE WHEN contains(x, 'red') THEN 1.5 ELSE 0 END + CASE WHEN contains(x, 'widget') THEN 3 ELSE 0 END + CASE WHEN contains(x, 'economy') THEN 3.5 ELSE 0 END)::DOUBLE AS overlap FROM q)
+    SELECT p_partkey, (CASE WHEN p_partkey % 3 = 1 OR contains(x, 'table') OR contains(x, 'chart') THEN 4 ELSE 0 END + overlap * 1.5 - CASE WHEN p_partkey % 3 = 0 OR contains(x, 'icon') OR contains(x, 'red.png') OR contains(x, 'share') OR contains(x, 'banner') THEN 12 ELSE 0 END
+      - CASE WHEN NOT (p_partkey % 3 = 1 OR contains(x, 'table') OR contains(x, 'chart')) AND overlap < 2 THEN 4 ELSE 0 END)::DOUBLE AS score FROM o"""
+)
+def assets_scored(spark, sf_dir):
+    n = F.col("p_partkey") % 3
+    label = F.when(n == 0, "Site Logo").when(n == 1, "统计表").otherwise(F.col("p_type"))
+    score = texts.asset_score(F.concat("p_name", F.lit(".png")), label, F.col("p_brand"), F.lit("a red widget, Economy"))
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))

@@ -125,3 +125,23 @@ def overlap_score(text: Column, query: Column, most: int = MOST_TERMS) -> Column
     low, high = WEIGHTS
     hit = lambda t: F.when(F.contains(held, t), F.least(F.greatest(F.length(t), F.lit(low)), F.lit(high)) / 2.0).otherwise(0.0)
     return F.aggregate(overlap_terms(query, most), F.lit(0.0), lambda a, t: a + hit(t))
+
+
+#: Words near an image that likely shows a table, and near one that is decoration.
+TABLE_HINTS = (
+    "table", "statistical", "statistics", "data table", "chart", "spreadsheet",
+    "表", "统计表", "情况表", "数据表", "指标表", "截图", "图片", "图表", "统计信息", "批准预售",
+)
+NOISE = (
+    "logo", "icon", "qrcode", "qr-code", "share", "banner", "wechat", "weibo", "jiucuo", "finderror", "red.png", "ga.png", "pe-m-logo",
+    "二维码", "扫一扫", "分享", "微信", "微博", "版权", "导航", "找错", "纠错", "备案", "公安",
+)
+
+
+def asset_score(source: Column, label: Column, context: Column, query: Column) -> Column:
+    """How likely an image shows what a query asks for. 4 for a hint of a table, 1.5 of the terms' overlap, 12 off for decoration, 4 off where neither speaks for it."""
+    text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (source, label, context)))
+    low, overlap = F.lower(text), overlap_score(text, query)
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    hint = any_of(TABLE_HINTS)
+    return F.when(hint, 4.0).otherwise(0.0) + overlap * 1.5 - F.when(any_of(NOISE), 12.0).otherwise(0.0) - F.when(~hint & (overlap < 2), 4.0).otherwise(0.0)
