@@ -129,7 +129,8 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 16) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(F.col("own"), o).alias("r"), F.greatest(F.col("own"), o).alias("s")),
     )
-    cells = keyed.join(full, "key").withColumn("own", own)
+    # Spark takes the exploded keys for no larger than the fingerprints and would send all of them to every task.
+    cells = keyed.hint("merge").join(full, "key").withColumn("own", own)
     cells = cells.select("key", "fp", F.inline(pairs)).repartition("key", "r", "s").sortWithinPartitions("key", "r", "s", "fp")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,9 @@ def test_dense_fingerprints_lose_no_link(spark, monkeypatch):
         signed = [int(np.uint64(f).view(np.int64)) for f in fps]
         want = plain_components(signed, fps, radius)
         assert [roots.get(s, s) for s in signed] == want
+
+
+def test_exploded_keys_are_never_sent_to_every_task(spark):
+    fps = spark.range(2000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
