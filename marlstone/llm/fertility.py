@@ -14,13 +14,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, small_batches, spare
+from ..operators import ranks
+from .common import Ids, small_batches, spare, split_off, staged
 
 #: Where the vocabularies lie; a parameter, for they are no part of this repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -232,39 +234,88 @@ def with_fertility(
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    most: int = 20_000, least: int = 100, share: float = 0.001, rules: Rules | None = None, tokenizers: str = TOKENIZERS,
+    least: int = 100, share: float = 0.001, rules: Rules | None = None, tokenizers: str = TOKENIZERS,
 ) -> Rules:
-    """rules with bands from documents that are known to be good: a language's lower bounds are the measures that all but `share` of its own reach.
+    """rules with bands from the documents that are known to be good: a language's lower bounds are the measures that all but `share` of its own reach.
 
     Characters per token under both vocabularies and the entropy of tokens are
     bounded so, each by itself, for languages with `least` good documents or
     more that pass the base rule; others keep the bands that rules have. Upper
-    bounds and byte fallback stay as they are. At most `most` documents of
-    label 1 are read, in the order of a hash of the id; an id with several
-    labels counts with the least, null ids do not count. Without labels, or
-    without documents, rules come back unchanged.
+    bounds and byte fallback stay as they are. All documents of label 1 are
+    measured, and the bounds are exact percentiles; an id with several labels
+    counts with the least, null ids do not count. Without labels, or without
+    documents, rules come back unchanged.
     """
     rules = rules or Rules()
+    chosen = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null")
+    found = with_fertility(split_off(chosen, "_of", _good(labels, label_col, id_col), "left_semi"), "_text", "_lang", rules, tokenizers, "_f")
+    # Staged before the filter, which would else be pushed below and measure twice.
+    return _fitted(staged(found.select("_lang", "_f"), "measured"), rules, least, share)
+
+
+def _good(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null").join(F.broadcast(good), "_id")
-    # Conditions within the aggregates: a filter on what is measured would be pushed below the join and measure all documents.
-    found = with_fertility(chosen, "_text", "_lang", rules, tokenizers, "_f").groupBy("_lang")
-    passed = ~F.col("_f.base_failed")
-    low = lambda c, held: F.percentile(F.when(held, F.col(f"_f.{c}")), share).alias(c)
-    bounds = found.agg(
-        F.count_if(passed).alias("n"), low("chars_per_token", passed), low("chars_per_byte_token", passed), low("token_entropy", passed & (F.col("_f.n_tokens") >= rules.full)).alias("entropy")
-    )
+    return staged(good.select("_id"), "good")
+
+
+def _fitted(measured: DataFrame, rules: Rules, least: int, share: float) -> Rules:
+    """rules with the bounds of (_lang, _f), what good documents measure."""
+    found = measured.select("_lang", "_f.*").where("not base_failed")
+    full = F.when(F.col("n_tokens") >= rules.full, F.col("token_entropy"))
+    named = {"chars_per_token": F.col("chars_per_token"), "chars_per_byte_token": F.col("chars_per_byte_token"), "entropy": full}
+    values = F.array(*(F.struct(F.lit(k).alias("_metric"), c.alias("_value")) for k, c in named.items()))
     languages = dict(rules.languages)
-    for r in bounds.where(F.col("n") >= least).collect():
-        old = languages.get(r["_lang"], Band())
-        languages[r["_lang"]] = replace(
-            old, chars_per_token=(r.chars_per_token, old.chars_per_token[1]), chars_per_byte_token=(r.chars_per_byte_token, old.chars_per_byte_token[1]),
-            entropy=(old.entropy[0] if r.entropy is None else r.entropy, old.entropy[1]),
-        )
+    enough = {r["_lang"] for r in found.groupBy("_lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    lows: dict[str, dict[str, float]] = {lang: {} for lang in enough}
+    for r in percentiles(found.select("_lang", F.inline(values)).where("_value is not null"), ["_lang", "_metric"], "_value", share).collect():
+        if r["_lang"] in enough:
+            lows[r["_lang"]][r["_metric"]] = r["_low"]
+    for lang, low in lows.items():
+        old = languages.get(lang, Band())
+        languages[lang] = replace(old, **{k: (v, getattr(old, k)[1]) for k, v in low.items()})
     return replace(rules, languages=languages)
 
 
+def with_fitted(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    least: int = 100, share: float = 0.001, rules: Rules | None = None, tokenizers: str = TOKENIZERS, out: str = "fertility",
+) -> DataFrame:
+    """(id_col, out): with_fertility() under the rules that fit() gives for the same tables, each text measured once.
+
+    The measures are written without the texts; the bands are held against them afterwards.
+    """
+    rules = rules or Rules()
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    found = staged(with_fertility(rows, "_text", "_lang", rules, tokenizers, "_f").drop("_text"), "measured")
+    good = split_off(found.where("_lang is not null"), "_of", _good(labels, label_col, id_col), "left_semi")
+    own = _judged(F.col("_f"), F.col("_lang"), _fitted(good, rules, least, share))
+    return found.select(F.col("_of").alias(id_col), own.alias(out))
+
+
+def _judged(f: Column, lang: Column, rules: Rules) -> Column:
+    """METRICS f with the band and the verdict that rules give; f was measured under rules with no other languages than these."""
+    bands = rules.scripts | rules.languages
+    limits = F.create_map(*(x for n, b in bands.items() for x in (F.lit(n), F.array(*(F.lit(float(v)) for v in (*b.chars_per_token, *b.chars_per_byte_token, *b.fallback_share, *b.entropy))))))
+    name = F.when(lang.isin(*rules.languages), lang).otherwise(f["band"])
+    at = limits[name]
+    within = lambda c, i: (f[c] >= at[i]) & (f[c] <= at[i + 1])
+    fits = within("chars_per_token", 0) & within("chars_per_byte_token", 2) & within("fallback_share", 4) & ((f["n_tokens"] < rules.full) | within("token_entropy", 6))
+    return f.withField("kept", ~f["base_failed"] & fits).withField("band", name)
+
+
+def percentiles(rows: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
+    """(group, _low): each group's exact percentile, between the two values next to it; values are placed by range, so no task holds a group."""
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    at = (F.col("_n") - 1) * F.lit(share)
+    ends = counts.select(*(F.col(g).alias(f"_of_{g}") for g in group), F.floor(at).alias("_below"), F.ceil(at).alias("_above"), at.alias("_at"))
+    same = reduce(Column.__and__, (F.col(g) == F.col(f"_of_{g}") for g in group))
+    seat = F.col("_seat") - 1
+    near = ranks.placed(rows, [value], "_seat", group).join(ends, same & (seat >= F.col("_below")) & (seat <= F.col("_above")))
+    low, high = F.min(value), F.max(value)
+    weighed = (F.first("_above") - F.first("_at")) * low + (F.first("_at") - F.first("_below")) * high
+    return near.groupBy(*group).agg(F.when(low == high, low).otherwise(weighed).alias("_low"))
+
+
 def _fields() -> tuple[list[str], list[pa.DataType]]:
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
     pairs = [x.split() for x in METRICS.split(", ")]

@@ -174,3 +174,29 @@ def test_items_of_few_words(spark):
     assert got == [(1, 1, 1.0, 1), (1, 2, 1.0, 3), (3, 2, 1.0, 0), (6, 4, 1.0, 1)]
     assert sorted(r.doc_id or 0 for r in decontaminate.clean(docs, items).collect()) == [0, 2, 4, 5]
     assert decontaminate.found(docs, items.where(F.col("item_id") == 3)).isEmpty()
+
+
+def test_bands_come_from_all_good_documents(spark, monkeypatch):
+    # 20,600 good documents: the bound is that of them all, not of a sample of 20,000.
+    n = 20_600
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('t', id) AS text", "'xx' AS lang")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+
+    def numbered(df, text_col, lang_col, rules, tokenizers, out):
+        value = F.substring(F.col(text_col), 2, 9).cast("double")
+        return df.withColumn(out, F.struct(F.lit(False).alias("base_failed"), F.lit(100).alias("n_tokens"), *(value.alias(c) for c in ("chars_per_token", "chars_per_byte_token", "token_entropy"))))
+
+    monkeypatch.setattr(fertility, "with_fertility", numbered)
+    band = fertility.fit(rows, labels, share=0.001).languages["xx"]
+    want = np.percentile(np.arange(n), 0.1)
+    assert [round(b[0], 9) for b in (band.chars_per_token, band.chars_per_byte_token, band.entropy)] == [round(want, 9)] * 3
+
+
+def test_measured_once_as_by_fit(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("lang", F.when(F.col("lang") == "en", "xx").otherwise(F.col("lang")))  # a language that the bands given do not know
+    rules = fertility.fit(docs, labels, least=20)
+    assert rules.languages["xx"] != fertility.Band()
+    want = fertility.with_fertility(docs, rules=rules).select("doc_id", "fertility.*")
+    got = fertility.with_fitted(docs, labels, least=20).select("doc_id", "fertility.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
