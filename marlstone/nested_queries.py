@@ -127,7 +127,7 @@ def prices_known_on_days(spark, sf_dir):
     spans = intervals.vintages(series, ["l_partkey"], "known", "price")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     days = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "day").distinct()
-    return intervals.valid_on(days, spans, ["l_partkey"], "day", "valid_from", "valid_to")
+    return intervals.latest_on(days, spans, ["l_partkey"], "day", "valid_from", "valid_to")
 
 FEED = """numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),

@@ -9,6 +9,8 @@ range condition left and no pair is found twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,18 @@ def vintages(series: DataFrame, keys: list[str], known: str, value: str) -> Data
     days = series.where(F.col(known).isNotNull()).groupBy(*keys, F.col(known).alias("valid_from")).agg(F.max(value).alias(value))
     following = F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from"))
     return days.withColumn("valid_to", following).select(*keys, value, "valid_from", "valid_to")
+
+
+def latest_on(days: DataFrame, spans: DataFrame, keys: list[str], day: str, start: str, end: str) -> DataFrame:
+    """valid_on() for spans of a key that do not overlap, as vintages are: the last one that began by the day, if it still holds.
+
+    Days and spans of a key are read in one order, each once; a long key is sorted and spilled, not held.
+    """
+    own, more = [c for c in days.columns if c not in keys], [c for c in spans.columns if c not in keys]
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    left = days.where(known & F.col(day).isNotNull()).select(*keys, F.col(day).alias("_at"), F.lit(1).alias("_asks"), F.struct(*own).alias("_day"))
+    right = spans.where(known & F.col(start).isNotNull()).select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_asks"), F.struct(*more).alias("_span"))
+    upto = Window.partitionBy(*keys).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_span", F.last("_span", ignorenulls=True).over(upto))
+    held = both.where("_asks = 1 and _span is not null").where(F.col("_span")[end].isNull() | (F.col("_at") < F.col("_span")[end]))
+    return held.select(*keys, *(F.col("_day")[c].alias(c) for c in own), *(F.col("_span")[c].alias(c) for c in more))

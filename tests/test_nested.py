@@ -156,3 +156,13 @@ def test_spans_by_comparing_all(spark):
     )
     want = sorted((d, s) for k, d, day in days for q, s, a, b in spans if k and k == q and day and a and a <= day and (b is None or day < b))
     assert sorted((r.d, r.s) for r in got.collect()) == want
+
+
+def test_latest_span_reads_each_row_once(spark):
+    from marlstone.operators import intervals
+
+    spans = spark.sql("SELECT * FROM VALUES (1, 1.0D, DATE'1890-05-01', DATE'2020-01-01'), (1, 2.0D, DATE'2020-01-01', null), (2, 3.0D, DATE'2020-01-05', DATE'2020-01-07'), (null, 4.0D, DATE'2020-01-01', null) AS t(k, price, f, t)")
+    days = spark.sql("SELECT * FROM VALUES (1, DATE'1895-01-01'), (1, DATE'2020-01-01'), (1, DATE'2019-12-31'), (2, DATE'2020-01-04'), (2, DATE'2020-01-06'), (2, DATE'2020-01-07'), (null, DATE'2020-01-02'), (1, null) AS t(k, day)")
+    found = intervals.latest_on(days, spans, ["k"], "day", "f", "t")
+    assert sorted((r.k, str(r.day), r.price) for r in found.collect()) == [(1, "1895-01-01", 1.0), (1, "2019-12-31", 1.0), (1, "2020-01-01", 2.0), (2, "2020-01-06", 3.0)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
