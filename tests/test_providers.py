@@ -78,3 +78,10 @@ def test_verdicts_of_odd_judges(spark):
 def test_assets_of_nothing(spark):
     row = one(spark, a=None, q=None).select(texts.asset_score(F.col("a"), F.col("a"), F.col("a"), F.col("q"))).first()
     assert row[0] == -4.0
+
+
+def test_periods_are_read_of_days_not_of_orders(spark):
+    from marlstone import queries
+
+    files = queries.QUERIES["macro_series"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/days-" in f for f in files)
