@@ -150,7 +150,7 @@ def feed_lines(spark, sf_dir):
         F.concat("event_type", F.get_json_object("props", "$.k").cast("long") % 3).alias("step_id"),
         F.when(F.col("event_id") % 2 == 0, "complete").otherwise("running").alias("status"), F.concat(F.lit("t"), "event_id", F.lit(" ")).alias("text"),
     )
-    return kept.select(F.to_json(line).alias("value"), "event_id")
+    return kept.select(F.to_json(line).alias("value"), "event_id", "ts")
 
 
 FEED_TOLD = f"""WITH {FEED}, ends AS (SELECT run_id, max(seq) FILTER (type IN ('done', 'error')) AS stop, max(ts) AS last, max(seq) AS most, count(*) AS n FROM lines GROUP BY 1),
@@ -172,9 +172,9 @@ def run_feed(spark, sf_dir):
 
 @query(FEED_TOLD)
 def run_feed_streamed(spark, sf_dir):
-    """The same from a stream: four batches of lines, each in no order, told as the state says."""
+    """The same from a stream: four batches of lines by their time, each in no order, told as the state says."""
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    lines = ranks.blocks(feed_lines(spark, sf_dir), ["event_id"], parts=4).repartition(2, F.xxhash64("event_id"))
+    lines = ranks.blocks(feed_lines(spark, sf_dir), ["ts", "event_id"], parts=4).repartition(2, F.xxhash64("event_id"))
     for part in range(4):
         lines.where(F.col("_block") == part).select("value").write.mode("append").text(f"{path}/in")
     events = feed.read_events(spark.readStream.option("maxFilesPerTrigger", 2).text(f"{path}/in"))

@@ -71,34 +71,39 @@ class Runs(StatefulProcessor):
         have, end, at, done = self.progress.get() if self.progress.exists() else (0, None, None, False)
         if done:
             return
-        before = at
+        # The state is read and written once a batch, not once an event; a run that is whole in its batch leaves none.
+        before, new = at, {}
+        held = {k[0]: v for k, v in self.events.iterator()} if have else {}
         for frame in rows:
             for r in frame.itertuples(index=False):
                 at = max(at or 0, r.ts.value // 1_000_000)
-                if end is not None and r.seq > end or self.events.containsKey((r.seq,)):
+                if end is not None and r.seq > end or r.seq in held or r.seq in new:
                     continue
-                self.events.updateValue((r.seq,), (r.type, r.step_id or "", r.status or "", r.text or ""))
-                have += 1
+                new[r.seq] = (r.type, r.step_id or "", r.status or "", r.text or "")
                 if r.type in ("done", "error"):
                     end = r.seq
-                    for (seq,) in [k for k in self.events.keys() if k[0] > end]:
-                        self.events.removeKey((seq,))
-                        have -= 1
+                    new = {k: v for k, v in new.items() if k <= end}
         if before is not None:
             self.handle.deleteTimer(before + self.wait)
+        for seq in [k for k in held if end is not None and k > end]:
+            del held[seq]
+            self.events.removeKey((seq,))
+        have = len(held) + len(new)
         if end is not None and have == end + 1:
-            yield self._tell(key[0], end)
+            yield self._tell(key[0], end, held | new)
             return
+        for seq, event in new.items():
+            self.events.updateValue((seq,), event)
         self.progress.update((have, end, at, False))
         self.handle.registerTimer(at + self.wait)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, end, _, done = self.progress.get()
         if not done:
-            yield self._tell(key[0], end)
+            yield self._tell(key[0], end, {k[0]: v for k, v in self.events.iterator()})
 
-    def _tell(self, run: str, end: int | None) -> pd.DataFrame:
-        events = sorted((k[0], *v) for k, v in self.events.iterator())
+    def _tell(self, run: str, end: int | None, held: dict[int, tuple]) -> pd.DataFrame:
+        events = sorted((k, *v) for k, v in held.items())
         steps: dict[str, str] = {}
         for _, kind, step, status, _ in events:
             if kind == "step":

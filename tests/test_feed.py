@@ -42,3 +42,13 @@ def test_stream_equals_table(spark, tmp_path):
     run.awaitTermination()
     got = spark.read.schema(feed.TOLD).parquet(f"{tmp_path}/out").collect()
     assert sorted(map(tuple, got), key=str) == want
+
+
+def test_streamed_feed_of_events_whose_ids_are_not_in_order_of_time(spark, tmp_path):
+    from marlstone import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    later = events.selectExpr("event_id + 1000000 AS event_id", "ts", "user_id + 1000000 AS user_id", "event_type", "value", "props")
+    events.unionByName(later, allowMissingColumns=True).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    table, stream = (sorted(map(tuple, queries.QUERIES[q](spark, str(tmp_path)).collect()), key=str) for q in ("run_feed", "run_feed_streamed"))
+    assert table == stream and table
