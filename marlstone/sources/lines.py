@@ -26,14 +26,20 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = No
     return good.select(*[c for c in rows.columns if c != "_corrupt"]), bad
 
 
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+#: The sign in front of or between the values of a JSON text sequence (RFC 7464); no JSON holds it unescaped.
+SEPARATOR = "\x1e"
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, sequence: bool = False) -> DataFrame:
     """Rows of JSON files that hold a list, an object whose `data` or `rows` is one, or a single object.
 
-    A file is one value; broken ones are mended, those beyond mending give no
-    rows. Read by Spark's reader, one file at a time.
+    A file is one value, or with `sequence` any number of them, parted by
+    SEPARATOR; broken ones are mended, those beyond mending give no rows. Read
+    by Spark's reader, one value at a time; files of sequences are split.
     """
-    files = spark.read.option("wholetext", True).text(path).select(json_mended(F.col("value")).alias("j"))
-    opened = files.select(F.try_parse_json("j").alias("v"))
+    reader = spark.read.option("lineSep", SEPARATOR) if sequence else spark.read.option("wholetext", True)
+    values = reader.text(path).select(json_mended(F.col("value")).alias("j"))
+    opened = values.select(F.try_parse_json("j").alias("v"))
     held = lambda at: F.expr(f"try_variant_get(v, '{at}', 'array<variant>')")
     rows = F.coalesce(held("$"), held("$.data"), held("$.rows"), F.when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v")))
     return opened.select(F.explode(rows).alias("r")).select(F.from_json(F.to_json("r"), schema).alias("r")).where("r is not null").select("r.*")

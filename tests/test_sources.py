@@ -105,6 +105,27 @@ def test_json_files(spark, tmp_path):
     assert sorted(tuple(r) for r in lines.json_rows(spark, str(folder), "a int, b string").collect()) == [(1, None), (2, "x"), (3, None), (4, None), (5, None), (6, "only"), (7, None)]
 
 
+def test_json_sequences(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2, "b": "x"}]\x1e{"data": [{"a": 3}]}\x1e{"rows": [{"a": 4}, {"a": 5\x1e\x1e\n{"a": 6, "b": "two\\nlines"}\x1enothing\x1e')
+    rows = lines.json_rows(spark, str(tmp_path), "a int, b string", sequence=True).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, None), (2, "x"), (3, None), (4, None), (5, None), (6, "two\nlines")]
+
+
+def test_conversations_are_not_a_file_each(spark, tmp_path):
+    from pathlib import Path
+
+    from marlstone import queries
+    from marlstone.shared import shared_dir
+
+    talks = [(c, t, "user", f"\x1e {c}\n{t}") for c in range(300) for t in range(2)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    count = lambda: sum(1 for _ in Path(shared_dir(spark)).glob("json-*/**/part-*"))
+    before = count()
+    rows = queries.QUERIES["json_rows_read"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.signs) for r in rows) == [(c, t, len(f"\x1e {c}\n{t}")) for c in range(300) for t in range(2) if c % 3 < 2 or t == 0]
+    assert count() - before <= 16
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "é")], "a int, b string")
     for append in (False, True, True):
