@@ -172,11 +172,14 @@ DAY_NAMES = ["date", "trade_date", "日期", "交易日期", "时间"]
 
 def canonical_day(df: DataFrame, day: list[str]) -> Column:
     """The first day that a row gives under any of the names, as yyyy-MM-dd: its first ten signs, or eight digits; else null."""
-    text = first_present(df, day)
-    digits = F.regexp_replace(text, r"\D", "")
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(
-        F.length(digits) == 8, F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    )
+
+    def told(text: Column) -> Column:
+        digits = F.regexp_replace(text, r"\D", "")
+        spelled = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(F.length(digits) == 8, spelled)
+
+    # One element, so that the text is made once and not at each of its uses.
+    return F.transform(F.array(first_present(df, day)), told)[0]
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
@@ -282,12 +285,20 @@ def links_ranked(links: DataFrame, page: str, href: str, label: str, terms: list
 
 def unit_hint(text: Column) -> Column:
     """Scale and currency that a table's heading states, as in "in millions; USD"; null if none."""
-    low = F.lower(text)
-    scale = F.regexp_extract(low, r"in\s+(thousand|million|billion)", 1)
-    word = lambda w: low.rlike(rf"(^|[^0-9a-z_])({w})($|[^0-9a-z_])")
-    money = F.when(text.contains("$") | word("usd|us dollars?"), "USD").when(text.contains("€") | word("eur"), "EUR").when(text.contains("£") | word("gbp"), "GBP").when(text.contains("%"), "percent")
-    parts = F.array_compact(F.array(F.when(scale != "", F.concat(F.lit("in "), scale, F.lit("s"))), F.when(low.contains("per share"), "per-share amounts unscaled"), money))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "; "))
+
+    def told(t: Column) -> Column:
+        low = t["low"]
+        # A pattern is tried only where one of its words is held at all.
+        scale = F.when(low.contains("thousand") | low.contains("million") | low.contains("billion"), F.nullif(F.regexp_extract(low, r"in\s+(thousand|million|billion)", 1), F.lit("")))
+        word = lambda held, w: low.contains(held) & low.rlike(rf"(^|[^0-9a-z_])({w})($|[^0-9a-z_])")
+        dollars = t["text"].contains("$") | word("usd", "usd") | word("us dollar", "us dollars?")
+        money = F.when(dollars, "USD").when(t["text"].contains("€") | word("eur", "eur"), "EUR").when(t["text"].contains("£") | word("gbp", "gbp"), "GBP").when(t["text"].contains("%"), "percent")
+        parts = F.concat_ws("; ", F.concat(F.lit("in "), scale, F.lit("s")), F.when(low.contains("per share"), "per-share amounts unscaled"), money)
+        return F.nullif(parts, F.lit(""))
+
+    # One element, so that the text is made and lowered once and not at each of its uses.
+    once = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
+    return F.transform(once, told)[0]
 
 
 def fuses(calls: DataFrame, fingerprint: Column, failed: Column, retry: Column, step: str) -> DataFrame:
@@ -347,6 +358,12 @@ def periods_in(text: Column, cells: Column | None = None, most: int = 8) -> Colu
 
     Years are those of the whole text, or of cells alone where they are given.
     """
-    phrase = F.trim(F.regexp_extract(F.lower(text), r"((?:year|quarter|three|six|nine|twelve)[\w ]*?ended[\w ,]*?\d{4})", 1))
-    years = F.regexp_extract_all(text if cells is None else cells, F.lit(r"(?U)\b((?:19|20)[0-9]{2})\b"), F.lit(1))
-    return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(F.when(phrase != "", phrase))), years)), 1, most)
+
+    def told(t: Column) -> Column:
+        low = F.lower(t["text"])
+        phrase = F.when(low.contains("ended"), F.regexp_extract(low, r"((?:year|quarter|three|six|nine|twelve)[\w ]*?ended[\w ,]*?\d{4})", 1))
+        years = F.regexp_extract_all(t["cells"], F.lit(r"(?U)\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+        return F.slice(F.array_distinct(F.concat(F.filter(F.array(F.trim(phrase)), lambda p: p != ""), years)), 1, most)
+
+    once = F.array(F.struct(text.alias("text"), (text if cells is None else cells).alias("cells")))
+    return F.transform(once, told)[0]
