@@ -53,12 +53,19 @@ def universe(plan: dict, tables: dict[str, DataFrame], symbols: DataFrame) -> Da
     return members.orderBy("symbol_key").limit(plan["max_entities"])
 
 
-def sourced(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """tables under the names that plans use: bars, keys and days are found by any of the names that sources give them."""
+def sourced(tables: dict[str, DataFrame], wanted: dict) -> dict[str, DataFrame]:
+    """tables under the names that plans use: bars, keys and days are found by any of the names that sources give them.
+
+    Bars are those of the universe's symbols, where it names them: a condition
+    on the key, which reaches the scan before a day or a price is read.
+    """
     found = {name: rules.canonical_rows(df) for name, df in tables.items() if name != "bars"}
     if "bars" in tables:
         bars = tables["bars"]
         known = {"symbol_key", "date", "open", "high", "low", "close", "volume"} <= set(bars.columns)
+        if wanted["type"] == "symbols":
+            key = F.col("symbol_key") if known else rules.first_present(bars, rules.KEY_NAMES)
+            bars = bars.where(key.isin(list(wanted["symbols"])))
         found["bars"] = bars if known else (b := rules.canonical_bars(bars)).withColumn("date", b["date"].cast("date"))
     return found
 
@@ -72,7 +79,7 @@ def lower(plan: dict, tables: dict[str, DataFrame], lenient: bool = False) -> Da
     known too. Unknown operations fail, or with `lenient` are passed over.
     """
     check(plan)
-    tables = sourced(tables)
+    tables = sourced(tables, plan["universe"])
     frame, ties = universe(plan, tables, next(iter(tables.values()))), ["symbol_key"]
     long = False
     for m in plan["metrics"]:

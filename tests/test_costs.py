@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marlstone import queries
 from marlstone.operators import rules
 
 
@@ -17,3 +18,9 @@ def test_headings_are_lowered_once(spark):
     spans = df.select("id", rules.periods_in(F.concat("t", F.lit(" "), "id")).alias("p"))
     assert plan(spans).count("concat(t#") <= 2
     assert [r.p for r in spans.orderBy("id").collect()] == [[], [], [], ["year ended 2003", "2003"], None]
+
+
+def test_only_a_plan_s_symbols_are_read_as_bars(spark):
+    found = plan(queries.QUERIES["plan_from_raw_names"](spark, "/root/testdata/sf0.001"))
+    filters = [line for line in found.splitlines() if "Filter" in line and "l_suppkey" in line]
+    assert filters and all("IN (1,2,3" in f and f.index("IN (1,2,3") < f.index("l_shipdate") for f in filters)
