@@ -177,5 +177,5 @@ def replies_judged(spark, sf_dir):
 def assets_scored(spark, sf_dir):
     n = F.col("p_partkey") % 3
     label = F.when(n == 0, "Site Logo").when(n == 1, "统计表").otherwise(F.col("p_type"))
-    score = texts.asset_score(F.concat("p_name", F.lit(".png")), label, F.col("p_brand"), F.lit("a red widget, Economy"))
+    score = texts.asset_score(F.concat("p_name", F.lit(".png")), label, F.col("p_brand"), "a red widget, Economy")
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as a number, and as a word.
@@ -119,11 +121,17 @@ def overlap_terms(query: Column, most: int = MOST_TERMS) -> Column:
     return F.slice(F.array_distinct(F.concat(words, F.flatten(F.transform(runs, grams)))), 1, most)
 
 
-def overlap_score(text: Column, query: Column, most: int = MOST_TERMS) -> Column:
-    """Half the length (from 2 to 8 signs) of each term of the query that the text holds; nulls are empty."""
+def overlap_score(text: Column, query: Column | str, most: int = MOST_TERMS) -> Column:
+    """Half the length (from 2 to 8 signs) of each term of the query that the text holds; nulls are empty.
+
+    The terms of a query that is a plain text are found once, not once a row.
+    """
     held = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     low, high = WEIGHTS
     hit = lambda t: F.when(F.contains(held, t), F.least(F.greatest(F.length(t), F.lit(low)), F.lit(high)) / 2.0).otherwise(0.0)
+    if isinstance(query, str):
+        terms = SparkSession.active().range(1).select(overlap_terms(F.lit(query), most)).first()[0]
+        return sum((hit(F.lit(t)) for t in terms), F.lit(0.0))
     return F.aggregate(overlap_terms(query, most), F.lit(0.0), lambda a, t: a + hit(t))
 
 
@@ -138,10 +146,10 @@ NOISE = (
 )
 
 
-def asset_score(source: Column, label: Column, context: Column, query: Column) -> Column:
+def asset_score(source: Column, label: Column, context: Column, query: Column | str) -> Column:
     """How likely an image shows what a query asks for. 4 for a hint of a table, 1.5 of the terms' overlap, 12 off for decoration, 4 off where neither speaks for it."""
     text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (source, label, context)))
     low, overlap = F.lower(text), overlap_score(text, query)
-    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    any_of = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
     hint = any_of(TABLE_HINTS)
     return F.when(hint, 4.0).otherwise(0.0) + overlap * 1.5 - F.when(any_of(NOISE), 12.0).otherwise(0.0) - F.when(~hint & (overlap < 2), 4.0).otherwise(0.0)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marlstone import queries
+from marlstone.functions import texts
 from marlstone.operators import rules
 
 
@@ -20,6 +21,14 @@ def test_headings_are_lowered_once(spark):
     assert [r.p for r in spans.orderBy("id").collect()] == [[], [], [], ["year ended 2003", "2003"], None]
 
 
+def test_terms_of_a_plain_query_are_found_once(spark):
+    df = spark.createDataFrame([(1, "Red  widget.png", "table"), (2, None, None), (3, "logo red.png", "图表 economy")], "id int, s string, l string")
+    score = lambda q: texts.asset_score(F.col("s"), F.col("l"), F.lit(None), q)
+    both = df.select("id", score("a red widget, Economy").alias("a"), score(F.lit("a red widget, Economy")).alias("b"))
+    assert [(r.a, r.b) for r in both.orderBy("id").collect()] == [(10.75, 10.75), (-4.0, -4.0), (-0.5, -0.5)]
+    assert "regexp_extract_all" not in plan(queries.QUERIES["assets_scored"](spark, "/root/testdata/sf0.001"))
+
+
 def test_only_a_plan_s_symbols_are_read_as_bars(spark):
     found = plan(queries.QUERIES["plan_from_raw_names"](spark, "/root/testdata/sf0.001"))
     filters = [line for line in found.splitlines() if "Filter" in line and "l_suppkey" in line]
