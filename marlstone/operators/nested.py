@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsons import quoted
@@ -79,29 +79,49 @@ def deep_merged(updates: DataFrame, key: str, order: list[str], json: str) -> Da
     Updates that are no objects change nothing; of updates that tie in the whole
     order, that with the greater text comes later. Null keys are a key.
 
-    A node lives on if no value that is no object was written above it later
-    than itself; its own latest write says what it is.
+    A leaf stands if nothing was written later at its path, above it (but
+    objects) or below it; an empty object stands if nothing below it does.
+    Only leaves and empty objects are kept of an update: they say when the
+    objects above them were written.
     """
-    at = F.struct(*order, json)
-    rows = updates.select(F.col(key).alias("_key"), at.alias("_at"), F.col(json).alias("_json"))
-    every = nodes(rows, ["_key", "_at"], "_json")
-    return _merged_nodes(every).withColumnRenamed("_key", key)
-
-
-def _merged_nodes(every: DataFrame) -> DataFrame:
-    below = every.where("size(path) > 0")
-    leaf_at = F.when(F.col("kind") == "leaf", F.col("_at"))
-    last = below.groupBy("_key", "path").agg(F.max("_at").alias("at"), F.max(leaf_at).alias("leaf_at"), F.max_by("leaf", leaf_at).alias("leaf"))
-    last = staged(last, "last-writes")
-    above = last.where("size(path) > 1").select("_key", "path", "at", F.explode(F.expr("transform(sequence(1, size(path) - 1), n -> slice(path, 1, n))")).alias("up"))
-    killers = last.where("leaf_at is not null").select(F.col("_key").alias("_k"), F.col("path").alias("up"), F.col("leaf_at").alias("killed"))
-    same = F.col("a._key").eqNullSafe(F.col("b._k")) & (F.col("a.up") == F.col("b.up")) & (F.col("b.killed") > F.col("a.at"))
-    dead = above.alias("a").join(killers.alias("b"), same).select(F.col("a._key").alias("_k"), F.col("a.path").alias("_p")).distinct()
-    alive = staged(last.join(dead, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("path") == F.col("_p")), "left_anti"), "alive")
-    parents = alive.where("size(path) > 1").select(F.col("_key").alias("_k"), F.expr("slice(path, 1, size(path) - 1)").alias("_p")).distinct()
-    is_leaf = F.col("leaf_at").eqNullSafe(F.col("at"))
-    empty = alive.where(~is_leaf).join(parents, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("path") == F.col("_p")), "left_anti")
-    return alive.where(is_leaf).select("_key", "path", "leaf").unionByName(empty.select("_key", "path", F.lit("{}").alias("leaf")))
+    # Of updates that tie, the place among their texts stands for the text, which need not go along with each leaf.
+    tie = F.dense_rank().over(Window.partitionBy(key, *order).orderBy(json))
+    rows = updates.select(F.col(key).alias("_key"), *order, F.col(json).alias("_json"), tie.alias("_tie"))
+    ends = _ends(rows.select("_key", F.struct(*order, "_tie").alias("_at"), "_json"), ["_key", "_at"], "_json")
+    return _merged_ends(ends).withColumnRenamed("_key", key)
+
+
+def _ends(df: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """(keys, path, leaf): the leaves of each value and its objects without names, whose leaf is {}; those of nodes(), without what is above them."""
+    start = df.select(*keys, F.try_parse_json(F.col(json)).alias("v")).where("v is not null").selectExpr(*keys, "cast(array() as array<string>) AS path", "v", "false AS done")
+    kids = "transform(map_entries(m), e -> named_struct('path', concat(path, array(e.key)), 'v', e.value, 'done', false))"
+
+    def step(rows: DataFrame) -> DataFrame:
+        seen = rows.selectExpr("*", f"CASE WHEN NOT done THEN try_variant_get(v, '$', '{MAP}') END AS m")
+        return seen.selectExpr(*keys, f"inline(CASE WHEN size(m) > 0 THEN {kids} ELSE array(named_struct('path', path, 'v', v, 'done', true)) END)")
+
+    return _opened(start, step, "ends").select(*keys, "path", F.to_json("v").alias("leaf"))
+
+
+def _merged_ends(ends: DataFrame) -> DataFrame:
+    empty = F.col("leaf") == "{}"
+    leaf_at = F.when(~empty, F.col("_at"))
+    last = ends.where("size(path) > 0").groupBy("_key", "path").agg(F.max(leaf_at).alias("leaf_at"), F.max_by("leaf", leaf_at).alias("leaf"), F.max(F.when(empty, F.col("_at"))).alias("empty_at"))
+    last = staged(last.withColumn("_id", F.monotonically_increasing_id()), "last-writes")
+    # Each end meets those at the paths above it, once: what was written later above (over) and later below (under) is told from the same pairs.
+    up = F.explode(F.expr("transform(sequence(1, size(path) - 1), n -> slice(path, 1, n))"))
+    below = last.where("size(path) > 1").select(F.col("_key").alias("_k"), up.alias("_up"), F.col("_id").alias("_low"), F.greatest("leaf_at", "empty_at").alias("_at"), F.col("empty_at").isNotNull().alias("_empty"))
+    pairs = last.select("_key", "path", "_id", "leaf_at").join(below, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("path") == F.col("_up")))
+    later, nothing = F.col("leaf_at") > F.col("_at"), F.lit(None).cast(last.schema["leaf_at"].dataType)
+    over = F.when(later | F.col("leaf_at").isNotNull() & F.col("_empty"), F.struct(F.col("_low").alias("_of"), F.col("leaf_at").alias("over"), nothing.alias("under")))
+    under = F.when(F.col("leaf_at").isNull() | ~later, F.struct(F.col("_id").alias("_of"), nothing.alias("over"), F.col("_at").alias("under")))
+    facts = pairs.select(F.inline(F.array_compact(F.array(over, under)))).groupBy("_of").agg(F.max("over").alias("over"), F.max("under").alias("under"))
+    every = last.join(facts, F.col("_id") == F.col("_of"), "left")
+    beats = lambda a, b: F.col(b).isNull() | (F.col(a) > F.col(b))
+    is_leaf = F.col("leaf_at").isNotNull() & beats("leaf_at", "empty_at") & beats("leaf_at", "over") & beats("leaf_at", "under")
+    held = F.col("under").isNotNull() & beats("under", "over")
+    is_empty = F.col("empty_at").isNotNull() & beats("empty_at", "leaf_at") & beats("empty_at", "over") & ~held
+    return every.select("_key", "path", F.when(is_leaf, F.col("leaf")).when(is_empty, "{}").alias("leaf")).where("leaf is not null")
 
 
 def assembled(leaves: DataFrame, key: str) -> DataFrame:

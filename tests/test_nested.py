@@ -166,3 +166,22 @@ def test_latest_span_reads_each_row_once(spark):
     found = intervals.latest_on(days, spans, ["k"], "day", "f", "t")
     assert sorted((r.k, str(r.day), r.price) for r in found.collect()) == [(1, "1895-01-01", 1.0), (1, "2019-12-31", 1.0), (1, "2020-01-01", 2.0), (2, "2020-01-06", 3.0)]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merge_keeps_ends_alone(spark, monkeypatch):
+    staged, seen = nested.staged, {}
+
+    def watched(df, name):
+        seen[name] = staged(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(nested, "staged", watched)
+    rows = [
+        ("a", 1, '{"q": {"p": {"c": 1}}}'), ("a", 2, '{"q": 5}'), ("a", 3, '{"q": {"p": {}}}'), ("b", 1, '{"q": {"p": {"c": 1}}}'), ("b", 3, '{"q": {"p": {}}}'),
+        ("c", 1, '{"q": {"p": {}, "r": {"s": {}}}}'), ("c", 2, '{"q": {"p": [1]}}'), ("t", 1, '{"q": 1}'), ("t", 1, '{"q": 2}'), ("t", 1, '{"q": 2}'), (None, 1, '{"n": null}'),
+    ]
+    got = nested.deep_merged(spark.createDataFrame(rows, "task string, n int, state string"), "task", ["n"], "state")
+    assert {(r.task, ".".join(r.path), r.leaf) for r in got.collect()} == {("a", "q.p", "{}"), ("b", "q.p.c", "1"), ("c", "q.p", "[1]"), ("c", "q.r.s", "{}"), ("t", "q", "2"), (None, "n", "null")}
+    # One row for each leaf or empty object of an update, and no text of an update beside it.
+    assert seen["ends"].where("done").count() == 12
+    assert all("state" not in df.schema.simpleString() and "_json" not in df.columns for df in seen.values())
