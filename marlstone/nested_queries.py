@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import intervals, nested, ranks
 from .queries import query, table
-from .shared import shared_dir
+from .shared import shared_dir, staged
 from .streaming import feed
 
 STATE = """updates AS (
@@ -44,7 +44,7 @@ def state_deep_merge(spark, sf_dir):
 )
 def state_assembled(spark, sf_dir):
     """Merged states as JSON again; their length does not depend on the order of names."""
-    merged = nested.deep_merged(state_updates(spark, sf_dir), "user_id", ["event_id"], "state")
+    merged = staged(nested.deep_merged(state_updates(spark, sf_dir), "user_id", ["event_id"], "state"), "merged")
     counts = merged.groupBy("user_id").agg(F.count("*").alias("leaves"))
     docs = nested.assembled(merged, "user_id").withColumnRenamed("user_id", "_u")
     return counts.join(docs, F.col("user_id") == F.col("_u")).select(
