@@ -8,9 +8,12 @@ no order of updates has to be gone through one by one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
+from json import dumps, loads
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ EMPTY = ("null", '""', "[]", "{}")
 TEXTS = ("title", "text", "label", "heading", "html")
 CHILDREN = ("children", "items", "nodes")
 
+CONTROL = re.compile(r"[\x00-\x1f]")
 MAP, LIST = "map<string,variant>", "array<variant>"
 
 
@@ -176,27 +180,50 @@ def flat_text(df: DataFrame, keys: list[str], json: str, out: str = "text") -> D
     give; a list gives its items; any other value its text, nothing for null,
     false, 0 and what is empty. What gives nothing still parts its neighbours
     by a space. keys must name a row. What is no JSON has no row. Any depth; a
-    row's texts meet again in one place, as long as the row itself is.
+    row's texts never part, so that nothing is sent or written.
     """
-    start = df.select(*keys, F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
-    start = start.selectExpr(*keys, "cast(array() as array<int>) AS places", "v", "cast(null as string) AS said", "false AS done")
-    scalar = "CASE WHEN to_json({0}) IN ('null', 'false', '0', '\"\"') THEN '' WHEN to_json({0}) = 'true' THEN 'True' ELSE coalesce(try_variant_get({0}, '$', 'string'), to_json({0})) END"
-    names = ", ".join(f"'{k}'" for k in TEXTS)
-    texts = f"""transform(filter(transform(array({names}), (k, i) -> named_struct('i', i, 'v', element_at(m, k))),
-        s -> s.v IS NOT NULL AND to_json(s.v) NOT IN ('null', 'false', '0', '""', '[]', '{{}}')),
-        s -> named_struct('places', concat(places, array(s.i)), 'v', s.v, 'said', {scalar.format("s.v")}, 'done', true))"""
-    names = ", ".join(f"'{k}'" for k in CHILDREN)
-    kids = f"""transform(filter(transform(array({names}), (k, i) -> named_struct('i', i + {len(TEXTS)}, 'v', element_at(m, k))), s -> s.v IS NOT NULL),
-        s -> named_struct('places', concat(places, array(s.i)), 'v', s.v, 'said', cast(null as string), 'done', false))"""
-    items = "transform(l, (x, i) -> named_struct('places', concat(places, array(i)), 'v', x, 'said', cast(null as string), 'done', false))"
-    nothing = "array(named_struct('places', places, 'v', v, 'said', '', 'done', true))"
 
-    def step(rows: DataFrame) -> DataFrame:
-        seen = rows.selectExpr("*", f"CASE WHEN NOT done THEN try_variant_get(v, '$', '{MAP}') END AS m", f"CASE WHEN NOT done THEN try_variant_get(v, '$', '{LIST}') END AS l")
-        seen = seen.selectExpr("*", f"CASE WHEN m IS NOT NULL THEN concat({texts}, {kids}) WHEN l IS NOT NULL THEN {items} END AS below")
-        own = f"array(named_struct('places', places, 'v', v, 'said', CASE WHEN done THEN said ELSE {scalar.format('v')} END, 'done', true))"
-        return seen.selectExpr(*keys, f"inline(CASE WHEN below IS NULL THEN {own} WHEN size(below) = 0 THEN {nothing} ELSE below END)")
-
-    found = _opened(start, step, "texts")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("places", "said"))), lambda s: s["said"])
-    return found.groupBy(*keys).agg(F.array_join(ordered, " ").alias(out))
+    # As a Variant writes it: numbers and names come to Python in their final form, and stay texts there.
+    @F.arrow_udf("string")
+    def said(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if (t := v.as_py()) is None else _said(t) for v in texts], pa.string())
+
+    texts = df.select(*keys, said(F.to_json(F.try_parse_json(F.col(json)))).alias(out))
+    return texts.where(F.col(out).isNotNull())
+
+
+class _Number(str):
+    """A number of a JSON text, as it is written there."""
+
+
+def _json(value) -> str:
+    """The JSON text of a value, numbers and control signs as a Variant writes them."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, str):
+        return re.sub(r"\\u00([01][0-9a-f])", lambda m: "\\u00" + m[1].upper(), dumps(value, ensure_ascii=False)) if CONTROL.search(value) else dumps(value, ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in value.items()) + "}"
+    return "[" + ",".join(map(_json, value)) + "]" if isinstance(value, list) else dumps(value)
+
+
+def _said(text: str) -> str:
+    """The texts of one value, by a stack of what is still to be read."""
+    empty = lambda v: v is None or v is False or v == "0" and isinstance(v, _Number) or not isinstance(v, _Number) and v in ("", [], {})
+    plain = lambda v: "True" if v is True else str(v) if isinstance(v, str) else _json(v)
+    out, stack = [], [loads(text, parse_int=_Number, parse_float=_Number)]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            found = [v[k] for k in TEXTS if k in v and not empty(v[k])]
+            below = [v[k] for k in CHILDREN if k in v]
+            out.extend(map(plain, found))
+            if not found and not below:
+                out.append("")
+            stack.extend(reversed(below))
+        elif isinstance(v, list) and v:
+            stack.extend(reversed(v))
+        else:
+            out.append("" if empty(v) else plain(v))
+    return " ".join(out)

@@ -185,3 +185,14 @@ def test_merge_keeps_ends_alone(spark, monkeypatch):
     # One row for each leaf or empty object of an update, and no text of an update beside it.
     assert seen["ends"].where("done").count() == 12
     assert all("state" not in df.schema.simpleString() and "_json" not in df.columns for df in seen.values())
+
+
+def test_flat_texts_are_as_variants_write_them(spark):
+    docs = ['{"text": {"b": [1.0, "\\u001f/é"], "a": null}, "items": [1.50, 0.0, -0, 1e30, 12345678901234567890, false, true, "0", {}]}', '{"title": 0.0, "html": [], "label": 2.50}', "[]", "3", "null", "no", '"t"', None, "[" * 400 + '"d"' + "]" * 400]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    found = nested.flat_text(df, ["id"], "doc")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.text for r in found.collect()}
+    written = spark.sql("SELECT to_json(parse_json('[1.50, 1e30, 12345678901234567890]'))").first()[0].strip("[]").split(",")
+    assert got.pop(0) == '{"a":null,"b":[1,"\\u001F/é"]} ' + f"{written[0]}   {written[1]} {written[2]}  True 0 "
+    assert got == {1: "2.5", 2: "", 3: "3", 4: "", 6: "t", 8: "d"}
