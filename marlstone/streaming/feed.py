@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..shared import staged
+
 #: One line of JSON each. type: step (step_id, status), answer_delta (text is the piece), done or error (text is the message).
 EVENT = "run_id string, seq long, ts timestamp, type string, step_id string, status string, text string"
 TYPES = ("step", "answer_delta", "done", "error")
@@ -40,6 +42,8 @@ def told(events: DataFrame, late: str, wait: str) -> DataFrame:
     """
     one = F.struct("type", *(F.coalesce(c, F.lit("")).alias(c) for c in ("step_id", "status", "text")))
     once = events.groupBy("run_id", "seq").agg(F.min(one).alias("e"), F.max("ts").alias("ts")).select("run_id", "seq", "ts", "e.*")
+    # Written once: it is read for the ends, for each of the two sums and for the table's last time.
+    once = staged(once, "events-once")
     ending = F.when(F.col("type").isin("done", "error"), F.col("seq"))
     ends = once.groupBy("run_id").agg(F.min(ending).alias("end"), F.max("ts").alias("last"), F.min_by(F.struct("type", "text"), ending).alias("said"))
     rows = once.join(ends, "run_id").where("end is null or seq <= end")
@@ -49,7 +53,7 @@ def told(events: DataFrame, late: str, wait: str) -> DataFrame:
     runs = rows.groupBy("run_id", "end", "last", "said").agg(F.count("*").alias("events"), F.max("seq").alias("most"), F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("answer"))
     runs = runs.withColumn("missing", F.coalesce("end", "most") + 1 - F.col("events"))
     full = F.col("end").isNotNull() & (F.col("missing") == 0)
-    now = events.agg(F.max("ts").alias("now"))
+    now = once.agg(F.max("ts").alias("now"))
     timed = runs.join(F.broadcast(now), F.lit(True))  # one row
     timed = timed.where(full | (F.col("now") - F.expr(f"INTERVAL {late}") > F.col("last") + F.expr(f"INTERVAL {wait}")))
     both = timed.withColumn("outcome", F.when(full, F.col("said.type")).otherwise("expired")).join(steps, "run_id", "left")

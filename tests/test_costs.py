@@ -33,3 +33,8 @@ def test_only_a_plan_s_symbols_are_read_as_bars(spark):
     found = plan(queries.QUERIES["plan_from_raw_names"](spark, "/root/testdata/sf0.001"))
     filters = [line for line in found.splitlines() if "Filter" in line and "l_suppkey" in line]
     assert filters and all("IN (1,2,3" in f and f.index("IN (1,2,3") < f.index("l_shipdate") for f in filters)
+
+
+def test_feed_reads_its_events_once(spark):
+    files = queries.QUERIES["run_feed"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/events-once-" in f for f in files)
