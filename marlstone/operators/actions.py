@@ -67,10 +67,12 @@ def best_boxes(wanted: DataFrame, found: DataFrame, ids: list[str], doc: str, pa
     on_page = wanted.join(other, (F.col(doc) == F.col("_doc")) & same_page)
     lone = wanted.join(other, (F.col(doc) == F.col("_doc")) & same_page, "left_anti").join(other, F.col(doc) == F.col("_doc"))
     keyed = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.lit(True))
-    best = on_page.unionByName(lone).groupBy(*ids, doc).agg(F.max(F.struct(keyed.alias("keyed"), iou(F.col(box), F.col("_box")).alias("score"))).alias("_best"))
-    best = best.select(*(F.col(c).alias(f"_{c}") for c in (*ids, doc)), F.col("_best.score").alias("_score"))
-    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), (*ids, doc), F.lit(True))
-    return wanted.join(best, same, "left").select(*ids, doc, F.coalesce("_score", F.lit(0.0)).alias("score"))
+    # Plain numbers, which are aggregated by hash and not by sorting; boxes without a pair come in as rows of their own, not by another join.
+    pairs = on_page.unionByName(lone).select(*ids, doc, keyed.alias("_keyed"), iou(F.col(box), F.col("_box")).alias("_score"))
+    alone = wanted.select(*ids, doc, F.lit(None).cast("boolean").alias("_keyed"), F.lit(None).cast("double").alias("_score"))
+    best = pairs.unionByName(alone).groupBy(*ids, doc).agg(F.max("_keyed").alias("_keyed"), F.max(F.when(F.col("_keyed"), F.col("_score"))).alias("_first"), F.max("_score").alias("_any"))
+    score = F.when(F.col("_keyed"), F.col("_first")).otherwise(F.col("_any"))
+    return best.select(*ids, doc, F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def macro(per_label: DataFrame) -> DataFrame:

@@ -38,3 +38,8 @@ def test_only_a_plan_s_symbols_are_read_as_bars(spark):
 def test_feed_reads_its_events_once(spark):
     files = queries.QUERIES["run_feed"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all("/events-once-" in f for f in files)
+
+
+def test_boxes_are_aggregated_by_hash(spark):
+    found = queries.QUERIES["box_best_match"](spark, "/root/testdata/sf0.001")
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
