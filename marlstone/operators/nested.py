@@ -145,11 +145,13 @@ def assembled(leaves: DataFrame, key: str) -> DataFrame:
 
 def identity(item: str) -> Column:
     """What a list item (a Variant column) is told by: its first key of KEYS that is not empty, else its PARTS, else its whole text."""
-    field = lambda k: F.expr(f"to_json(try_variant_get({item}, '$.{k}', 'variant'))")
-    full = lambda k: F.when(~F.coalesce(field(k), F.lit("null")).isin(*EMPTY), field(k))
-    named = F.coalesce(*(F.concat(F.lit(f"{k}:"), F.regexp_replace(full(k), '^"|"$', "")) for k in KEYS))
-    parts = F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), full(k)) for k in PARTS))
-    return F.coalesce(named, F.when(parts != "", F.concat(F.lit("composite:{"), parts, F.lit("}"))), F.concat(F.lit("item:"), F.to_json(F.col(item))))
+    names = lambda ks: "array(" + ", ".join(f"'{k}'" for k in ks) + ")"
+    of = lambda ks: f"filter(transform(f, x -> named_struct('p', int(array_position({names(ks)}, x.k)), 'v', x.v)), x -> x.p > 0)"
+    full = f"filter(transform(map_entries(try_variant_get({item}, '$', '{MAP}')), e -> named_struct('k', e.key, 'v', to_json(e.value))), x -> x.v NOT IN ({', '.join(f"'{e}'" for e in EMPTY)}))"
+    named = f"transform(array(array_min({of(KEYS)})), x -> concat(element_at({names(KEYS)}, x.p), ':', regexp_replace(x.v, '^\"|\"$', '')))[0]"
+    parts = f"""concat('composite:{{', nullif(array_join(transform(array_sort({of(PARTS)}), x -> concat('"', element_at({names(PARTS)}, x.p), '":', x.v)), ','), ''), '}}')"""
+    # One element, so that an item is opened once and not for each name that it may have.
+    return F.expr(f"coalesce(transform(array({full}), f -> coalesce({named}, {parts}))[0], concat('item:', to_json({item})))")
 
 
 def merged_lists(updates: DataFrame, key: str, order: list[str], json: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marlstone import queries
 from marlstone.functions import texts
-from marlstone.operators import rules
+from marlstone.operators import nested, rules
 
 
 def plan(df):
@@ -35,6 +35,14 @@ def test_only_a_plan_s_symbols_are_read_as_bars(spark):
     assert filters and all("IN (1,2,3" in f and f.index("IN (1,2,3") < f.index("l_shipdate") for f in filters)
 
 
+def test_list_items_are_opened_once(spark):
+    docs = ['{"slot": "", "id": "a\\"b", "key": 2}', '{"metric": "m", "entity": 1.0, "x": 3, "period": null}', '{"x": 1}', "3", "null", "[1]", '{"slot_id": {"a": 1}}', "{}"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, d string").selectExpr("id", "parse_json(d) AS item")
+    who = df.select("id", nested.identity("item").alias("who"))
+    assert plan(who).count("variant_get(") == 1
+    assert [r.who for r in who.orderBy("id").collect()] == ['id:a\\"b', 'composite:{"entity":1,"metric":"m"}', 'item:{"x":1}', "item:3", "item:null", "item:[1]", 'slot_id:{"a":1}', "item:{}"]
+
+
 def test_feed_reads_its_events_once(spark):
     files = queries.QUERIES["run_feed"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all("/events-once-" in f for f in files)
