@@ -170,14 +170,24 @@ def run_feed(spark, sf_dir):
     return feed.told(feed.read_events(feed_lines(spark, sf_dir)), "1 DAY", "10 DAYS")
 
 
+#: Lines of a file of the stream, at least, if a batch has more than one file.
+LINES = 100_000
+
+
 @query(FEED_TOLD)
 def run_feed_streamed(spark, sf_dir):
     """The same from a stream: four batches of lines by their time, each in no order, told as the state says."""
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    lines = ranks.blocks(feed_lines(spark, sf_dir), ["ts", "event_id"], parts=4).repartition(2, F.xxhash64("event_id"))
-    for part in range(4):
-        lines.where(F.col("_block") == part).select("value").write.mode("append").text(f"{path}/in")
-    events = feed.read_events(spark.readStream.option("maxFilesPerTrigger", 2).text(f"{path}/in"))
+    lines = staged(feed_lines(spark, sf_dir), "lines")
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = lines.agg(F.percentile_approx(time, [0.25, 0.5, 0.75])).first()[0] or []
+    lines = lines.withColumn("part", sum((F.coalesce(time > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)))
+    sizes = dict(lines.groupBy("part").count().collect())
+    # Files go to the batches by their number: all parts have the same, and none is empty, as lines are dealt out in turn.
+    files = max(1, min(sizes.values(), default=0) // LINES)
+    for part in sorted(sizes) or [0]:
+        lines.where(F.col("part") == part).select("value").repartition(files).write.mode("append").text(f"{path}/in")
+    events = feed.read_events(spark.readStream.option("maxFilesPerTrigger", files).text(f"{path}/in"))
     stream = feed.telling(events, "1 DAY", "10 DAYS").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
     run = stream.trigger(availableNow=True).start()
     run.awaitTermination()

@@ -9,7 +9,9 @@ is missing is counted and the run is told as expired. The end is the first
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,9 @@ EVENT = "run_id string, seq long, ts timestamp, type string, step_id string, sta
 TYPES = ("step", "answer_delta", "done", "error")
 TOLD = "run_id string, outcome string, events long, missing long, steps long, complete long, last_step string, answer string, message string"
 NAMES = [f.split()[0] for f in TOLD.split(", ")]
+#: What the processor takes of an event; at is ts in milliseconds, NO_TIME if it has none.
+COLUMNS = ["run_id", "seq", "at", "type", "step_id", "status", "text"]
+NO_TIME = -(1 << 63)
 
 
 def read_events(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -61,82 +66,129 @@ def told(events: DataFrame, late: str, wait: str) -> DataFrame:
 
 
 class Runs(StatefulProcessor):
-    """Keeps a run's events by number until it is told, and after that only that it was."""
+    """Keeps the events of a shard's runs by number until each is told, and after that only that it was.
+
+    A call of the state is a message to the JVM and back, so a batch reads and
+    writes a shard's open runs together, as JSON in pieces of PIECE events. The
+    names of told runs lie in BUCKETS by a hash; a batch reads those that its
+    new runs fall into. One timer a shard stands for the run that expires first.
+    """
+
+    PIECE = 10_000
+    BUCKETS = 16
 
     def __init__(self, wait_ms: int):
         self.wait = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "seq long", "type string, step_id string, status string, text string")
-        self.progress = handle.getValueState("progress", "have long, end long, at long, told boolean")
+        self.open = handle.getListState("open", "piece string")
+        self.told = handle.getMapState("told", "bucket long", "runs string")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        have, end, at, done = self.progress.get() if self.progress.exists() else (0, None, None, False)
-        if done:
-            return
-        # The state is read and written once a batch, not once an event; a run that is whole in its batch leaves none.
-        before, new = at, {}
-        held = {k[0]: v for k, v in self.events.iterator()} if have else {}
+        runs, past, whole = self._read(), {}, {}
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                at = max(at or 0, r.ts.value // 1_000_000)
-                if end is not None and r.seq > end or r.seq in held or r.seq in new:
+            for run, seq, at, *event in frame[COLUMNS].itertuples(index=False, name=None):
+                if run not in runs and (run in whole or run in self._past(run, past)):
                     continue
-                new[r.seq] = (r.type, r.step_id or "", r.status or "", r.text or "")
-                if r.type in ("done", "error"):
-                    end = r.seq
-                    new = {k: v for k, v in new.items() if k <= end}
-        if before is not None:
-            self.handle.deleteTimer(before + self.wait)
-        for seq in [k for k in held if end is not None and k > end]:
-            del held[seq]
-            self.events.removeKey((seq,))
-        have = len(held) + len(new)
-        if end is not None and have == end + 1:
-            yield self._tell(key[0], end, held | new)
-            return
-        for seq, event in new.items():
-            self.events.updateValue((seq,), event)
-        self.progress.update((have, end, at, False))
-        self.handle.registerTimer(at + self.wait)
+                # The number of its end, its last time, its events.
+                state = runs.setdefault(run, [None, NO_TIME, {}])
+                state[1] = max(state[1], at)
+                end, _, events = state
+                if end is not None and seq > end or seq in events:
+                    continue
+                events[seq] = event
+                if event[0] in ("done", "error"):
+                    state[0] = end = seq
+                    state[2] = events = {k: v for k, v in events.items() if k <= end}
+                if end is not None and len(events) == end + 1:
+                    whole[run] = runs.pop(run)
+        yield from self._tell(whole, past)
+        self._write(runs)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, end, _, done = self.progress.get()
-        if not done:
-            yield self._tell(key[0], end, {k[0]: v for k, v in self.events.iterator()})
-
-    def _tell(self, run: str, end: int | None, held: dict[int, tuple]) -> pd.DataFrame:
-        events = sorted((k, *v) for k, v in held.items())
-        steps: dict[str, str] = {}
-        for _, kind, step, status, _ in events:
-            if kind == "step":
-                steps[step] = status
-        missing = (events[-1][0] if end is None else end) + 1 - len(events)
-        outcome = "expired" if end is None or missing else events[-1][1]
-        answer = "".join(text for _, kind, _, _, text in events if kind == "answer_delta")
-        complete = sum(s == "complete" for s in steps.values())
-        row = (run, outcome, len(events), missing, len(steps), complete, next(reversed(steps), None), answer, None if end is None else events[-1][4])
-        self.events.clear()
-        self.progress.update((0, None, None, True))
-        return pd.DataFrame([row], columns=NAMES)
+        runs, now = self._read(), timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()  # It goes by itself once it has fired; the next lies behind now.
+        late = {run: runs.pop(run) for run, (_, at, _) in list(runs.items()) if at != NO_TIME and at + self.wait < now}
+        yield from self._tell(late, {})
+        self._write(runs)
+
+    def _read(self) -> dict[str, list]:
+        runs: dict[str, list] = {}
+        for (piece,) in self.open.get():
+            for run, end, at, seq, *event in json.loads(piece):
+                runs.setdefault(run, [end, at, {}])[2][seq] = event
+        return runs
+
+    def _write(self, runs: dict[str, list]) -> None:
+        rows = [(run, end, at, seq, *event) for run, (end, at, events) in runs.items() for seq, event in events.items()]
+        self.open.clear()
+        for i in range(0, len(rows), self.PIECE):
+            self.open.appendValue((json.dumps(rows[i : i + self.PIECE]),))
+        first = min((at for _, at, _ in runs.values() if at != NO_TIME), default=None)
+        # A timer fires at its time, but a run expires only once that has passed.
+        before, then = self.timer.get(), None if first is None else (first + self.wait + 1,)
+        if before and before != then:
+            self.handle.deleteTimer(before[0])
+            self.timer.clear()
+        if then and before != then:
+            self.handle.registerTimer(then[0])
+            self.timer.update(then)
+
+    def _past(self, run: str, past: dict[int, set[str]]) -> set[str]:
+        """The told runs of a run's bucket, read once a batch into past."""
+        bucket = crc32(run.encode()) % self.BUCKETS
+        if bucket not in past:
+            kept = self.told.getValue((bucket,))
+            past[bucket] = set(json.loads(kept[0])) if kept else set()
+        return past[bucket]
+
+    def _tell(self, runs: dict[str, list], past: dict[int, set[str]]) -> Iterator[pd.DataFrame]:
+        for run in runs:
+            self._past(run, past).add(run)
+        for bucket in {crc32(run.encode()) % self.BUCKETS for run in runs}:
+            self.told.updateValue((bucket,), (json.dumps(list(past[bucket])),))
+        if runs:
+            yield pd.DataFrame([told_run(run, end, events) for run, (end, _, events) in runs.items()], columns=NAMES)
 
     def close(self) -> None:
         pass
 
 
+def told_run(run: str, end: int | None, held: dict[int, list]) -> tuple:
+    """TOLD's columns of one run: its end's number, if there is one, and its events up to there by number."""
+    events = sorted((k, *v) for k, v in held.items())
+    steps: dict[str, str] = {}
+    for _, kind, step, status, _ in events:
+        if kind == "step":
+            steps[step] = status
+    missing = (events[-1][0] if end is None else end) + 1 - len(events)
+    outcome = "expired" if end is None or missing else events[-1][1]
+    answer = "".join(text for _, kind, _, _, text in events if kind == "answer_delta")
+    complete = sum(s == "complete" for s in steps.values())
+    return run, outcome, len(events), missing, len(steps), complete, next(reversed(steps), None), answer, None if end is None else events[-1][4]
+
+
 def milliseconds(spark: SparkSession, duration: str) -> int:
     return spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {duration})").first()[0]
 
 
-def telling(events: DataFrame, late: str, wait: str) -> DataFrame:
+def telling(events: DataFrame, late: str, wait: str, shards: int = 256) -> DataFrame:
     """A stream of EVENT's columns as a stream of TOLD's: the same rows as told() gives for all its events.
 
-    Events more than `late` behind the stream's time are dropped by it. Needs
+    Events more than `late` behind the stream's time are dropped by it, and a
+    stream's time has whole milliseconds. Needs
     the RocksDB state store, which this sets for the session. A told run leaves
-    one flag behind, so that repeats of its events stay without effect.
+    one flag behind, so that repeats of its events stay without effect. Runs
+    are dealt out to `shards` by a hash; a shard's open runs are read together
+    in each batch that has an event of theirs, and one task holds them. More
+    shards suit small batches and more open runs; a checkpoint keeps to its own.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    timed = events.withWatermark("ts", late).groupBy("run_id")
-    return timed.transformWithStateInPandas(statefulProcessor=Runs(milliseconds(spark, wait)), outputStructType=TOLD, outputMode="append", timeMode="eventTime")
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("step_id", "status", "text")}
+    at = F.coalesce(F.unix_millis("ts"), F.lit(NO_TIME))
+    timed = events.withWatermark("ts", late).withColumns(texts | {"at": at, "shard": F.pmod(F.xxhash64("run_id"), F.lit(shards))})
+    runs = Runs(milliseconds(spark, wait))
+    return timed.groupBy("shard").transformWithStateInPandas(statefulProcessor=runs, outputStructType=TOLD, outputMode="append", timeMode="eventTime")
